@@ -108,9 +108,13 @@ def price_features(
     prices: DataFrame, markets: DataFrame, interval_hours: int = 12, burn_in_days: int = 14,
     min_prices: int = 20, window_days=WINDOW_DAYS, cells_per_slot: int = 12,
 ) -> DataFrame:
-    """(market_id, snapshot_us, price and rolling columns), rolling columns NULL below two prices."""
+    """The markets' columns per snapshot with price and rolling columns, these NULL below two prices.
+
+    Market columns travel with the grid rows, so no join follows the windows.
+    """
     step = interval_hours * HOUR
-    grid = snapshot_grid(markets, interval_hours, burn_in_days).select("market_id", "slot", "snapshot_us")
+    carried = [c for c in markets.columns if c != "market_id"]
+    grid = snapshot_grid(markets, interval_hours, burn_in_days).select("market_id", "slot", "snapshot_us", *carried)
     slots = slot_sums(prices, markets, interval_hours, cells_per_slot)
     timeline = slots.unionByName(grid, allowMissingColumns=True)
     order = W.partitionBy("market_id").orderBy("slot")
@@ -129,9 +133,9 @@ def price_features(
                 F.max("e_first").over(edge), F.first("first", ignorenulls=True).over(inside)
             ).alias(f"first_{d}"),
         ]
-    framed = timeline.select("market_id", "slot", "snapshot_us", *cols)
+    framed = timeline.select("market_id", "snapshot_us", *carried, *cols)
     rows = framed.filter(F.col("snapshot_us").isNotNull() & (F.col("n_prices") >= min_prices))
-    out = ["market_id", "snapshot_us", "n_prices", half_up("price_now", 4).alias("price_at_snapshot")]
+    out = ["market_id", "snapshot_us", *carried, "n_prices", half_up("price_now", 4).alias("price_at_snapshot")]
     out.append(half_up(F.abs(F.col("price_now") - 0.5), 4).alias("price_deviation_from_half"))
     for d in window_days:
         n, s1, s2, iq = (F.col(f"{c}_{d}") for c in ("n", "s1", "s2", "iq"))
@@ -154,12 +158,11 @@ def price_features(
 
 def build_snapshots(prices: DataFrame, markets: DataFrame, **settings) -> DataFrame:
     """The raw feature table: keys, time features, price features, volume, label and descriptive columns."""
-    feats = price_features(prices, markets, **settings)
-    rows = feats.join(markets, "market_id")
+    rows = price_features(prices, markets, **settings)
     left = (micros("end_date") - F.col("snapshot_us")) / float(DAY)
     elapsed = (F.col("snapshot_us") - micros("start_date")) / (micros("end_date") - micros("start_date")).cast("double")
-    rolling = [c for c in feats.columns if c not in ("market_id", "snapshot_us", "n_prices", "price_at_snapshot",
-                                                     "price_deviation_from_half")]
+    rolling = [c for c in rows.columns if c in rolling_columns(settings.get("window_days", WINDOW_DAYS))]
+    described = [c for c in ("split", "category", "question") if c in rows.columns]
     return rows.select(
         "market_id",
         from_micros("snapshot_us").alias("snapshot_timestamp"),
@@ -172,9 +175,7 @@ def build_snapshots(prices: DataFrame, markets: DataFrame, **settings) -> DataFr
         half_up(F.log1p("total_volume"), 4).alias("log_volume"),
         "outcome",
         *rolling,
-        "split",
-        "category",
-        "question",
+        *described,
     )
 
 

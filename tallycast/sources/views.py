@@ -63,7 +63,9 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_snapshots(prices(spark, sf_dir), markets(spark, sf_dir))
+    plain = markets_unsplit(spark, sf_dir)
+    split = time_split(plain, TRAIN_FRACTION).select("market_id", "split")
+    return build_snapshots(prices(spark, sf_dir), plain).join(split, "market_id")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
