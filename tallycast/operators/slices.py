@@ -55,6 +55,6 @@ def quantile_bins(df: DataFrame, col: str, n: int, name: str = "bin") -> DataFra
     at most n + 1 numbers."""
     edges = exact_percentiles(df, [], col, [k / n for k in range(n + 1)])
     sorted_edges = edges.agg(F.sort_array(F.collect_set("value")).alias("edges"))
-    rows = df.filter(F.col(col).isNotNull()).crossJoin(F.broadcast(sorted_edges))
+    rows = df.filter(F.col(col).isNotNull()).withColumn("edges", sorted_edges.scalar())
     below = F.size(F.filter("edges", lambda e: e < F.col(col)))
     return rows.withColumn(name, F.greatest(below, F.lit(1))).drop("edges")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tallycast.functions.numeric import half_up
 from tallycast.functions.timing import HOUR, days, from_micros, micros
 from tallycast.operators import leakage, snapshots, trends
+from tallycast.operators.live import time_fill
 from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
+from tallycast.session import cut
 from tallycast.sources import views as V
 
 INACTIVE_DAYS = 1
@@ -42,6 +44,11 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def stored_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean table written once, for jobs that pass over it several times."""
+    return cut(clean(spark, d))
+
+
 @query("snapshot_features", with_views("SELECT * FROM snapshots", "snapshots"))
 def snapshot_features(spark, d):
     return V.snapshots(spark, d)
@@ -180,7 +187,7 @@ def b_pre_cutoff(spark, d):
                    FROM markets WHERE market_id IN (SELECT market_id FROM train)"""}),
 )
 def m_holdout_split(spark, d):
-    train = clean(spark, d).filter("split = 'train'").select("market_id", "snapshot_timestamp")
+    train = stored_clean(spark, d).filter("split = 'train'").select("market_id", "snapshot_timestamp")
     parts = leakage.holdout_split(train, V.markets_unsplit(spark, d), 0.2)
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("market_id").alias("markets"))
 
@@ -241,6 +248,4 @@ def e_weekly_gaps(spark, d):
             FROM clean WHERE split = 'train'""", "clean"),
 )
 def d_time_fill(spark, d):
-    from tallycast.operators.live import time_fill
-
-    return time_fill(clean(spark, d).filter("split = 'train'"))
+    return time_fill(stored_clean(spark, d).filter("split = 'train'"))

@@ -10,7 +10,7 @@ from tallycast.operators import backtest as B
 from tallycast.operators import bootstrap as BS
 from tallycast.operators import metrics as M
 from tallycast.operators import slices as S
-from tallycast.plans.feature_queries import clean
+from tallycast.plans.feature_queries import stored_clean
 from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
 from tallycast.plans.sql_parts import (
@@ -495,7 +495,7 @@ def e_quantile_bins(spark, d):
     with_views(slice_sql("t", ["has_trend_data"]), "clean", extra={"t": "SELECT *, price_at_snapshot AS p FROM clean"}),
 )
 def s_has_trend_data(spark, d):
-    df = clean(spark, d).withColumn("p", F.col("price_at_snapshot"))
+    df = stored_clean(spark, d).withColumn("p", F.col("price_at_snapshot"))
     return rnd(S.auc_by(df, ["has_trend_data"]), "auc")
 
 
@@ -508,7 +508,7 @@ def s_has_trend_data(spark, d):
 )
 def s_trend_lift(spark, d):
     nudged = F.col("price_at_snapshot") + F.col("trend_spike") * 0.1 - 0.0005 * F.col("trend_change_4w")
-    df = clean(spark, d).filter(F.col("category") != "other").withColumn("p_b", F.least(F.greatest(nudged, F.lit(0.001)), F.lit(0.999)))
+    df = stored_clean(spark, d).filter(F.col("category") != "other").withColumn("p_b", F.least(F.greatest(nudged, F.lit(0.001)), F.lit(0.999)))
     plain, lifted = M.auc(df, ["category"], "price_at_snapshot"), M.auc(df, ["category"], "p_b")
     joined = plain.join(lifted.withColumnRenamed("auc", "auc_b"), "category")
     return joined.select("category", half_up(F.col("auc_b") - F.col("auc"), 6).alias("lift"))
@@ -522,7 +522,7 @@ def s_trend_lift(spark, d):
             FROM {metric_sql('t', [])}""", "clean", extra={"t": "SELECT *, price_at_snapshot AS p FROM clean WHERE split = 'train'"}),
 )
 def s_train_baseline(spark, d):
-    train = clean(spark, d).filter(F.col("split") == "train")
+    train = stored_clean(spark, d).filter(F.col("split") == "train")
     m = M.metric_table(train, [], "price_at_snapshot").select("n", "auc", "log_loss")
     right = ((F.col("price_at_snapshot") > 0.5) == (F.col("outcome") == 1)).cast("int")
     return rnd(m.withColumn("accuracy", train.agg(F.avg(right).alias("a")).scalar()), "auc", "log_loss", "accuracy")

@@ -101,9 +101,9 @@ def horizon_rows(spark, d, horizons):
         ["snapshot_timestamp", "row_key", "outcome", "price_at_snapshot", "p_model_a", "p_model_b", "category"], 2.0)
 
 
-@query("c_horizon_rows", with_views("SELECT market_id, horizon, row_key FROM near", "scored", extra={"near": NEAR_SQL.format(lo=30, hi=31)}))
+@query("c_horizon_rows", with_views("SELECT market_id, horizon, row_key FROM near", "scored", extra={"near": NEAR_SQL.format(lo=20, hi=21)}))
 def c_horizon_rows(spark, d):
-    return horizon_rows(spark, d, [30]).select("market_id", "horizon", "row_key")
+    return horizon_rows(spark, d, [20]).select("market_id", "horizon", "row_key")
 
 
 HORIZON_STRATEGIES = """SELECT *, 'model_a' AS strategy, p_model_a - price_at_snapshot AS edge FROM near UNION ALL
@@ -124,11 +124,11 @@ def t_horizon_sweep(spark, d):
 @query(
     "t_min_edge_sweep",
     with_views(summary_sql("strategy, tau", "trades"), "scored",
-               extra={"near": NEAR_SQL.format(lo=30, hi=31), "strategies": HORIZON_STRATEGIES,
+               extra={"near": NEAR_SQL.format(lo=20, hi=21), "strategies": HORIZON_STRATEGIES,
                       "grid": "SELECT * FROM strategies, (SELECT unnest(range(0, 16)) * 0.02::DOUBLE AS tau)", "trades": trade_sql("tau", "0.0", "grid")}),
 )
 def t_min_edge_sweep(spark, d):
-    rows = B.strategies(horizon_rows(spark, d, [30]), MODELS, ["market_id", "outcome", "price_at_snapshot"]).filter("edge IS NOT NULL")
+    rows = B.strategies(horizon_rows(spark, d, [20]), MODELS, ["market_id", "outcome", "price_at_snapshot"]).filter("edge IS NOT NULL")
     return summarised(B.sweep(rows, [k * 0.02 for k in range(16)], [0.0]).drop("cost"), ["strategy", "tau"])
 
 
