@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.functions.numeric import exact_percentiles
+from tallycast.functions.numeric import exact_percentiles, half_up
 from tallycast.operators.slices import equal_width
 
 
@@ -151,10 +151,11 @@ def error_rates(df: DataFrame, keys: list[str], p: str = "p", y: str = "outcome"
 
 def disagreements(df: DataFrame, p: str, threshold: float = 0.5, price: str = "price_at_snapshot", y: str = "outcome",
                   order: tuple[str, ...] = ("snapshot_timestamp",)) -> DataFrame:
-    """Per market: mean model and market probability, and which of the two was right."""
+    """Per market: mean model and market probability (rounded, so that summation order cannot decide a
+    tie at the threshold), and which of the two was right."""
     per = df.groupBy("market_id").agg(
         F.min_by(F.struct(F.col(y).alias("outcome"), "category", "total_volume"), F.struct(*order)).alias("m"),
-        F.avg(p).alias("model_prob"), F.avg(price).alias("market_prob"),
+        half_up(F.avg(p), 9).alias("model_prob"), half_up(F.avg(price), 9).alias("market_prob"),
     ).select("market_id", "m.*", "model_prob", "market_prob")
     yes = F.col("outcome") == 1
     model_right, market_right = (F.col("model_prob") >= threshold) == yes, (F.col("market_prob") >= 0.5) == yes

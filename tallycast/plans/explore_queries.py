@@ -211,8 +211,7 @@ DIS_SQL = f"""SELECT *, CASE WHEN (model_prob >= 0.5) = (outcome = 1) AND (marke
 
 
 def disagreement(spark, d) -> DataFrame:
-    df = X.disagreements(V.scored(spark, d), "p_model_a", order=("snapshot_timestamp", "row_key"))
-    return rnd(df, "model_prob", "market_prob", digits=9)
+    return X.disagreements(V.scored(spark, d), "p_model_a", order=("snapshot_timestamp", "row_key"))
 
 
 @query("d_disagreement_counts", with_views("SELECT kind, count(*) AS markets FROM dis GROUP BY kind", "scored", extra={"dis": DIS_SQL}))
@@ -232,8 +231,9 @@ CLASS_SQL = """CASE WHEN abs(p - outcome) < 0.2 THEN 'well' WHEN p < 0.35 AND ou
 
 
 @query("d_prediction_classes", with_views(
-    f"""SELECT class, category, count(*) AS n, {r('count(*) / sum(count(*)) OVER (PARTITION BY class)', 6)} AS share FROM (SELECT {CLASS_SQL} AS class, category FROM
-          (SELECT market_id, category, min(outcome) AS outcome, {r('avg(p_model_a)', 9)} AS p FROM scored GROUP BY ALL)) GROUP BY ALL""", "scored"))
+    f"""SELECT class, category, n, {r('n / sum(n) OVER (PARTITION BY class)', 6)} AS share FROM (
+          SELECT class, category, count(*) AS n FROM (SELECT {CLASS_SQL} AS class, category FROM
+            (SELECT market_id, category, min(outcome) AS outcome, {r('avg(p_model_a)', 9)} AS p FROM scored GROUP BY market_id, category)) GROUP BY class, category)""", "scored"))
 def d_prediction_classes(spark, d):
     per = V.scored(spark, d).groupBy("market_id", "category").agg(F.min("outcome").alias("outcome"), half_up(F.avg("p_model_a"), 9).alias("p"))
     return rnd(X.value_counts(per.withColumn("class", X.prediction_class()), "category", ["class"]), "share")

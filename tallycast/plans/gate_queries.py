@@ -195,10 +195,10 @@ def c_full_outer(spark, d):
     return o.join(n, BY_ROW, "full_outer").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("c_anti_join", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 10)")
 def c_anti_join(spark, d):
-    return V.table(spark, d, "customer").select("c_custkey").join(
-        V.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    big = V.table(spark, d, "lineitem").filter("l_quantity >= 10").select(F.col("l_orderkey").alias("o_orderkey"))
+    return V.table(spark, d, "orders").select("o_orderkey").join(big, "o_orderkey", "left_anti")
 
 
 @query("c_semi_join", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)")
@@ -410,7 +410,7 @@ def q_promotion_checks(spark, d):
 
 # ---------------------------------------------------------------- live lookups
 
-NOW_SQL = "(SELECT max(ts) FROM events)"
+NOW_SQL = "((SELECT max(ts) FROM events))"
 LOOKUPS_SQL = f"""SELECT event_id AS lookup_id, CASE WHEN event_id % 2 = 0 THEN 'sample' ELSE 'search' END AS source, event_id % 4000 AS market_id, ts,
     CASE WHEN event_id % 9 <> 0 THEN 'r' || (1 + user_id % 2) END AS release, {r('least(value, 100.0) / 100.0', 4)} AS market_price,
     {r('least(value, 150.0) / 150.0', 4)} AS model_a, CASE WHEN event_id % 50 <> 0 THEN {r('least(value, 300.0) / 300.0', 4)} END AS model_b FROM events"""
