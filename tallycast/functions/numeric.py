@@ -15,6 +15,12 @@ def half_up(c: Column | str, digits: int) -> Column:
     return F.floor(c * scale + 0.500001) / scale
 
 
+def half_up_sql(expr: str, digits: int) -> str:
+    """The same as SQL text, for wide projections."""
+    scale = f"1{'0' * digits}D"
+    return f"floor(({expr}) * {scale} + 0.500001D) / {scale}"
+
+
 def value_levels(c: Column) -> list[Column]:
     """Two coarse functions that never decrease as `c` grows: 64, then 65,536 steps per power of two."""
     size = F.signum(c) * F.log2(1 + F.abs(c))

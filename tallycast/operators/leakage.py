@@ -42,22 +42,31 @@ def inactivity_cutoffs(rows: DataFrame, cap: Column, allowance_days: int = 14, m
 def mark_removed(
     snapshots: DataFrame, closed_times: DataFrame, as_of: Column, allowance_days: int = 14, min_move: float = 0.001
 ) -> DataFrame:
-    """Adds `removed_by`: the first pass that drops the row (NULL = kept), and `closed_time`."""
+    """Adds `removed_by`: the first pass that drops the row (NULL = kept), and `closed_time`.
+
+    The inactivity rule looks at unsettled rows only: each is compared with the unsettled row before it.
+    That is a window over the market's grid rows, bounded by its lifetime, so all passes share one scan.
+    """
     cap = hard_cap(as_of)
     known = closed_times.filter(F.col("closed_time").isNotNull()).select("market_id", "closed_time")
-    joined = snapshots.join(known, "market_id", "left")
-    ts, closed = F.col("snapshot_timestamp"), F.col("closed_time")
-    open_rows = joined.filter(closed.isNull() & ~is_settled())
-    cutoffs = inactivity_cutoffs(
-        open_rows.select("market_id", "snapshot_timestamp", "price_at_snapshot"), cap, allowance_days, min_move
+    market = W.partitionBy("market_id")
+    earlier = market.orderBy("snapshot_timestamp").rowsBetween(W.unboundedPreceding, -1)
+    ts, closed, price = F.col("snapshot_timestamp"), F.col("closed_time"), F.col("price_at_snapshot")
+    last_open_price = F.last(F.when(~is_settled(), price), ignorenulls=True).over(earlier)
+    moved = ~is_settled() & (F.abs(price - last_open_price) > min_move)
+    joined = (
+        snapshots.join(known, "market_id", "left")
+        .withColumn("moved_at", F.when(moved, ts))
+        .withColumn("last_move", F.max("moved_at").over(market))
     )
+    inactive_after = F.least(F.coalesce(F.col("last_move") + days(allowance_days), cap), cap)
     reason = (
         F.when(ts > closed, PASSES[0])
         .when(is_settled(), PASSES[1])
-        .when(closed.isNull() & (ts > F.col("inactive_after")), PASSES[2])
+        .when(closed.isNull() & (ts > inactive_after), PASSES[2])
         .when(ts > cap, PASSES[3])
     )
-    return joined.join(cutoffs, "market_id", "left").withColumn("removed_by", reason).drop("inactive_after")
+    return joined.withColumn("removed_by", reason).drop("moved_at", "last_move")
 
 
 def removal_counts(marked: DataFrame) -> DataFrame:

@@ -11,10 +11,9 @@ many tasks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallycast.functions.numeric import half_up
+from tallycast.functions.numeric import half_up, half_up_sql
 from tallycast.functions.timing import DAY, HOUR, ceil_div, days_between, from_micros, micros
 
 ROLLING_STATS = ["mean", "volatility", "min", "max", "change", "range", "trend"]
@@ -59,49 +58,21 @@ def slot_sums(prices: DataFrame, markets: DataFrame, interval_hours: int = 12, c
             (offset % step == 0).alias("on_grid"),
         )
     )
-    numbered = located.withColumn(
-        "i", F.row_number().over(W.partitionBy("market_id", "cell").orderBy("price_us", "event_id"))
-    ).withColumn("q", F.col("price") - MID)
-
-    def edge(c):
-        return F.when(F.col("on_grid"), c)
-
-    cells = numbered.groupBy("market_id", "cell", "slot").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("q").alias("s1"),
-        F.sum(F.col("q") * F.col("q")).alias("s2"),
-        F.sum(F.col("i") * F.col("q")).alias("iq"),
-        F.min("price").alias("lo"),
-        F.max("price").alias("hi"),
-        F.min_by("price", "i").alias("first"),
-        F.max_by("price", "i").alias("last"),
-        F.count(edge(F.col("q"))).alias("e_n"),
-        F.sum(edge(F.col("q"))).alias("e_s1"),
-        F.sum(edge(F.col("q") * F.col("q"))).alias("e_s2"),
-        F.sum(edge(F.col("i") * F.col("q"))).alias("e_iq"),
-        F.min(edge(F.col("price"))).alias("e_lo"),
-        F.max(edge(F.col("price"))).alias("e_hi"),
-        F.min_by(edge(F.col("price")), edge(F.col("i"))).alias("e_first"),
-    )
-    earlier = W.partitionBy("market_id").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    placed = cells.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    return placed.groupBy("market_id", "slot").agg(
-        F.sum("n").alias("n"),
-        F.sum("s1").alias("s1"),
-        F.sum("s2").alias("s2"),
-        F.sum(F.col("before") * F.col("s1") + F.col("iq")).alias("iq"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-        F.min_by("first", "cell").alias("first"),
-        F.max_by("last", "cell").alias("last"),
-        F.sum("e_n").alias("e_n"),
-        F.sum("e_s1").alias("e_s1"),
-        F.sum("e_s2").alias("e_s2"),
-        F.sum(F.col("before") * F.col("e_s1") + F.col("e_iq")).alias("e_iq"),
-        F.min("e_lo").alias("e_lo"),
-        F.max("e_hi").alias("e_hi"),
-        F.max("e_first").alias("e_first"),
+    numbered = located.selectExpr(
+        "market_id", "cell", "slot", "on_grid", "price", f"price - {MID}D AS q",
+        "row_number() OVER (PARTITION BY market_id, cell ORDER BY price_us, event_id) AS i",
     )
+    sums = {"n": "count(q)", "s1": "sum(q)", "s2": "sum(q * q)", "iq": "sum(i * q)", "lo": "min(price)", "hi": "max(price)",
+            "first": "min_by(price, i)", "last": "max_by(price, i)"}
+    edge = [F.expr(f"{agg} FILTER (WHERE on_grid) AS e_{name}") for name, agg in sums.items() if name != "last"]
+    cells = numbered.groupBy("market_id", "cell", "slot").agg(*[F.expr(f"{agg} AS {name}") for name, agg in sums.items()], *edge)
+    placed = cells.selectExpr(
+        "*", "coalesce(sum(n) OVER (PARTITION BY market_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    merged = {**{c: f"sum({c})" for c in ("n", "s1", "s2", "e_n", "e_s1", "e_s2")},
+              "iq": "sum(before * s1 + iq)", "e_iq": "sum(before * e_s1 + e_iq)",
+              "lo": "min(lo)", "hi": "max(hi)", "e_lo": "min(e_lo)", "e_hi": "max(e_hi)",
+              "first": "min_by(first, cell)", "last": "max_by(last, cell)", "e_first": "max(e_first)"}
+    return placed.groupBy("market_id", "slot").agg(*[F.expr(f"{agg} AS {name}") for name, agg in merged.items()])
 
 
 def price_features(
@@ -117,43 +88,64 @@ def price_features(
     grid = snapshot_grid(markets, interval_hours, burn_in_days).select("market_id", "slot", "snapshot_us", *carried)
     slots = slot_sums(prices, markets, interval_hours, cells_per_slot)
     timeline = slots.unionByName(grid, allowMissingColumns=True)
-    order = W.partitionBy("market_id").orderBy("slot")
-    past = order.rangeBetween(W.unboundedPreceding, 0)
-    cols = [F.sum("n").over(past).alias("n_prices"), F.last("last", ignorenulls=True).over(past).alias("price_now")]
+    framed = timeline.selectExpr("market_id", "snapshot_us", *carried, *_frame_columns(step, window_days))
+    rows = framed.filter(F.col("snapshot_us").isNotNull() & (F.col("n_prices") >= min_prices))
+    moments = rows.selectExpr("*", *_moment_columns(window_days))
+    return moments.selectExpr(
+        "market_id", "snapshot_us", *carried, "n_prices",
+        f"{half_up_sql('price_now', 4)} AS price_at_snapshot",
+        f"{half_up_sql('abs(price_now - 0.5D)', 4)} AS price_deviation_from_half",
+        *_statistic_columns(window_days),
+    )
+
+
+def _frame_columns(step: int, window_days) -> list[str]:
+    """Sums and extremes over the slots of each window, plus the prices on the grid point where it opens."""
+    by_slot = "OVER (PARTITION BY market_id ORDER BY slot RANGE BETWEEN {} AND {})"
+    past = by_slot.format("UNBOUNDED PRECEDING", "CURRENT ROW")
+    cols = [f"sum(n) {past} AS n_prices", f"last(last, true) {past} AS price_now"]
     for d in window_days:
         width = d * DAY // step
-        inside, edge = order.rangeBetween(1 - width, 0), order.rangeBetween(-width, -width)
-        for c in ("n", "s1", "s2", "iq"):
-            both = F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.coalesce(F.sum(f"e_{c}").over(edge), F.lit(0))
-            cols.append(both.alias(f"{c}_{d}"))
+        inside = by_slot.format(f"{width - 1} PRECEDING", "CURRENT ROW")
+        edge = by_slot.format(f"{width} PRECEDING", f"{width} PRECEDING")
+        cols += [f"coalesce(sum({c}) {inside}, 0) + coalesce(sum(e_{c}) {edge}, 0) AS {c}_{d}" for c in ("n", "s1", "s2", "iq")]
         cols += [
-            F.least(F.min("lo").over(inside), F.min("e_lo").over(edge)).alias(f"lo_{d}"),
-            F.greatest(F.max("hi").over(inside), F.max("e_hi").over(edge)).alias(f"hi_{d}"),
-            F.coalesce(
-                F.max("e_first").over(edge), F.first("first", ignorenulls=True).over(inside)
-            ).alias(f"first_{d}"),
+            f"least(min(lo) {inside}, min(e_lo) {edge}) AS lo_{d}",
+            f"greatest(max(hi) {inside}, max(e_hi) {edge}) AS hi_{d}",
+            f"coalesce(max(e_first) {edge}, first(first, true) {inside}) AS first_{d}",
         ]
-    framed = timeline.select("market_id", "snapshot_us", *carried, *cols)
-    rows = framed.filter(F.col("snapshot_us").isNotNull() & (F.col("n_prices") >= min_prices))
-    out = ["market_id", "snapshot_us", *carried, "n_prices", half_up("price_now", 4).alias("price_at_snapshot")]
-    out.append(half_up(F.abs(F.col("price_now") - 0.5), 4).alias("price_deviation_from_half"))
+    return cols
+
+
+def _moment_columns(window_days) -> list[str]:
+    """Mean, variance and slope over observation numbers. The numbers in a window are consecutive and end
+    at n_prices, which gives their mean and variance in closed form."""
+    cols = []
+    for d in window_days:
+        n, s1 = f"n_{d}", f"s1_{d}"
+        cols += [
+            f"CASE WHEN {n} >= 2 THEN {s1} / {n} END AS mean_{d}",
+            f"CASE WHEN {n} >= 2 THEN greatest(s2_{d} / {n} - ({s1} / {n}) * ({s1} / {n}), 0D) END AS var_{d}",
+            f"CASE WHEN {n} >= 2 THEN (iq_{d} - (n_prices - ({n} - 1) / 2D) * {s1}) / ({n} * (CAST({n} AS DOUBLE) * {n} - 1) / 12D) END AS slope_{d}",
+        ]
+    return cols
+
+
+def _statistic_columns(window_days) -> list[str]:
+    cols = []
     for d in window_days:
-        n, s1, s2, iq = (F.col(f"{c}_{d}") for c in ("n", "s1", "s2", "iq"))
-        mean = s1 / n
-        variance = F.greatest(s2 / n - mean * mean, F.lit(0.0))
-        middle = F.col("n_prices") - (n - 1) / 2.0
-        slope = (iq - middle * s1) / (n * (n * n - 1) / 12.0)
+        enough = f"n_{d} >= 2"
         stats = {
-            "mean": half_up(mean + MID, 4),
-            "volatility": half_up(F.sqrt(variance), 4),
-            "min": half_up(f"lo_{d}", 4),
-            "max": half_up(f"hi_{d}", 4),
-            "change": half_up(F.col("price_now") - F.col(f"first_{d}"), 4),
-            "range": half_up(F.col(f"hi_{d}") - F.col(f"lo_{d}"), 4),
-            "trend": half_up(slope, 6),
+            "mean": half_up_sql(f"mean_{d} + {MID}D", 4),
+            "volatility": half_up_sql(f"sqrt(var_{d})", 4),
+            "min": half_up_sql(f"lo_{d}", 4),
+            "max": half_up_sql(f"hi_{d}", 4),
+            "change": half_up_sql(f"price_now - first_{d}", 4),
+            "range": half_up_sql(f"hi_{d} - lo_{d}", 4),
+            "trend": half_up_sql(f"slope_{d}", 6),
         }
-        out += [F.when(n >= 2, stats[s]).alias(f"price_{s}_{d}d") for s in ROLLING_STATS]
-    return rows.select(*out)
+        cols += [f"CASE WHEN {enough} THEN {stats[s]} END AS price_{s}_{d}d" for s in ROLLING_STATS]
+    return cols
 
 
 def build_snapshots(prices: DataFrame, markets: DataFrame, **settings) -> DataFrame:
@@ -191,14 +183,11 @@ def fill_rolling(df: DataFrame, window_days=WINDOW_DAYS) -> DataFrame:
     """Windows without statistics become flat at the current price."""
     filled = {}
     for d in window_days:
-        empty = F.col(f"price_mean_{d}d").isNull()
-        for s in FILL_WITH_PRICE:
-            c = f"price_{s}_{d}d"
-            filled[c] = F.when(empty, half_up("price_at_snapshot", 4)).otherwise(F.col(c))
-        for s in FILL_WITH_ZERO:
-            c = f"price_{s}_{d}d"
-            filled[c] = F.when(empty, F.lit(0.0)).otherwise(F.col(c))
-    return df.withColumns(filled)
+        empty = f"price_mean_{d}d IS NULL"
+        flat = half_up_sql("price_at_snapshot", 4)
+        filled |= {f"price_{s}_{d}d": f"CASE WHEN {empty} THEN {flat} ELSE price_{s}_{d}d END" for s in FILL_WITH_PRICE}
+        filled |= {f"price_{s}_{d}d": f"CASE WHEN {empty} THEN 0D ELSE price_{s}_{d}d END" for s in FILL_WITH_ZERO}
+    return df.selectExpr(*[f"{filled[c]} AS {c}" if c in filled else c for c in df.columns])
 
 
 def finish_features(df: DataFrame, window_days=WINDOW_DAYS) -> DataFrame:

@@ -34,14 +34,16 @@ def with_trends(spark: SparkSession, d: str) -> DataFrame:
 
 def marked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.mark_removed(
-        with_trends(spark, d), V.markets(spark, d), cap_time(spark, d), INACTIVE_DAYS, MIN_MOVE
+        V.snapshots(spark, d), V.markets_unsplit(spark, d), cap_time(spark, d), INACTIVE_DAYS, MIN_MOVE
     )
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.clean_snapshots(
-        with_trends(spark, d), V.markets(spark, d), cap_time(spark, d), INACTIVE_DAYS, MIN_MOVE
+    """Trends are attached after the leakage passes, to the rows that survive them."""
+    kept = leakage.clean_snapshots(
+        V.snapshots(spark, d), V.markets(spark, d), cap_time(spark, d), INACTIVE_DAYS, MIN_MOVE
     )
+    return trends.merge_trends(kept, V.trends(spark, d))
 
 
 def stored_clean(spark: SparkSession, d: str) -> DataFrame:
