@@ -39,11 +39,27 @@ def trades(
     )
 
 
-def first_trade(df: DataFrame, keys: list[str], order: list[str], market: str = "market_id") -> DataFrame:
-    """The first trade of each market per key: a mergeable minimum, so busy markets combine map-side."""
-    rest = [c for c in df.columns if c not in (*keys, market)]
-    picked = df.groupBy(*keys, market).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("t"))
-    return picked.select(*keys, market, "t.*")
+def first_trades(
+    df: DataFrame, models: dict[str, str], order: list[str], keep: list[str] = (), tau: float = DEFAULT_TAU, cost: float = 0.0,
+    price: str = "price_at_snapshot", y: str = "outcome", market: str = "market_id",
+) -> DataFrame:
+    """The first trade of each market per strategy, as one row per (strategy, market).
+
+    All strategies share the market's order, so one mergeable aggregate with a conditional minimum per
+    strategy does it; the rows are not copied per strategy.
+    """
+    p, out = F.col(price), F.col(y)
+    yes_trade = F.struct((out - p - cost).alias("profit"), (p + cost).alias("capital"), *order, *keep)
+    no_trade = F.struct((p - out - cost).alias("profit"), (1 - p + cost).alias("capital"), *order, *keep)
+    sides = {m: (F.col(c) - p > tau, F.col(c) - p < -tau) for m, c in models.items()}
+    sides |= {ALWAYS_NO: (F.lit(False), F.lit(True)), ALWAYS_YES: (F.lit(True), F.lit(False))}
+    picks = []
+    for name, (yes, no) in sides.items():
+        chosen = F.when(yes, yes_trade).when(no, no_trade)
+        picks.append(F.min_by(chosen, F.when(yes | no, F.struct(*order))).alias(name))
+    per_market = df.groupBy(market).agg(*picks)
+    rows = F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("t")) for n in sides])
+    return per_market.select(market, F.inline(rows)).filter(F.col("t").isNotNull()).select("strategy", market, "t.*")
 
 
 def summary(df: DataFrame, keys: list[str], market: str = "market_id") -> DataFrame:
@@ -56,11 +72,27 @@ def summary(df: DataFrame, keys: list[str], market: str = "market_id") -> DataFr
     ).withColumn("roi", F.try_divide(F.col("profit"), F.col("capital")))
 
 
-def sweep(rows: DataFrame, taus: list[float], costs: list[float], **names) -> DataFrame:
-    """Trades for every threshold and cost; the small fixed grid is attached row by row, without a shuffle."""
-    grid = [F.struct(F.lit(t).alias("tau"), F.lit(c).alias("cost")) for t in taus for c in costs]
-    wide = rows.select("*", F.inline(F.array(*grid)))
-    return trades(wide, F.col("tau"), F.col("cost"), **names)
+def sweep(
+    rows: DataFrame, keys: list[str], taus: list[float], costs: list[float], price: str = "price_at_snapshot",
+    y: str = "outcome", market: str = "market_id",
+) -> DataFrame:
+    """Summary for every threshold and cost. The cost never decides whether a row trades: rows are summed
+    per market and threshold at no cost, with the wins counted at each cost, and costs are applied to the sums."""
+    grid = F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau")
+    t = trades(rows.select("*", grid), F.col("tau"), price=price, y=y)
+    wins = [F.count_if(F.col("profit") - c > 0).alias(f"wins_{i}") for i, c in enumerate(costs)]
+    by = [*keys, "tau"]
+    per_market = t.groupBy(*by, market).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("profit").alias("profit"), F.sum("capital").alias("capital"), *wins)
+    sums = per_market.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("markets"), *[F.sum(c).alias(c) for c in ("trades", "profit", "capital")],
+        *[F.sum(f"wins_{i}").alias(f"wins_{i}") for i in range(len(costs))])
+    priced = F.array(*[F.struct(
+        F.lit(c).alias("cost"), (F.col("profit") - c * F.col("trades")).alias("profit_c"),
+        (F.col("capital") + c * F.col("trades")).alias("capital_c"),
+        (F.col(f"wins_{i}") / F.col("trades")).alias("win_rate")) for i, c in enumerate(costs)])
+    return sums.select(*by, "trades", "markets", F.inline(priced)).withColumnsRenamed(
+        {"profit_c": "profit", "capital_c": "capital"}).withColumn("roi", F.try_divide(F.col("profit"), F.col("capital")))
 
 
 def roi_interval(df: DataFrame, n_boot: int, seed: int = 42, market: str = "market_id") -> DataFrame:

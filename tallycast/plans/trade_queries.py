@@ -37,9 +37,12 @@ def strategy_rows(spark, d, *keep):
     return B.strategies(V.scored(spark, d), MODELS, [*KEEP, *keep])
 
 
+def tidy(summary):
+    return rnd(rnd(summary, "profit", "capital", digits=4), "win_rate", "roi")
+
+
 def summarised(df, keys):
-    out = rnd(B.summary(df, keys), "profit", "capital", digits=4)
-    return rnd(out, "win_rate", "roi")
+    return tidy(B.summary(df, keys))
 
 
 @query("t_per_snapshot", with_views(summary_sql("strategy", "trades"), "scored", extra={"strategies": STRATEGY_SQL, "trades": trade_sql()}))
@@ -52,7 +55,7 @@ def t_per_snapshot(spark, d):
     with_views(summary_sql("strategy", "firsts"), "scored", extra={"strategies": STRATEGY_SQL, "trades": trade_sql(), "firsts": FIRST_SQL}),
 )
 def t_one_per_market(spark, d):
-    firsts = B.first_trade(B.trades(strategy_rows(spark, d)), ["strategy"], ["snapshot_timestamp", "row_key"])
+    firsts = B.first_trades(V.scored(spark, d), MODELS, ["snapshot_timestamp", "row_key"])
     return summarised(firsts, ["strategy"])
 
 
@@ -62,7 +65,7 @@ def t_one_per_market(spark, d):
                extra={"strategies": STRATEGY_SQL, "trades": trade_sql(), "firsts": FIRST_SQL}),
 )
 def t_first_trades(spark, d):
-    firsts = B.first_trade(B.trades(strategy_rows(spark, d)), ["strategy"], ["snapshot_timestamp", "row_key"])
+    firsts = B.first_trades(V.scored(spark, d), MODELS, ["snapshot_timestamp", "row_key"])
     return firsts.select("strategy", "market_id", "snapshot_timestamp", "row_key")
 
 
@@ -75,8 +78,7 @@ GRID_SQL = "SELECT * FROM strategies, (SELECT unnest([0.02, 0.05, 0.1])::DOUBLE
                extra={"strategies": STRATEGY_SQL, "grid": GRID_SQL, "trades": trade_sql("tau", "cost", "grid")}),
 )
 def t_tau_cost_sweep(spark, d):
-    swept = B.sweep(strategy_rows(spark, d), [0.02, 0.05, 0.1], [0.0, 0.01, 0.02])
-    return summarised(swept, ["strategy", "tau", "cost"])
+    return tidy(B.sweep(strategy_rows(spark, d), ["strategy"], [0.02, 0.05, 0.1], [0.0, 0.01, 0.02]))
 
 
 @query(
@@ -129,7 +131,7 @@ def t_horizon_sweep(spark, d):
 )
 def t_min_edge_sweep(spark, d):
     rows = B.strategies(horizon_rows(spark, d, [20]), MODELS, ["market_id", "outcome", "price_at_snapshot"]).filter("edge IS NOT NULL")
-    return summarised(B.sweep(rows, [k * 0.02 for k in range(16)], [0.0]).drop("cost"), ["strategy", "tau"])
+    return tidy(B.sweep(rows, ["strategy"], [k * 0.02 for k in range(16)], [0.0]).drop("cost"))
 
 
 @query(
