@@ -24,7 +24,7 @@ def parts(spark, d, numeric: list[str]) -> tuple[DataFrame, DataFrame, DataFrame
     """(fit, holdout, test), prepared; fit carries its weights."""
     rows = cut(ML.prepare(stored_clean(spark, d), numeric))
     split = cut(leakage.holdout_split(rows.filter("split = 'train'"), V.markets_unsplit(spark, d), 0.2))
-    fit = cut(ML.row_weights(split.filter("part = 'fit'")))
+    fit = ML.training_table(split.filter("part = 'fit'"))
     return fit, split.filter("part = 'holdout'"), rows.filter("split LIKE 'test%'")
 
 
