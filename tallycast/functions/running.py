@@ -50,5 +50,5 @@ def running_rank(df: DataFrame, keys: list[str], levels: list[str], order: list,
 def hash_rank(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
     """Dense 1-based numbering of unique `key`s in the order of their md5: even buckets, any key type."""
     digest = F.md5(F.col(key).cast("string"))
-    marked = df.withColumn("digest", digest).withColumn("digest_head", F.substring("digest", 1, 3))
+    marked = df.withColumn("digest", digest).withColumn("digest_head", F.substring("digest", 1, 4))
     return running_rank(marked, [], ["digest_head"], ["digest", key], name).drop("digest")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallycast.functions.running import running_rank
-from tallycast.functions.timing import DAY, days, div, micros
+from tallycast.functions.timing import DAY, SECOND, days, div, micros
 
 SETTLED_HIGH = 0.95
 SETTLED_LOW = 0.05
@@ -98,16 +98,19 @@ def clean_snapshots(
 
 
 def resolution_rank(markets: DataFrame) -> DataFrame:
-    """Markets numbered by resolution time (closing time, else scheduled end), ties by md5 of the id."""
+    """Markets numbered by resolution time (closing time, else scheduled end), ties by md5 of the id.
+
+    Many markets resolve at the same instant, so the finest level splits an instant by digest.
+    """
     digest = F.md5(F.col("market_id").cast("string"))
     marked = (
         markets.withColumn("resolved_at", F.coalesce("closed_time", "end_date"))
         .withColumn("digest", digest)
         .withColumn("lvl_day", div(micros("resolved_at"), DAY))
-        .withColumn("lvl_us", micros("resolved_at"))
-        .withColumn("lvl_digest", F.substring("digest", 1, 3))
+        .withColumn("lvl_second", div(micros("resolved_at"), SECOND))
+        .withColumn("lvl_tie", F.struct(micros("resolved_at").alias("us"), F.substring("digest", 1, 4).alias("head")))
     )
-    return running_rank(marked, [], ["lvl_day", "lvl_us", "lvl_digest"], ["digest", "market_id"]).drop("digest")
+    return running_rank(marked, [], ["lvl_day", "lvl_second", "lvl_tie"], ["digest", "market_id"]).drop("digest")
 
 
 def time_split(markets: DataFrame, train_fraction: float = 0.8) -> DataFrame:

@@ -15,7 +15,7 @@ from tallycast.functions.running import running_sums
 from tallycast.functions.timing import days
 
 CLIP = 1e-6
-SCORE_LEVELS = 1024
+SCORE_LEVELS = 65536
 F1_GUARD = 1e-9
 
 

@@ -165,12 +165,16 @@ def compare_builds(old: DataFrame, new: DataFrame, closed_times: DataFrame, feat
     return gate_table(rows, issues, notes)
 
 
-def market_digests(df: DataFrame, exclude: list[str] = (), name: str = "digest") -> DataFrame:
-    """Per market: row count and two 31-bit sums of row hashes; independent of row order."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns) if c not in exclude])
-    low, high = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)
-    return df.groupBy("market_id").agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.sum(low.cast("bigint")).alias("lo"), F.sum(high.cast("bigint")).alias("hi")).alias(name))
+def market_digests(df: DataFrame, exclude: list[str] = (), name: str = "digest", also: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per market: row count and two 31-bit sums of row hashes; independent of row order. `also` adds digests
+    with other columns left out, in the same pass."""
+    def digest(skip: list[str]):
+        h = F.xxhash64(*[F.col(c) for c in sorted(df.columns) if c not in skip])
+        low, high = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)
+        return F.struct(F.count(F.lit(1)).alias("n"), F.sum(low.cast("bigint")).alias("lo"), F.sum(high.cast("bigint")).alias("hi"))
+
+    wanted = {name: list(exclude), **(also or {})}
+    return df.groupBy("market_id").agg(*[digest(skip).alias(n) for n, skip in wanted.items()])
 
 
 def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,9 +188,7 @@ def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
 def compare_with_parent(new: DataFrame, parent: DataFrame, built: DataFrame) -> DataFrame:
     """Per market: gone, added without being built, added, changed, recategorised, same."""
     def digests(df, side):
-        full = market_digests(df, ["split"], f"{side}_full")
-        bare = market_digests(df, ["split", "category"], f"{side}_bare")
-        return full.join(bare, "market_id")
+        return market_digests(df, ["split"], f"{side}_full", {f"{side}_bare": ["split", "category"]})
 
     j = digests(new, "new").join(digests(parent, "old"), "market_id", "full_outer").join(
         built.select("market_id").distinct().withColumn("built", F.lit(True)), "market_id", "left")

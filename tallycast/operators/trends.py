@@ -52,7 +52,8 @@ def asof_join(
     Every right row is valid until its successor. It is copied into each time bucket of that span,
     and left rows look up (key, bucket), so no key is gathered in one task and a left row meets only
     the right rows of its own bucket. The last row of a key is open-ended and joins by key alone.
-    (key, right_ts) must be unique.
+    (key, right_ts) must be unique. For a right side with few rows per key and bucket, such as a weekly
+    grid; `asof_join_dense` takes any.
     """
     width = bucket_days * DAY
     spans = right.select(F.col(key), micros(right_ts).alias("from_us"), *values).withColumn(
@@ -83,6 +84,28 @@ def asof_join(
     )
 
 
+def asof_join_dense(
+    left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], bucket_days: int = 1
+) -> DataFrame:
+    """The same result for a right side of any density, in linear work per (key, bucket).
+
+    Both sides are ordered together inside a bucket; a left row without an earlier right row there takes
+    the last right row of an earlier bucket, found among per-bucket maxima.
+    """
+    width = bucket_days * DAY
+    payload = F.struct(*values)
+    a = left.select(key, micros(left_ts).alias("at_us"), F.lit(1).alias("side"), F.struct(*left.columns).alias("row"))
+    b = right.select(key, micros(right_ts).alias("at_us"), F.lit(0).alias("side"), payload.alias("hit"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("bucket", div(F.col("at_us"), width))
+    inside = W.partitionBy(key, "bucket").orderBy("at_us", "side").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("near", F.last("hit", ignorenulls=True).over(inside)).filter("side = 1")
+    newest = both.groupBy(key, "bucket").agg(F.max_by("hit", F.when(F.col("side") == 0, F.col("at_us"))).alias("newest"))
+    earlier = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = newest.select(key, "bucket", F.last("newest", ignorenulls=True).over(earlier).alias("carried"))
+    best = F.coalesce("near", "carried")
+    return found.join(carried, [key, "bucket"], "left").select("row.*", *[best.getField(v).alias(v) for v in values])
+
+
 def merge_trends(snapshots: DataFrame, trends: DataFrame) -> DataFrame:
     """Attach the latest completed week of the snapshot's category; a week is usable seven days after it starts."""
     ready = trends.withColumn("available_at", F.col("week_start") + days(7))

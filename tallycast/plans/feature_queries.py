@@ -109,7 +109,7 @@ def c_asof_prices(spark, d):
     price = half_up(F.least(F.col("value"), F.lit(100.0)) / 100.0, 4)
     clicks = ev.filter("event_type = 'click'").groupBy("user_id", F.col("ts").alias("click_ts")).agg(F.max(price).alias("last_click_price"))
     views = ev.filter("event_type = 'view'").select("event_id", "user_id", "ts")
-    return trends.asof_join(views, clicks, "user_id", "ts", "click_ts", ["last_click_price"], bucket_days=1).select(
+    return trends.asof_join_dense(views, clicks, "user_id", "ts", "click_ts", ["last_click_price"]).select(
         "event_id", "last_click_price")
 
 

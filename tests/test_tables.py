@@ -56,12 +56,14 @@ def test_asof_join_equals_brute_force(spark, t0):
     right = sorted({(k, t0 + dt.timedelta(hours=rng.randrange(2400))) for k in "ab" for _ in range(60)})
     right = [(k, ts, i) for i, (k, ts) in enumerate(right)]
     left = [(i, rng.choice("abc"), t0 + dt.timedelta(hours=rng.randrange(-100, 2600))) for i in range(500)] + [(900, *right[3][:2])]
-    out = T.asof_join(spark.createDataFrame(left, "id int, k string, ts timestamp_ntz"),
-                      spark.createDataFrame(right, "k string, at timestamp_ntz, v int"), "k", "ts", "at", ["v"]).collect()
-    assert len(out) == len(left)
-    for r in out:
-        best = max(((at, v) for k, at, v in right if k == r.k and at <= r.ts), default=(None, None))
-        assert r.v == best[1]
+    a = spark.createDataFrame(left, "id int, k string, ts timestamp_ntz")
+    b = spark.createDataFrame(right, "k string, at timestamp_ntz, v int")
+    for join in (T.asof_join, T.asof_join_dense):
+        out = join(a, b, "k", "ts", "at", ["v"]).collect()
+        assert len(out) == len(left)
+        for r in out:
+            best = max(((at, v) for k, at, v in right if k == r.k and at <= r.ts), default=(None, None))
+            assert r.v == best[1]
 
 
 def test_trend_week_is_usable_after_seven_days(spark, t0):
