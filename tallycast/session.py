@@ -15,6 +15,8 @@ def get_session(app: str = "tallycast", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # long sessions: let finished shuffles go before they pile up on disk
+        .config("spark.cleaner.periodicGC.interval", "5min")
     )
     if master:
         builder = builder.master(master)
