@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import bpe
+from tallycast.llm import bpe, pii, secret_scan, simhash
 from tallycast.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
 @query("op1_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op3_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secrets")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
