@@ -22,12 +22,13 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAF = 16
-CACHE = 200_000
+CACHE = 300_000
 #: Ids that one leaf of the decoding tree concatenates.
 DECODE_LEAF = 1024
 
@@ -119,50 +120,82 @@ class ByteBpe:
         return level[0] if level else b""
 
 
-def with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
+#: The encoder of this Python process, kept from task to task with its cache.
+ENCODERS: dict[tuple[int, str], ByteBpe] = {}
+#: Rows of an Arrow batch that are answered at once.
+ROWS = 256
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encoder(key: int, ranks: Broadcast, pattern: str) -> ByteBpe:
+    if (key, pattern) not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[key, pattern] = ByteBpe(ranks.value, pattern)
+    return ENCODERS[key, pattern]
+
+
+def extended(df: DataFrame, **kinds: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.lower() in [n.lower() for n in names]])
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """`df` without the text and with the ids of the whole text as `ids` (array of int; a null or empty text gives
-    an empty array). Other columns pass through; one named like `ids` is replaced. One row out for each row in, so
-    repeated rows stay and an empty table stays empty."""
-    slim = df.drop(*[c for c in df.columns if c.lower() == ids.lower()]) if ids.lower() != text.lower() else df
+    an empty array); with `decoded`, also the bytes decoded from these ids, in the same pass. Other columns pass
+    through; one named like a new column is replaced. One row out for each row in, so repeated rows stay and an
+    empty table stays empty."""
+    keep = without(df, text, ids, decoded or ids)
+    names, slim = keep.columns, df.select(*keep.columns, text)
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    keep = [c for c in slim.columns if c != text]
+    key = hash((ranks_path, len(ranks.value)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBpe(ranks.value, pattern)
+        bpe = encoder(key, ranks, pattern)
         for batch in batches:
-            out = batch[keep].copy()
-            out[ids] = [bpe.encode(x or "") for x in batch[text]]
-            yield out
+            for at in range(0, len(batch), ROWS):
+                some = batch.iloc[at:at + ROWS]
+                out = some[names].copy()
+                found = [bpe.encode(x or "") for x in some[text]]
+                out[ids] = found
+                if decoded:
+                    out[decoded] = [bpe.decode(x) for x in found]
+                yield out
 
-    return slim.mapInPandas(run, with_column(slim.drop(text), ids, T.ArrayType(T.IntegerType())))
+    kinds = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    return slim.mapInPandas(run, extended(keep, **kinds))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """`df` with the bytes of its ids as `decoded` (binary); null ids give no bytes. An id outside the vocabulary is
     an error, since nothing can stand for it."""
-    slim = df.drop(*[c for c in df.columns if c.lower() == decoded.lower()])
+    slim = without(df, decoded)
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    none = np.empty(0, np.int32)
+    key, none = hash((ranks_path, len(ranks.value))), np.empty(0, np.int32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBpe(ranks.value, "")
+        bpe = encoder(key, ranks, "")
         for batch in batches:
-            batch[decoded] = [bpe.decode(none if x is None else x) for x in batch[ids]]
-            yield batch
+            for at in range(0, len(batch), ROWS):
+                out = batch.iloc[at:at + ROWS].copy()
+                out[decoded] = [bpe.decode(none if x is None else x) for x in out[ids]]
+                yield out
+
+    return slim.mapInPandas(run, extended(slim, **{decoded: T.BinaryType()}))
+
 
-    return slim.mapInPandas(run, with_column(slim, decoded, T.BinaryType()))
+def joined_digest(ids: str) -> Column:
+    """SHA-256 of the decimal ids joined by one space."""
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, number of ids, digest of the ids as text, digest of the decoded bytes; a row for each document."""
-    tokens = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern), ranks_path)
+    tokens = encode(docs.select("doc_id", "text"), ranks_path, pattern, decoded="decoded")
     return tokens.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        joined_digest("token_ids").alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
