@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from tallycast.functions.running import running_sums
 
 
+#: From here on a double has no digits after the point.
+WHOLE = float(1 << 53)
+
+
 def half_up(c: Column | str, digits: int) -> Column:
-    """Round half up. The small surplus sends ties, which float noise moves either way, always up."""
+    """Round half up. The small surplus sends ties, which float noise moves either way, always up. NaN, infinities
+    and numbers too large for a fraction stay as they are."""
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10**digits)
-    return F.floor(c * scale + 0.500001) / scale
+    return F.when(F.abs(c * scale) < WHOLE, F.floor(c * scale + 0.500001) / scale).otherwise(c.cast("double"))
 
 
 def half_up_sql(expr: str, digits: int) -> str:
     """The same as SQL text, for wide projections."""
     scale = f"1{'0' * digits}D"
-    return f"floor(({expr}) * {scale} + 0.500001D) / {scale}"
+    return f"CASE WHEN abs(({expr}) * {scale}) < {WHOLE:.0f}D THEN floor(({expr}) * {scale} + 0.500001D) / {scale} ELSE CAST({expr} AS DOUBLE) END"
 
 
 def value_levels(c: Column) -> list[Column]:

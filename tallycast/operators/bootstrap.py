@@ -3,15 +3,28 @@
 Slot j of replicate b draws the group numbered `md5(seed:b:j) mod G`, so a replicate is exactly G
 draws of G groups with replacement, whatever the partitioning. Draws are generated next to the
 groups and meet per-group sums by number; equal load follows from the uniform digest.
+
+For AUC, rows are summed per (group, score) and dealt by coarse score level; a row meets the draw counts of its
+group for all replicates at once, and every level gives three numbers a replicate. So no row is copied per
+replicate, and only levels x replicates are shuffled after that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallycast.functions.running import hash_rank, running_sums
-from tallycast.operators.metrics import SCORE_LEVELS, clipped, log_loss_of
+from tallycast.functions.running import hash_rank
+from tallycast.operators.metrics import clipped, log_loss_of
+
+BOOT_LEVELS = 1024
+#: Draw counts of two bytes that are broadcast at most.
+WEIGHT_CELLS = 8_000_000
 
 
 def numbered_groups(df: DataFrame, group: str) -> DataFrame:
@@ -38,17 +51,56 @@ def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
     ).select(*keys, F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "p_value", "replicates")
 
 
-def _pairwise_auc(table: DataFrame, keys: list[str]) -> DataFrame:
-    """AUC of base and new score per key from (keys, which, score, pos, neg), and their difference."""
-    grouped = keys + ["which"]
-    t = table.withColumn("lvl", F.floor(F.col("score") * SCORE_LEVELS))
-    run = running_sums(t, grouped, ["lvl"], ["score"], {"cum_neg": F.col("neg"), "cum_pos": F.col("pos")}, totals=True)
-    u = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
-    pairs = (F.max("tot_cum_pos") * F.max("tot_cum_neg")).cast("double")
-    each = run.groupBy(*grouped).agg(F.try_divide(u, pairs).alias("auc"))
-    side = lambda k: F.max(F.when(F.col("which") == k, F.col("auc")))
-    wide = each.groupBy(*keys).agg(side("new").alias("auc_new"), side("base").alias("auc_base"))
-    return wide.withColumn("diff", F.col("auc_new") - F.col("auc_base"))
+def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int, weights: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (which, lvl, score) into one row per (which, lvl): weighted positives and negatives, and
+    pairs within the level, for each replicate; place 0 has weight one everywhere. The state is one level."""
+    def fresh():
+        return [np.zeros(n_boot + 1) for _ in range(5)]  # pos, neg, pairs; pos, neg of the score at hand
+
+    def close(sums):
+        sums[2] += sums[3] * (sums[1] + sums[4] / 2)
+        sums[0] += sums[3]
+        sums[1] += sums[4]
+        sums[3], sums[4] = np.zeros(n_boot + 1), np.zeros(n_boot + 1)
+
+    def row(at, sums):
+        return pd.DataFrame({"which": pd.Series([at[0]], dtype=object), "lvl": [at[1]], "pos": [sums[0]], "neg": [sums[1]], "pairs": [sums[2]]})
+
+    at, score, sums = None, None, fresh()
+    for batch in batches:
+        for first in range(0, len(batch), 1024):
+            part = batch.iloc[first:first + 1024]
+            if weights is None:
+                w = np.stack([np.bincount(np.asarray(b, np.int64) + 1, minlength=n_boot + 1) for b in part["drawn"]]).astype(float)
+            else:
+                w = weights[part["idx"].to_numpy(np.int64)].astype(float)
+            w[:, 0] = 1
+            which, lvl, scores = part["which"].to_numpy(), part["lvl"].to_numpy(), part["score"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (lvl[1:] != lvl[:-1]) | (scores[1:] != scores[:-1]))))
+            pos = np.add.reduceat(w * part["pos"].to_numpy(float)[:, None], cuts)
+            neg = np.add.reduceat(w * part["neg"].to_numpy(float)[:, None], cuts)
+            for k, i in enumerate(cuts):
+                here = (which[i], lvl[i])
+                if here != at:
+                    if at is not None:
+                        close(sums)
+                        yield row(at, sums)
+                    at, score, sums = here, scores[i], fresh()
+                elif scores[i] != score:
+                    close(sums)
+                    score = scores[i]
+                sums[3] += pos[k]
+                sums[4] += neg[k]
+    if at is not None:
+        close(sums)
+        yield row(at, sums)
+
+
+def _draw_counts(drawn: DataFrame, n_groups: int, n_boot: int) -> np.ndarray:
+    out = np.zeros((n_groups, n_boot + 1), np.uint16)
+    for r in drawn.toLocalIterator():
+        out[r["idx"]] = np.bincount(np.asarray(r["drawn"]) + 1, minlength=n_boot + 1)
+    return out
 
 
 def bootstrap_auc_diff(
@@ -57,7 +109,8 @@ def bootstrap_auc_diff(
 ) -> DataFrame:
     """AUC(new) - AUC(base): point, 95 % interval over resampled groups, share of replicates <= 0.
 
-    Rows are first summed per (group, score). Replicates that hold one class only drop out.
+    Replicates that hold one class only drop out. The draw counts of all groups are broadcast up to `WEIGHT_CELLS`
+    of them; beyond, they are joined to the rows of their group.
     """
     w = F.col(weight) if weight else F.lit(1)
     both = F.array(
@@ -67,21 +120,35 @@ def bootstrap_auc_diff(
     sums = (
         df.select(group, F.inline(both), (w * F.col(y)).alias("wp"), (w * (1 - F.col(y))).alias("wn"))
         .groupBy(group, "which", "score")
-        .agg(F.sum("wp").alias("pos"), F.sum("wn").alias("neg"))
+        .agg(F.sum("wp").cast("double").alias("pos"), F.sum("wn").cast("double").alias("neg"))
     )
+    spark = df.sparkSession
     groups = numbered_groups(df, group)
-    members = sums.join(groups.select(group, "idx"), group)
-    resampled = (
-        draws(groups, n_boot, seed)
-        .join(members, "idx")
-        .groupBy("b", "which", "score")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    stats = interval(_pairwise_auc(resampled, ["b"]), [], "diff")
-    point = _pairwise_auc(
-        sums.groupBy("which", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), []
-    )
-    return stats.withColumn("point", point.select("diff").scalar())
+    n_groups = df.select(group).distinct().count()
+    rows = sums.join(groups.select(F.col(group).alias("__group"), "idx"), F.col(group).eqNullSafe(F.col("__group")))
+    rows = rows.select("idx", "which", "score", "pos", "neg", F.floor(F.col("score") * BOOT_LEVELS).alias("lvl"))
+    drawn = draws(groups, n_boot, seed).groupBy("idx").agg(F.collect_list(F.col("b").cast("int")).alias("drawn"))
+    shared = None
+    if n_groups * (n_boot + 1) <= WEIGHT_CELLS:
+        shared = spark.sparkContext.broadcast(_draw_counts(drawn, n_groups, n_boot))
+    else:
+        rows = rows.join(drawn, "idx", "left").withColumn("drawn", F.coalesce("drawn", F.array().cast("array<int>")))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "which", "lvl").sortWithinPartitions("which", "lvl", "score")
+    levels = dealt.mapInPandas(
+        lambda batches: _level_sums(batches, n_boot, shared.value if shared else None),
+        "which string, lvl long, pos array<double>, neg array<double>, pairs array<double>")
+    cells = levels.select("which", "lvl", F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("b", "s")).select("which", "lvl", "b", "s.*")
+    below = F.coalesce(F.sum("neg").over(W.partitionBy("which", "b").orderBy("lvl").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    each = cells.withColumn("pairs", F.col("pairs") + F.col("pos") * below).groupBy("which", "b").agg(
+        F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    side = lambda k: F.max(F.when(F.col("which") == k, F.col("auc")))
+    diffs = each.groupBy("b").agg((side("new") - side("base")).alias("diff"))
+    point = F.max(F.when(F.col("b") == 0, F.col("diff"))).alias("point")
+    replicate = F.when(F.col("b") > 0, F.col("diff"))
+    return diffs.agg(
+        F.percentile(replicate, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((replicate <= 0).cast("int")).alias("p_value"),
+        F.count(replicate).alias("replicates"), point,
+    ).select(F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "p_value", "replicates", "point")
 
 
 def bootstrap_ratio(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import exact_percentiles, half_up
+from tallycast.functions.running import join_null_safe
 from tallycast.operators.slices import equal_width
 
 
@@ -27,7 +28,7 @@ def describe(df: DataFrame, columns: list[str], keys: list[str] = (), probs=(0.2
     )
     q = exact_percentiles(long, by, "value", list(probs))
     wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{int(p * 100):02d}") for p in probs])
-    return base.join(wide, by, "left")
+    return join_null_safe(base, wide, by, "left")
 
 
 def value_counts(df: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
@@ -35,7 +36,7 @@ def value_counts(df: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
     if keys:
         totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-        return counts.join(totals, list(keys)).withColumn("share", F.col("n") / F.col("total")).drop("total")
+        return join_null_safe(counts, totals, list(keys)).withColumn("share", F.col("n") / F.col("total")).drop("total")
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n").alias("total")).scalar())
 
 
@@ -106,7 +107,7 @@ def histogram(df: DataFrame, value: Column, bins: int, keys: list[str] = (), lo:
     width = (F.col("hi") - F.col("lo")) / bins
     if keys:
         totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-        counts = counts.join(totals, list(keys))
+        counts = join_null_safe(counts, totals, list(keys))
     else:
         counts = counts.withColumn("total", counts.agg(F.sum("n").alias("t")).scalar())
     return counts.select(*keys, "bin", "n", (F.col("lo") + F.col("bin") * width).alias("edge"),

@@ -114,8 +114,11 @@ def resolution_rank(markets: DataFrame) -> DataFrame:
 
 
 def time_split(markets: DataFrame, train_fraction: float = 0.8) -> DataFrame:
-    """First int(n * fraction) markets by resolution time are train, the rest test."""
-    ranked = resolution_rank(markets)
+    """First int(n * fraction) markets by resolution time are train, the rest test. A market without closing and end
+    time has no place in that order and is an error."""
+    timed = F.coalesce("closed_time", "end_date").isNotNull()
+    missing = F.raise_error(F.concat(F.lit("market without closing and end time: "), F.coalesce(F.col("market_id").cast("string"), F.lit("NULL"))))
+    ranked = resolution_rank(markets.withColumn("end_date", F.when(timed, F.col("end_date")).otherwise(missing.cast(markets.schema["end_date"].dataType))))
     is_train = F.col("rank") <= F.floor(F.col("tot_rank") * train_fraction)
     return ranked.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("rank", "tot_rank", "resolved_at")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import exact_percentiles
-from tallycast.functions.running import running_sums
+from tallycast.functions.running import join_null_safe, running_sums
 from tallycast.functions.timing import days
 
 CLIP = 1e-6
@@ -19,10 +19,6 @@ SCORE_LEVELS = 65536
 F1_GUARD = 1e-9
 
 
-def _sum(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0))
-
-
 def clipped(p: Column | str, eps: float = CLIP) -> Column:
     p = F.col(p) if isinstance(p, str) else p
     return F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
@@ -170,17 +166,17 @@ def best_f1_threshold(df: DataFrame, keys: list[str], p: str = "p", y: str = "ou
 
 
 def best_grid_threshold(df: DataFrame, keys: list[str], p: str = "p", y: str = "outcome") -> DataFrame:
-    """Best F1 over the thresholds 0.10, 0.11, ... 0.90; the first one on equal F1."""
-    table = score_table(df, keys, p, y, eps=None)
-    cells = table.select(*keys, "score", "pos", "neg", F.explode(F.sequence(F.lit(10), F.lit(90))).alias("step")).groupBy(
-        *keys, "step"
-    ).agg(
-        F.sum(F.when(F.col("score") >= F.col("step") / 100.0, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("score") >= F.col("step") / 100.0, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum("pos").alias("tot_pos"),
-    )
+    """Best F1 over the thresholds 0.10, 0.11, ... 0.90; the first one on equal F1. Scores are summed per step
+    first, so each key has at most 82 rows when they are ordered."""
+    edges = [k / 100.0 for k in range(10, 91)]
+    step = F.lit(9) + sum((F.when(F.col("score") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    cells = score_table(df, keys, p, y, eps=None).groupBy(*keys, step.alias("step")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    every = cells.groupBy(*keys).agg(F.collect_list(F.struct("step", "pos", "neg")).alias("cells"), F.sum("pos").alias("tot_pos"))
+    steps = every.select(*keys, "tot_pos", "cells", F.explode(F.sequence(F.lit(10), F.lit(90))).alias("step"))
+    above = lambda c: F.aggregate(F.filter("cells", lambda x: x.step >= F.col("step")), F.lit(0.0), lambda acc, x: acc + x[c])
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("tot_pos")), F.lit(0.0))
-    best = cells.groupBy(*keys).agg(F.max(F.struct(f1.alias("f1"), (-F.col("step")).alias("neg_step"))).alias("best"))
+    tried = steps.withColumn("tp", above("pos")).withColumn("fp", above("neg"))
+    best = tried.groupBy(*keys).agg(F.max(F.struct(f1.alias("f1"), (-F.col("step")).alias("neg_step"))).alias("best"))
     return best.select(*keys, (-F.col("best.neg_step") / 100.0).alias("threshold"), F.col("best.f1").alias("f1"))
 
 
@@ -241,7 +237,7 @@ def market_weights(df: DataFrame, market: str = "market_id", name: str = "weight
     sizes = df.groupBy(market).agg(F.count(F.lit(1)).alias("rows_of_market"))
     scale = sizes.agg((F.sum("rows_of_market") / F.count(F.lit(1))).alias("scale"))
     return (
-        df.join(sizes, market)
+        join_null_safe(df, sizes, [market])
         .withColumn(name, scale.scalar() / F.col("rows_of_market"))
         .drop("rows_of_market")
     )
@@ -259,13 +255,9 @@ def market_rollup(df: DataFrame, keys: list[str], p: str = "p", y: str = "outcom
 
 def with_baseline(metrics: DataFrame, keys: list[str], baseline: str, cols: list[str]) -> DataFrame:
     """Adds `delta_<col>` against the row of model `baseline` with the same keys."""
-    base = metrics.filter(F.col("model") == baseline).select(*keys, *[F.col(c).alias(f"base_{c}") for c in cols])
-    joined = metrics.join(base, keys, "left") if keys else metrics.withColumns(
-        {f"base_{c}": base.select(f"base_{c}").scalar() for c in cols}
-    )
-    return joined.withColumns({f"delta_{c}": F.col(c) - F.col(f"base_{c}") for c in cols}).drop(
-        *[f"base_{c}" for c in cols]
-    )
+    base = metrics.filter(F.col("model") == baseline).select(*keys, F.struct(*cols).alias("base"))
+    joined = join_null_safe(metrics, base, keys, "left") if keys else metrics.withColumn("base", base.select("base").scalar())
+    return joined.withColumns({f"delta_{c}": F.col(c) - F.col(f"base.{c}") for c in cols}).drop("base")
 
 
 def brier_skill(metrics: DataFrame, keys: list[str], baseline: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import exact_percentiles
-from tallycast.functions.running import running_rank
+from tallycast.functions.running import join_null_safe, running_rank
 from tallycast.operators.metrics import auc
 
 # Fixed values: (label, lower, upper)
@@ -41,7 +41,7 @@ def rank_fraction(df: DataFrame, order: list[str], level: Column, name: str = "r
 def auc_by(df: DataFrame, keys: list[str], min_rows: int = 0, p: str = "p", y: str = "outcome") -> DataFrame:
     """Rows, markets and AUC per slice and model; AUC is NULL with one class."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("market_id").alias("markets"))
-    return sizes.filter(F.col("n") >= min_rows).join(auc(df, keys, p, y), keys)
+    return join_null_safe(sizes.filter(F.col("n") >= min_rows), auc(df, keys, p, y), keys)
 
 
 def equal_width(c: Column, lo: Column, hi: Column, n: int) -> Column:

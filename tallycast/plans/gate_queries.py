@@ -14,7 +14,7 @@ from tallycast.operators import quality as Q
 from tallycast.operators import release as RL
 from tallycast.operators.snapshots import rolling_columns
 from tallycast.plans.feature_queries import newest_event, stored_clean
-from tallycast.plans.metric_queries import LOSS_BOOTS, METRICS, auc_boot_sql, rnd
+from tallycast.plans.metric_queries import AUC_BOOTS, LOSS_BOOTS, METRICS, rnd
 from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
 from tallycast.plans.source_queries import CATALOGUE_SQL, META_SQL, REASON_SQL, catalogue
@@ -398,8 +398,8 @@ def q_attribution(spark, d):
 @query("q_promotion_checks")
 def q_promotion_checks(spark, d):
     df = cut(V.scored(spark, d).select("market_id", "outcome", "price_at_snapshot", "p_model_a", "p_model_b"))
-    a = BS.bootstrap_auc_diff(df, "p_model_a", "p_model_b", "market_id", 20)
-    edge = BS.bootstrap_auc_diff(df, "price_at_snapshot", "p_model_b", "market_id", 20)
+    a = BS.bootstrap_auc_diff(df, "p_model_a", "p_model_b", "market_id", AUC_BOOTS)
+    edge = BS.bootstrap_auc_diff(df, "price_at_snapshot", "p_model_b", "market_id", AUC_BOOTS)
     loss = BS.bootstrap_loss_diff(df, "p_model_a", "p_model_b", "market_id", LOSS_BOOTS).filter("measure = 'log_loss'")
     ece = lambda c: M.expected_calibration_error(df, [], p=c).scalar()
     row = loss.select(F.lit("model").alias("model"), F.col("ci_lo").alias("loss_lo"), F.col("ci_hi").alias("loss_hi"))

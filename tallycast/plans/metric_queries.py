@@ -185,7 +185,7 @@ def h_calibration_error(spark, d):
     return rnd(M.expected_calibration_error(long_scores(spark, d), ["model"]), "ece")
 
 
-AUC_BOOTS, LOSS_BOOTS, ROW_BOOTS = 20, 50, 5
+AUC_BOOTS, LOSS_BOOTS, ROW_BOOTS = 500, 1000, 500
 
 
 def auc_boot_sql(group: str, n_boot: int) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallycast.functions.numeric import half_up
 from tallycast.operators import backtest as B
 from tallycast.plans.metric_queries import MODELS, rnd
-from tallycast.plans.metric_queries import ratio_boot_sql
+from tallycast.plans.metric_queries import LOSS_BOOTS, ratio_boot_sql
 from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
 from tallycast.sources import views as V
@@ -84,11 +84,11 @@ def t_tau_cost_sweep(spark, d):
 @query(
     "t_roi_interval",
     ratio_boot_sql("SELECT market_id, sum(profit) AS profit, sum(capital) AS capital FROM trades WHERE strategy = 'model_a' GROUP BY market_id",
-                   {"roi": ("profit", "capital")}, 50, "scored", extra={"strategies": STRATEGY_SQL, "trades": trade_sql()}),
+                   {"roi": ("profit", "capital")}, LOSS_BOOTS, "scored", extra={"strategies": STRATEGY_SQL, "trades": trade_sql()}),
 )
 def t_roi_interval(spark, d):
     t = B.trades(B.strategies(V.scored(spark, d), {"model_a": "p_model_a"}, KEEP)).filter("strategy = 'model_a'")
-    return rnd(B.roi_interval(t, 50), "ci_lo", "ci_hi", "point")
+    return rnd(B.roi_interval(t, LOSS_BOOTS), "ci_lo", "ci_hi", "point")
 
 
 HORIZONS = list(range(7, 91))
