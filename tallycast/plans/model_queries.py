@@ -15,6 +15,7 @@ from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
 from tallycast.session import cut
 from tallycast.sources import views as V
+from tallycast.sources.tables import scratch_path
 from tallycast.streaming import jobs as R
 
 NUMERIC = ML.NUMERIC_FEATURES
@@ -37,58 +38,97 @@ def report(model, fit_name: str, holdout: DataFrame, test: DataFrame) -> DataFra
 @query("m_logistic")
 def m_logistic(spark, d):
     fit, holdout, test = parts(spark, d, NUMERIC)
-    total = fit.agg(F.sum("weight")).first()[0]
-    fitter = ML.fit_logistic(NUMERIC, total)
-    best, _ = ML.grid_search(fitter, fit, holdout, [{"C": 0.1, "l1": False}, {"C": 1.0, "l1": True}])
-    return report(fitter(fit, best), "logistic", holdout, test)
+    best, _ = ML.search("logistic", NUMERIC, fit, holdout)
+    return report(ML.fit_logistic(NUMERIC)(fit, best), "logistic", holdout, test)
 
 
 @query("m_boosted")
 def m_boosted(spark, d):
+    """Given settings; the number of rounds is found on the holdout."""
     numeric = ML.with_trend_features(NUMERIC)
     fit, holdout, test = parts(spark, d, numeric)
-    params = ML.check_params({"learning_rate": 0.1, "max_depth": 4, "min_child_weight": 20, "n_estimators": 10},
-                             {"learning_rate", "max_depth", "min_child_weight", "n_estimators"})
+    params = ML.check_params({"learning_rate": 0.1, "max_depth": 4, "min_child_weight": 20}, {"learning_rate", "max_depth", "min_child_weight"})
     both = fit.withColumn("is_holdout", F.lit(False)).unionByName(
         holdout.withColumns({"weight": F.lit(1.0), "is_holdout": F.lit(True)}))
-    return report(ML.fit_boosted(numeric)(cut(both), params), "boosted", holdout, test)
+    return report(ML.fit_boosted(numeric)(both, params), "boosted", holdout, test)
 
 
 @query("m_forest")
 def m_forest(spark, d):
     fit, holdout, test = parts(spark, d, NUMERIC)
-    model = ML.fit_forest(NUMERIC, 20)(fit, {"max_depth": 8, "min_samples_leaf": 20})
-    return report(model, "forest", holdout, test)
+    params = ML.check_params({"max_depth": 8, "min_samples_leaf": 20}, {"max_depth", "min_samples_leaf"})
+    return report(ML.fit_forest(NUMERIC)(fit, params), "forest", holdout, test)
 
 
 @query("m_forest_price_only")
 def m_forest_price_only(spark, d):
     fit, holdout, test = parts(spark, d, ML.PRICE_ONLY)
-    model = ML.fit_forest(ML.PRICE_ONLY, 10)(fit, {"max_depth": 5, "min_samples_leaf": 50})
-    return report(model, "forest_price_only", holdout, test)
+    return report(ML.fit_forest(ML.PRICE_ONLY)(fit, {"max_depth": 5, "min_samples_leaf": 50}), "forest_price_only", holdout, test)
 
 
 @query("m_importance")
 def m_importance(spark, d):
     fit, _, _ = parts(spark, d, NUMERIC)
-    model = ML.fit_forest(NUMERIC, 10)(fit, {"max_depth": 5, "min_samples_leaf": 20})
+    model = ML.fit_forest(NUMERIC)(fit, {"max_depth": 5, "min_samples_leaf": 20})
     return ML.importance_table(model, fit, NUMERIC).orderBy(F.desc("importance"), "feature")
 
 
 @query("m_point_model_folds")
 def m_point_model_folds(spark, d):
     rows = cut(ML.prepare(stored_clean(spark, d).filter("split = 'train'"), ML.POINT_FEATURES))
-    fitter = ML.fit_logistic(ML.POINT_FEATURES, float(rows.count()))
-    return spark.createDataFrame([("logistic", ML.cross_validated_auc(rows, fitter, {"C": 1.0, "l1": False}, 3))], "model string, auc double")
+    value = ML.cross_validated_auc(rows, ML.fit_logistic(ML.POINT_FEATURES), {"C": 1.0, "l1": False})
+    return spark.createDataFrame([("logistic", value)], "model string, auc double")
 
 
 @query("m_smoke")
 def m_smoke(spark, d):
+    """No floor here: these prices carry no signal by design."""
     rows = stored_clean(spark, d)
-    value = ML.smoke_fit(rows.filter("split = 'train'"), rows.filter("split LIKE 'test%'"), NUMERIC)
+    value = ML.smoke_fit(rows.filter("split = 'train'"), rows.filter("split LIKE 'test%'"), NUMERIC, floor=-1.0)
     return spark.createDataFrame([(value,)], "auc double")
 
 
+@query("m_saved_model", "SELECT 0::BIGINT AS off, 0::BIGINT AS absent")
+def m_saved_model(spark, d):
+    """A saved model and calibrator score the test rows like those in memory: rows that differ or lack a score."""
+    fit, holdout, test = parts(spark, d, ML.PRICE_ONLY)
+    model = ML.fit_logistic(ML.PRICE_ONLY)(fit, {"C": 1.0, "l1": False})
+    iso = ML.fit_calibrator(ML.scored(model, holdout))
+    path = scratch_path(spark, "model")
+    ML.save_model(model, iso, path)
+    keys = ["market_id", "snapshot_timestamp"]
+    again = ML.score_saved(path, test).select(*keys, F.col("p").alias("p_again"))
+    both = ML.calibrated(iso, ML.scored(model, test)).select(*keys, "p").join(again, keys, "left")
+    return both.agg(F.count_if(F.abs(F.col("p") - F.col("p_again")) > 1e-12).alias("off"), F.count_if(F.col("p_again").isNull()).alias("absent"))
+
+
+MEDIAN_SQL = """SELECT part, count(*) AS n, count(*) FILTER (x = med) AS at_median, round(sum(x), 4) AS total FROM (
+    SELECT CASE WHEN k % 5 = 0 THEN 'test' ELSE 'train' END AS part, coalesce(v, med) AS x, med FROM t, (SELECT median(v) AS med FROM t WHERE k % 5 <> 0)) GROUP BY part"""
+
+
+@query("m_median_fill", with_views(MEDIAN_SQL, extra={
+    "t": "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice::DOUBLE END AS v FROM orders"}))
+def m_median_fill(spark, d):
+    t = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("double")).alias("v"))
+    train, test = ML.fill_medians(t.filter("k % 5 <> 0"), t.filter("k % 5 = 0"), ["v"])
+    med = train.agg(F.percentile("v", 0.5).alias("m"))  # filling with the median keeps it
+    out = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == med.scalar()).alias("at_median"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@query("m_ordinal_codes", """SELECT part, category, code, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS part,
+    CASE WHEN c_custkey % 5 = 0 AND c_custkey % 2 = 0 THEN 'unseen' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS category FROM customer) t
+    LEFT JOIN (SELECT c_mktsegment AS seg, (row_number() OVER (ORDER BY c_mktsegment) - 1)::DOUBLE AS c FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0)) ON seg = category,
+    LATERAL (SELECT coalesce(c, -1.0::DOUBLE) AS code) GROUP BY ALL""")
+def m_ordinal_codes(spark, d):
+    k = F.col("c_custkey")
+    category = F.when((k % 5 == 0) & (k % 2 == 0), "unseen").when(k % 11 == 0, None).otherwise(F.col("c_mktsegment"))
+    t = V.table(spark, d, "customer").select(k, category.alias("category"))
+    train, test = ML.ordinal_category(t.filter("c_custkey % 5 <> 0"), t.filter("c_custkey % 5 = 0"))
+    out = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return out.groupBy("part", "category", F.col("category_code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("m_category_codes", "SELECT CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS code, c_mktsegment AS category FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def m_category_codes(spark, d):
     return ML.category_codes(V.table(spark, d, "customer").select(F.col("c_mktsegment").alias("category")))
@@ -123,9 +163,10 @@ def m_folds(spark, d):
     return ML.folds(o).groupBy("market_id", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-WORDS = [w for ws in ML.CATEGORY_KEYWORDS.values() for w in ws] + ["weather"]
+KEYWORDS = {"weather": ["storm", "Rainfall", "drought"], "space": ["rocket", "orbit"], "chess": ["Grandmaster", "endgame", "opening"]}
+WORDS = [w for ws in KEYWORDS.values() for w in ws] + ["harvest"]
 KEYWORD_CASE = "CASE " + " ".join(
-    f"WHEN {' OR '.join(f'''contains(q, '{w.lower()}')''' for w in ws)} THEN '{c}'" for c, ws in ML.CATEGORY_KEYWORDS.items()) + " ELSE 'other' END"
+    f"WHEN {' OR '.join(f'''contains(q, '{w.lower()}')''' for w in ws)} THEN '{c}'" for c, ws in KEYWORDS.items()) + " ELSE 'other' END"
 
 
 @query("m_categorise", f"""SELECT market_id, CASE WHEN q <> '' THEN {KEYWORD_CASE} END AS category FROM (
@@ -134,7 +175,7 @@ def m_categorise(spark, d):
     word = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("event_id") % len(WORDS) + 1).cast("int"))
     text = F.when(F.col("event_id") % 97 == 0, "").otherwise(F.concat(F.lit("Will "), word, F.lit(" matter for "), "event_type", F.lit("?")))
     questions = V.table(spark, d, "events").select(F.col("event_id").alias("market_id"), text.alias("question"))
-    return ML.classify_questions(questions)
+    return questions.select("market_id", ML.keyword_category(F.col("question"), KEYWORDS).alias("category"))
 
 
 # ---------------------------------------------------------------- streams

@@ -91,12 +91,15 @@ def test_each_condition_makes_a_market_ineligible(spark, t0):
     assert [r[0] for r in df.select(L.eligible(F.lit(t0))).collect()] == [True] + [False] * len(bad)
 
 
-def test_draw_depends_on_seed_and_ids_alone(spark):
-    ids = [f"0x{i:064x}" for i in range(50)]
-    order = lambda rows, seed: [r[0] for r in spark.createDataFrame([(x,) for x in rows], "market_id string").orderBy(*L.draw_order(seed)).collect()]
-    a = order(ids, "s1")
-    assert a == order(ids[::-1], "s1") and a != order(ids, "s2") and sorted(a) == sorted(ids)
-    assert order(ids[:30], "s1") == [x for x in a if x in ids[:30]]
+def test_draw_spreads_evenly_and_removals_keep_the_rest_in_order(spark):
+    names = spark.range(400).select(F.concat(F.lit("market-"), "id").alias("market_id"), (F.col("id") % 4).alias("part"))
+    drawn = names.orderBy(*L.draw_order("week 9"))
+    head = drawn.limit(200).groupBy("part").count().collect()
+    assert len(head) == 4 and all(25 <= r["count"] <= 75 for r in head)
+    every = [r.market_id for r in drawn.collect()]
+    odd = [r.market_id for r in names.filter("part = 1").repartition(7).orderBy(*L.draw_order("week 9")).collect()]
+    assert odd == [m for m in every if int(m.split("-")[1]) % 4 == 1]
+    assert [r.market_id for r in names.orderBy(*L.draw_order("week 10")).limit(10).collect()] != every[:10]
 
 
 def test_length_weights_and_buckets(spark):
@@ -140,7 +143,7 @@ def test_stream_in_slices_equals_batch(spark, t0, tmp_path):
 def test_model_steps(spark):
     rows = [(i // 5, "ab"[i % 2], float(i % 10) / 10, int(i % 10 >= 5)) for i in range(100)]
     df = ML.training_table(spark.createDataFrame(rows, "market_id int, category string, x double, outcome int"))
-    model = ML.fit_logistic(["x"], 100.0)(ML.prepare(df, ["x"]), {"C": 1.0, "l1": False})
+    model = ML.fit_logistic(["x"])(ML.prepare(df, ["x"]), {"C": 1.0, "l1": False})
     out = ML.scored(model, ML.prepare(df, ["x"]))
     assert ML.holdout_auc(model, ML.prepare(df, ["x"])) == 1.0
     p = [r.p for r in ML.calibrated(ML.fit_calibrator(out), out).collect()]
@@ -157,6 +160,39 @@ def test_rare_and_unseen_categories_collapse(spark):
     assert {r.category for r in a.collect()} == {"big", "other"} and sorted(r.category for r in b.collect()) == ["big", "other", "other"]
 
 
-def test_classifier_leaves_unanswered_rows_for_the_next_run(spark):
-    df = spark.createDataFrame([(1, "Bitcoin above 1?"), (2, "rain?"), (3, "")], "market_id int, question string")
-    assert {r.market_id: r.category for r in ML.classify_questions(df).collect()} == {1: "crypto", 2: "other", 3: None}
+def test_classifiers_leave_unanswered_rows_for_the_next_run(spark):
+    df = spark.createDataFrame([(1, "ROCKET above 1?"), (2, "rain?"), (3, ""), (4, "a storm in orbit")], "market_id int, question string")
+    native = df.select("market_id", ML.keyword_category(F.col("question"), {"air": ["storm"], "space": ["rocket", "orbit"]}).alias("c"))
+    assert {r.market_id: r.c for r in native.collect()} == {1: "space", 2: "other", 3: None, 4: "air"}
+    plugged = ML.classify_questions(df, lambda texts: [t[:1] or None for t in texts])
+    assert {r.market_id: r.category for r in plugged.collect()} == {1: "R", 2: "r", 3: None, 4: "a"}
+
+
+def test_preparation_of_numbers_and_categories(spark):
+    train = spark.createDataFrame([(1.0, "b"), (3.0, "a"), (None, "b"), (10.0, None)], "x double, category string")
+    other = spark.createDataFrame([(None, "zz"), (5.0, "a")], "x double, category string")
+    a, b = ML.fill_medians(train, other, ["x"])
+    assert sorted(r.x for r in a.collect()) == [1.0, 3.0, 3.0, 10.0] and sorted(r.x for r in b.collect()) == [3.0, 5.0]
+    a, b = ML.ordinal_category(train, other)
+    assert sorted(r.category_code for r in a.collect()) == [-1.0, 0.0, 1.0, 1.0] and sorted(r.category_code for r in b.collect()) == [-1.0, 0.0]
+    assert ML.standardized(spark.createDataFrame([(1.0,), (3.0,)], "x double"), ["x"]) == {"x": (2.0, 1.0)}
+
+
+def test_boosting_stops_at_its_best_round_and_models_survive_saving(spark, tmp_path):
+    rows = [(i // 4, "ab"[i % 2], (i * 37 % 101) / 100, int((i * 37 % 101) > 50) if i % 9 else i % 2, i % 5 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "market_id int, category string, x double, outcome int, is_holdout boolean").withColumn("weight", F.lit(1.0))
+    model = ML.fit_boosted(["x"], rounds=24, patience=5, first=6)(ML.prepare(df, ["x"]), {"learning_rate": 0.3, "max_depth": 2, "min_child_weight": 5})
+    assert 1 <= ML.rounds_of(model) <= 24
+    held = ML.prepare(df.filter("is_holdout"), ["x"])
+    iso = ML.fit_calibrator(ML.scored(model, held))
+    ML.save_model(model, iso, str(tmp_path / "m"))
+    again = {r.x: r.p for r in ML.score_saved(str(tmp_path / "m"), held).collect()}
+    assert again == {r.x: r.p for r in ML.calibrated(iso, ML.scored(model, held)).collect()}
+
+
+def test_smoke_fit_has_a_floor(spark):
+    rows = [(i, "a", t, float(i % 2), i % 2) for i in range(60) for t in range(2)]
+    df = spark.createDataFrame(rows, "market_id int, category string, snapshot_timestamp int, x double, outcome int")
+    assert ML.smoke_fit(df, df, ["x"]) == 1.0
+    with pytest.raises(ValueError, match="does not exceed"):
+        ML.smoke_fit(df, df.withColumn("outcome", 1 - F.col("outcome")), ["x"])
