@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,12 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def fraction_sample(df: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
+    """The rows whose id's digest lies in the lowest `fraction` of its range."""
+    head = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.filter(head < math.ceil(fraction * 2**32))
+
+
 def split_overlap(df: DataFrame, market: str = "market_id") -> DataFrame:
     """Markets whose rows lie in both train and test."""
     s = F.col("split")

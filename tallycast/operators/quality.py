@@ -1,4 +1,4 @@
-"""Quality gates. A gate returns rows of (check_name, severity, n, sample_ids); a job fails on any issue with n > 0."""
+"""Quality gates. A gate returns a row for each check and id that fails it; a job fails on any issue."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from tallycast.operators.leakage import is_settled, split_cutoff
 from tallycast.operators.live import SETTLED_HIGH, SETTLED_LOW, outcome_of
 from pyspark.sql import Window as W
 
-SAMPLE_IDS = 5
 # Metadata columns that must be filled, and prices that only a repair script ever wrote
 REQUIRED_META = ["market_id", "clob_token_id", "question", "start_date", "end_date", "duration_days",
                  "total_volume", "yes_final_price", "outcome", "split"]
@@ -26,23 +25,25 @@ class GateFailed(Exception):
 
 
 def gate_table(df: DataFrame, issues: dict[str, Column], notes: dict[str, Column] | None = None, key: str = "market_id") -> DataFrame:
-    """Counts of rows where each test holds, with the lowest few ids. One pass: the tests become an array
-    of names per row, so only failing rows reach the shuffle; the ids are a bounded minimum."""
+    """(check_name, severity, market_id, n): every id that fails a test, with its failing rows. One pass: the tests
+    become an array of names per row, so only failing rows reach the shuffle."""
     tests = [(n, "issue", t) for n, t in issues.items()] + [(n, "note", t) for n, t in (notes or {}).items()]
     names = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.struct(
         F.lit(n).alias("check_name"), F.lit(s).alias("severity"))) for n, s, t in tests]))
-    failing = df.select(F.col(key).cast("string").alias("id"), F.inline(names))
-    counts = failing.groupBy("check_name", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("sample_id"))
-    every = df.sparkSession.createDataFrame([(n, s) for n, s, _ in tests], "check_name string, severity string")
-    return every.join(counts, ["check_name", "severity"], "left").select(
-        "check_name", "severity", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "sample_id")
+    failing = df.select(F.col(key).cast("string").alias("market_id"), F.inline(names))
+    return failing.groupBy("check_name", "severity", "market_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gate_counts(gate: DataFrame) -> DataFrame:
+    """Failing rows and ids of each check that found any."""
+    return gate.groupBy("check_name", "severity").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("markets"), F.min("market_id").alias("first_id"))
 
 
 def require_clean(gate: DataFrame) -> None:
     """Raise if a gate reports an issue."""
-    bad = gate.filter("severity = 'issue' AND n > 0").collect()
+    bad = gate_counts(gate.filter("severity = 'issue'")).orderBy("check_name").collect()
     if bad:
-        raise GateFailed("; ".join(f"{r.check_name}: {r.n} (e.g. {r.sample_id})" for r in bad))
+        raise GateFailed("; ".join(f"{r.check_name}: {r.n} (e.g. {r.first_id})" for r in bad))
 
 
 def check_meta(meta: DataFrame) -> DataFrame:
@@ -165,12 +166,18 @@ def compare_builds(old: DataFrame, new: DataFrame, closed_times: DataFrame, feat
     return gate_table(rows, issues, notes)
 
 
+def row_digest(columns: list[str]) -> Column:
+    """60 bits of the MD5 of the row's values as text, a NULL told from any text; any SQL engine can repeat it."""
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def market_digests(df: DataFrame, exclude: list[str] = (), name: str = "digest", also: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per market: row count and two 31-bit sums of row hashes; independent of row order. `also` adds digests
+    """Per market: row count and two 30-bit sums of row digests; independent of row order. `also` adds digests
     with other columns left out, in the same pass."""
     def digest(skip: list[str]):
-        h = F.xxhash64(*[F.col(c) for c in sorted(df.columns) if c not in skip])
-        low, high = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)
+        h = row_digest([c for c in sorted(df.columns) if c not in skip])
+        low, high = h.bitwiseAND(F.lit((1 << 30) - 1)), F.shiftright(h, 30)
         return F.struct(F.count(F.lit(1)).alias("n"), F.sum(low.cast("bigint")).alias("lo"), F.sum(high.cast("bigint")).alias("hi"))
 
     wanted = {name: list(exclude), **(also or {})}
@@ -178,9 +185,8 @@ def market_digests(df: DataFrame, exclude: list[str] = (), name: str = "digest",
 
 
 def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(n, digest): row count and the sum of row hashes modulo 2^64."""
-    h = F.xxhash64(*keys).cast("decimal(38,0)")
-    total = F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)"))
+    """(n, digest): row count and the sum of row digests modulo 2^64."""
+    total = F.coalesce(F.sum(row_digest(keys).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
     mod = F.lit("18446744073709551616").cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.pmod(total, mod).cast("string").alias("digest"))
 

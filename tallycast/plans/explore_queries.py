@@ -15,6 +15,7 @@ from tallycast.plans.metric_queries import long_scores, market_means, quantile_s
 from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
 from tallycast.plans.sql_parts import auc_sql
+from tallycast.operators.snapshots import rolling_columns
 from tallycast.sources import views as V
 
 DESCRIBED = ["duration_days", "total_volume", "yes_final_price"]
@@ -68,7 +69,7 @@ def d_percentiles(spark, d):
     return rnd(exact_percentiles(long_scores(spark, d), ["model"], "p", PROBS), "value")
 
 
-NULLABLE = ["closed_time", "category", "outcome"]
+NULLABLE = ["market_id", "clob_token_id", "question", "start_date", "end_date", "closed_time", "duration_days", "total_volume", "yes_final_price", "outcome", "category"]
 
 
 @query("d_null_counts", with_views(
@@ -104,11 +105,14 @@ def d_correlations(spark, d):
     return rnd(X.correlations(V.scored(spark, d), CORR), "r")
 
 
+INPUTS = ["price_at_snapshot", "days_before_close", "pct_lifetime_elapsed", "duration_days", *rolling_columns()]
+
+
 @query("d_high_correlations", with_views(
-    f"SELECT * FROM ({' UNION ALL '.join(f'''SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 6)} AS r FROM snapshots''' for a, b in (('price_at_snapshot', 'price_mean_7d'), ('price_at_snapshot', 'price_mean_14d'), ('price_mean_7d', 'price_mean_14d')))}) WHERE abs(r) > 0.5", "snapshots"))
+    f"SELECT * FROM ({' UNION ALL '.join(f'''SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 6)} AS r FROM snapshots''' for i, a in enumerate(INPUTS) for b in INPUTS[i + 1:])}) WHERE abs(r) > 0.85", "snapshots"))
 def d_high_correlations(spark, d):
-    c = rnd(X.correlations(V.snapshots(spark, d), ["price_at_snapshot", "price_mean_7d", "price_mean_14d"]), "r")
-    return c.filter(F.abs("r") > 0.5).orderBy(F.abs("r").desc())
+    c = rnd(X.correlations(V.snapshots(spark, d), INPUTS), "r")
+    return c.filter(F.abs("r") > 0.85).orderBy(F.abs("r").desc())
 
 
 @query("d_target_correlations", with_views(
@@ -271,6 +275,13 @@ def f_category_heads(spark, d):
     return by.orderBy("mean_auc", "category").limit(3)
 
 
+@query("f_category_tails", with_views(
+    f"""SELECT * FROM (SELECT category, {r('avg(auc)', 6)} AS mean_auc FROM {auc_sql('long_scores', ['category', 'model'])} GROUP BY category) ORDER BY mean_auc DESC, category LIMIT 3""", "long_scores"))
+def f_category_tails(spark, d):
+    by = auc(long_scores(spark, d, "category"), ["category", "model"]).groupBy("category").agg(half_up(F.avg("auc"), 6).alias("mean_auc"))
+    return by.orderBy(F.desc("mean_auc"), "category").limit(3)
+
+
 @query("e_row_index", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) - 1 AS idx FROM lineitem""")
 def e_row_index(spark, d):
@@ -285,9 +296,10 @@ def f_fixed_sample(spark, d):
     return V.table(spark, d, "events").select("event_id").orderBy(*draw_order("42", "event_id")).limit(2000)
 
 
-@query("f_fraction_sample")
+@query("f_fraction_sample", "SELECT * FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 429496730")
 def f_fraction_sample(spark, d):
-    return V.table(spark, d, "events").sample(fraction=0.1, seed=42)
+    """A tenth of the rows by the digest of the id, so the sample does not depend on partitions."""
+    return X.fraction_sample(V.table(spark, d, "events"), "event_id", 0.1, "42")
 
 
 @query("f_draw_order", """SELECT market_id FROM (SELECT user_id AS market_id, md5('2024-01-31:' || user_id) AS k FROM events GROUP BY user_id)

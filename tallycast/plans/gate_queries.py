@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import half_up
-from tallycast.functions.timing import days
+from tallycast.functions.timing import days, micros
 from tallycast.operators import bootstrap as BS
 from tallycast.operators import live as L
 from tallycast.operators import metrics as M
@@ -34,7 +34,7 @@ FAULTY_META = """SELECT market_id, clob_token_id, CASE WHEN market_id % 11 = 0 T
 def gate_sql(source: str, issues: dict[str, str], notes: dict[str, str] | None = None) -> str:
     rows = [(n, "issue", t) for n, t in issues.items()] + [(n, "note", t) for n, t in (notes or {}).items()]
     return " UNION ALL ".join(
-        f"SELECT '{n}' AS check_name, '{s}' AS severity, count(*) FILTER ({t}) AS n, min(CAST(market_id AS VARCHAR)) FILTER ({t}) AS sample_id FROM {source}"
+        f"SELECT '{n}' AS check_name, '{s}' AS severity, CAST(market_id AS VARCHAR) AS market_id, count(*) AS n FROM {source} WHERE {t} GROUP BY market_id"
         for n, s, t in rows)
 
 
@@ -61,6 +61,12 @@ def q_meta_checks(spark, d):
     return Q.check_meta(faulty_meta(spark, d))
 
 
+@query("q_meta_counts", with_views(f"SELECT check_name, severity, CAST(sum(n) AS BIGINT) AS n, count(*) AS markets, min(market_id) AS first_id FROM ({gate_sql('t', META_TESTS)}) GROUP BY ALL", "markets", extra={
+    "faulty": FAULTY_META.format(m="markets"), "t": "SELECT *, count(*) OVER (PARTITION BY market_id) AS copies FROM faulty"}))
+def q_meta_counts(spark, d):
+    return Q.gate_counts(Q.check_meta(faulty_meta(spark, d)))
+
+
 EVIDENCE = """SELECT market_id, clob_token_id, question, start_date + INTERVAL '500 milliseconds' * (market_id % 4) AS start_date, end_date, duration_days,
     total_volume + CASE WHEN market_id % 5 = 0 THEN 0.0000001 WHEN market_id % 5 = 1 THEN 0.001 ELSE 0 END AS total_volume, yes_final_price,
     CASE WHEN market_id % 9 = 0 THEN 1 - outcome ELSE outcome END AS outcome FROM {m} WHERE market_id % 8 <> 3"""
@@ -148,11 +154,12 @@ def q_raw_build_checks(spark, d):
     return Q.check_raw(faulty_snapshots(spark, d), V.markets(spark, d).filter("market_id % 40 <> 39"))
 
 
-COMPARED = ["pct_lifetime_elapsed", "price_at_snapshot", "price_mean_7d"]
+COMPARED = ["pct_lifetime_elapsed", "price_at_snapshot", *rolling_columns()]
+SAME_COLUMNS = ", ".join(c for c in rolling_columns() if c != "price_mean_7d")
 NEW_BUILD = """SELECT market_id, snapshot_timestamp, days_before_close + CASE WHEN market_id % 5 = 1 THEN 2 WHEN market_id % 5 = 2 THEN day(snapshot_timestamp) ELSE 0 END AS days_before_close, pct_lifetime_elapsed,
     price_at_snapshot + CASE WHEN market_id % 7 = 3 AND hour(snapshot_timestamp) < 6 THEN 0.01 ELSE 0 END AS price_at_snapshot,
-    CASE WHEN market_id % 11 = 5 THEN NULL ELSE price_mean_7d END AS price_mean_7d FROM {s} WHERE NOT (market_id % 3 = 0 AND day(snapshot_timestamp) = 18)"""
-OLD_BUILD = "SELECT market_id, snapshot_timestamp, days_before_close, pct_lifetime_elapsed, price_at_snapshot, price_mean_7d FROM {s} WHERE NOT (market_id % 4 = 0 AND day(snapshot_timestamp) = 20) AND market_id % 20 <> 19"
+    CASE WHEN market_id % 11 = 5 THEN NULL ELSE price_mean_7d END AS price_mean_7d, """ + SAME_COLUMNS + """ FROM {s} WHERE NOT (market_id % 3 = 0 AND day(snapshot_timestamp) = 18)"""
+OLD_BUILD = "SELECT market_id, snapshot_timestamp, days_before_close, pct_lifetime_elapsed, price_at_snapshot, price_mean_7d, " + SAME_COLUMNS + " FROM {s} WHERE NOT (market_id % 4 = 0 AND day(snapshot_timestamp) = 20) AND market_id % 20 <> 19"
 
 
 def compare_sql() -> str:
@@ -207,18 +214,37 @@ def c_semi_join(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", "o_totalprice").join(big, "o_orderkey", "left_semi")
 
 
-def digest_rows(spark, d) -> DataFrame:
-    return V.snapshots(spark, d).select(*BY_ROW, "price_at_snapshot", "split", "category")
+DIGESTED = ["price_at_snapshot", "days_before_close", "pct_lifetime_elapsed", "duration_days", *rolling_columns(), "outcome", "category"]
+MILLIONTHS = [c for c in DIGESTED if c not in ("outcome", "category", "duration_days")]
+
+
+def digest_sql(columns: list[str]) -> str:
+    """Text of a row's digest; numbers enter as whole millionths, which every engine writes alike."""
+    text = " || '|' || ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '~')" for c in columns)
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
 
-@query("d_market_digest")
+def whole_columns(spark, d) -> DataFrame:
+    """Every feature of the snapshot table, numbers in whole millionths, times in microseconds."""
+    s = V.snapshots(spark, d).select("market_id", micros("snapshot_timestamp").alias("us"), *DIGESTED)
+    return s.withColumns({c: F.floor(F.col(c) * 1e6 + 0.500001).cast("bigint") for c in MILLIONTHS})
+
+
+@query("d_market_digest", with_views(
+    f"""SELECT market_id, count(*) AS n, CAST(sum(h & 1073741823) AS BIGINT) AS lo, CAST(sum(h >> 30) AS BIGINT) AS hi FROM (
+          SELECT market_id, {digest_sql(sorted(['market_id', 'us', *DIGESTED]))} AS h FROM (
+            SELECT market_id, epoch_us(snapshot_timestamp) AS us, duration_days, outcome, category, {', '.join(f'CAST(floor({c} * 1e6::DOUBLE + 0.500001::DOUBLE) AS BIGINT) AS {c}' for c in MILLIONTHS)} FROM snapshots)) GROUP BY market_id""", "snapshots"))
 def d_market_digest(spark, d):
-    return Q.market_digests(digest_rows(spark, d), ["split"]).select("market_id", "digest.*")
+    return Q.market_digests(whole_columns(spark, d)).select("market_id", "digest.*")
+
+
+LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
 
 
-@query("d_table_digest")
+@query("d_table_digest", f"""SELECT count(*) AS n, CAST(CAST(sum(h) AS HUGEINT) % 18446744073709551616::HUGEINT AS VARCHAR) AS digest FROM (
+    SELECT CAST({digest_sql([*LINE_KEYS[:4], 'CAST(l_shipdate AS DATE)'])} AS HUGEINT) AS h FROM lineitem)""")
 def d_table_digest(spark, d):
-    return Q.table_digest(V.table(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"])
+    return Q.table_digest(V.table(spark, d, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date")), LINE_KEYS)
 
 
 @query("q_parent_compare", """SELECT state, count(*) AS markets FROM (SELECT user_id AS market_id, CASE WHEN user_id % 10 = 0 THEN 'gone' WHEN user_id % 10 = 1 AND user_id % 4 = 1 THEN 'added_not_built'

@@ -30,7 +30,9 @@ def test_clean_metadata_passes_and_faults_are_found(spark, t0):
               meta_row(t0, 4, outcome=0), meta_row(t0, 5, end_date=None), meta_row(t0, 6, end_date=t0), meta_row(t0, 7, duration_days=39),
               meta_row(t0, 8, split="val")]
     gate = Q.check_meta(spark.createDataFrame(faulty, META))
-    got = {r.check_name: r.n for r in gate.filter("n > 0").collect()}
+    got = {r.check_name: r.n for r in Q.gate_counts(gate).collect()}
+    ids = {(r.check_name, r.market_id) for r in gate.collect()}
+    assert {("empty_question", "m2"), ("bad_dates", "m5"), ("bad_split", "m8"), ("duplicate_market_id", "m1")} <= ids
     assert got == {"duplicate_market_id": 2, "empty_question": 1, "placeholder_price": 1, "outcome_vs_price": 1, "empty_end_date": 1,
                    "bad_dates": 1, "end_not_after_start": 1, "duration_mismatch": 2, "bad_split": 1}
     with pytest.raises(Q.GateFailed):
