@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,23 +78,48 @@ def sweep(
     rows: DataFrame, keys: list[str], taus: list[float], costs: list[float], price: str = "price_at_snapshot",
     y: str = "outcome", market: str = "market_id",
 ) -> DataFrame:
-    """Summary for every threshold and cost. The cost never decides whether a row trades: rows are summed
-    per market and threshold at no cost, with the wins counted at each cost, and costs are applied to the sums."""
-    grid = F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau")
-    t = trades(rows.select("*", grid), F.col("tau"), price=price, y=y)
-    wins = [F.count_if(F.col("profit") - c > 0).alias(f"wins_{i}") for i, c in enumerate(costs)]
-    by = [*keys, "tau"]
-    per_market = t.groupBy(*by, market).agg(
-        F.count(F.lit(1)).alias("trades"), F.sum("profit").alias("profit"), F.sum("capital").alias("capital"), *wins)
-    sums = per_market.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("markets"), *[F.sum(c).alias(c) for c in ("trades", "profit", "capital")],
-        *[F.sum(f"wins_{i}").alias(f"wins_{i}") for i in range(len(costs))])
-    priced = F.array(*[F.struct(
-        F.lit(c).alias("cost"), (F.col("profit") - c * F.col("trades")).alias("profit_c"),
-        (F.col("capital") + c * F.col("trades")).alias("capital_c"),
-        (F.col(f"wins_{i}") / F.col("trades")).alias("win_rate")) for i, c in enumerate(costs)])
-    return sums.select(*by, "trades", "markets", F.inline(priced)).withColumnsRenamed(
-        {"profit_c": "profit", "capital_c": "capital"}).withColumn("roi", F.try_divide(F.col("profit"), F.col("capital")))
+    """Summary for every threshold and cost. The cost never decides whether a row trades, and thresholds are
+    conditions of one sum per market, so no row is copied: costs are applied to the sums."""
+    t = trades(rows, -1.0, price=price, y=y)  # every row, priced
+    cells = []
+    for i, tau in enumerate(taus):
+        on = F.col("edge").isNull() | (F.abs("edge") > tau)
+        cells += [F.count_if(on).alias(f"trades_{i}"), F.sum(F.when(on, F.col("profit"))).alias(f"profit_{i}"), F.sum(F.when(on, F.col("capital"))).alias(f"capital_{i}")]
+        cells += [F.count_if(on & (F.col("profit") - c > 0)).alias(f"wins_{i}_{k}") for k, c in enumerate(costs)]
+    names = [n for i in range(len(taus)) for n in (f"trades_{i}", f"profit_{i}", f"capital_{i}", *(f"wins_{i}_{k}" for k in range(len(costs))))]
+    per_market = t.groupBy(*keys, market).agg(*cells)
+    sums = per_market.groupBy(*keys).agg(*[F.count_if(F.col(f"trades_{i}") > 0).alias(f"markets_{i}") for i in range(len(taus))], *[F.sum(n).alias(n) for n in names])
+    out = []
+    for i, tau in enumerate(taus):
+        n = F.col(f"trades_{i}")
+        out += [F.struct(
+            F.lit(tau).alias("tau"), F.lit(c).alias("cost"), n.alias("trades"), F.col(f"markets_{i}").alias("markets"), (F.col(f"profit_{i}") - c * n).alias("profit"),
+            (F.col(f"capital_{i}") + c * n).alias("capital"), F.try_divide(F.col(f"wins_{i}_{k}"), n).alias("win_rate")) for k, c in enumerate(costs)]
+    priced = sums.select(*keys, F.inline(F.array(*out))).filter(F.col("trades") > 0)
+    return priced.withColumn("roi", F.try_divide(F.col("profit"), F.col("capital")))
+
+
+def first_trade_sweep(
+    df: DataFrame, models: dict[str, str], order: list[str], taus: list[float], costs: list[float], n_boot: int, seed: int = 42,
+    market: str = "market_id",
+) -> DataFrame:
+    """ROI of one trade per market for every strategy, threshold and cost, with an interval over resampled markets.
+    The constant strategies have one row a cost, under a NULL threshold."""
+    per_tau = [first_trades(df, models, order, tau=t, market=market).withColumn("tau", F.lit(t)) for t in taus]
+    cells = {f"{m}|{i}": (m, t) for m in models for i, t in enumerate(taus)} | {s: (s, None) for s in (ALWAYS_NO, ALWAYS_YES)}
+    rows = reduce(DataFrame.unionByName, per_tau)
+    rows = rows.filter(F.col("strategy").isin(*models) | (F.col("tau") == taus[0]))  # constant strategies once
+    columns = []
+    for k, (name, tau) in enumerate(cells.values()):
+        here = (F.col("strategy") == name) & (F.col("tau") == tau if tau is not None else F.lit(True))
+        for j, c in enumerate(costs):
+            columns += [F.coalesce(F.sum(F.when(here, F.col("profit") - c)), F.lit(0.0)).alias(f"p_{k}_{j}"), F.coalesce(F.sum(F.when(here, F.col("capital") + c)), F.lit(0.0)).alias(f"c_{k}_{j}")]
+    wide = rows.groupBy(market).agg(*columns)
+    ratios = {f"{k}_{j}": (f"p_{k}_{j}", f"c_{k}_{j}") for k in range(len(cells)) for j in range(len(costs))}
+    names = F.array(*[F.struct(F.lit(f"{k}_{j}").alias("measure"), F.lit(m).alias("strategy"), F.lit(t).cast("double").alias("tau"), F.lit(c).alias("cost"))
+                      for k, (m, t) in enumerate(cells.values()) for j, c in enumerate(costs)])
+    labels = df.sparkSession.range(1).select(F.inline(names))
+    return bootstrap_ratio(wide, market, ratios, n_boot, seed).join(labels, "measure").select("strategy", "tau", "cost", F.col("point").alias("roi"), "ci_lo", "ci_hi")
 
 
 def roi_interval(df: DataFrame, n_boot: int, seed: int = 42, market: str = "market_id") -> DataFrame:
@@ -112,9 +139,12 @@ def nearest_rows(
     df: DataFrame, targets: list[int], position: Column, ts: list[str], keep: list[str], tolerance: float | None = None,
     market: str = "market_id", name: str = "horizon",
 ) -> DataFrame:
-    """Per market and target the row whose `position` lies closest, earliest on equal distance."""
+    """Per market and target the row whose `position` lies closest, earliest on equal distance. With a tolerance a row
+    is looked at for the targets within it only."""
+    every = F.array(*[F.lit(t) for t in targets])
+    near = every if tolerance is None else F.filter(every, lambda t: F.abs(position - t) <= tolerance)
     wide = df.select(market, *keep, *[c for c in ts if c not in keep], position.alias("position"),
-                     F.explode(F.array(*[F.lit(t) for t in targets])).alias(name))
+                     F.explode(near).alias(name))
     dist = F.abs(F.col("position") - F.col(name))
     payload = F.struct(*keep, "position", dist.alias("distance"))
     best = wide.groupBy(market, name).agg(F.min_by(payload, F.struct(dist, *ts)).alias("b")).select(market, name, "b.*")

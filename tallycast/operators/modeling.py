@@ -129,7 +129,7 @@ def fit_logistic(numeric: list[str]) -> Fitter:
     def fit(train: DataFrame, p: Params) -> PipelineModel:
         total = train.agg(F.sum("weight")).first()[0]
         model = LogisticRegression(
-            labelCol="outcome", weightCol="weight", standardization=False, maxIter=1000,
+            labelCol="outcome", weightCol="weight", standardization=False, maxIter=1000, tol=1e-4,
             regParam=1.0 / (p["C"] * total), elasticNetParam=1.0 if p["l1"] else 0.0)
         return Pipeline(stages=[*encoders(numeric, standardized(train, numeric)), model]).fit(train)
     return fit

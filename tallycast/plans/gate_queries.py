@@ -14,7 +14,7 @@ from tallycast.operators import quality as Q
 from tallycast.operators import release as RL
 from tallycast.operators.snapshots import rolling_columns
 from tallycast.plans.feature_queries import newest_event, stored_clean
-from tallycast.plans.metric_queries import AUC_BOOTS, LOSS_BOOTS, METRICS, rnd
+from tallycast.plans.metric_queries import AUC_BOOTS, LOSS_BOOTS, METRICS, auc_boot_sql, rnd
 from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
 from tallycast.plans.source_queries import CATALOGUE_SQL, META_SQL, REASON_SQL, catalogue
@@ -533,6 +533,14 @@ def q_track_by_duration(spark, d):
     return rnd(L.record_metrics(done, ["release", "bucket"], ["model_a", "model_b"]), *METRICS)
 
 
+@query("q_track_intervals", auc_boot_sql("market_id", AUC_BOOTS, "one", "1", "market_price", "model_a", views=(), extra={
+    **FIRST, "one": "SELECT * FROM done WHERE release = 'r1' AND source = 'sample'"}))
+def q_track_intervals(spark, d):
+    """Model against market on the first lookups of one release and source."""
+    done = L.scorable(first_with_markets(spark, d), ["model_a", "model_b"]).filter("release = 'r1' AND source = 'sample'")
+    return rnd(L.vs_market_intervals(done, "model_a", AUC_BOOTS), "ci_lo", "ci_hi", "point")
+
+
 @query("q_resolve_open", with_views(
     """SELECT m.market_id, CASE WHEN hit AND (price >= 0.95 OR price <= 0.05) THEN 'resolved' WHEN hit THEN 'ambiguous' ELSE resolution_status END AS resolution_status,
          CASE WHEN hit THEN CASE WHEN price >= 0.95 THEN 1 WHEN price <= 0.05 THEN 0 END ELSE outcome END AS outcome, CASE WHEN hit THEN ct END AS closed_time

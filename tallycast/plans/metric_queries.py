@@ -188,10 +188,10 @@ def h_calibration_error(spark, d):
 AUC_BOOTS, LOSS_BOOTS, ROW_BOOTS = 500, 1000, 500
 
 
-def auc_boot_sql(group: str, n_boot: int) -> str:
-    sums = f"""SELECT {group}, which, score, sum(outcome)::DOUBLE AS pos, sum(1 - outcome)::DOUBLE AS neg FROM (
-        SELECT {group}, outcome, 'base' AS which, price_at_snapshot AS score FROM scored UNION ALL
-        SELECT {group}, outcome, 'new', p_model_a FROM scored) GROUP BY ALL"""
+def auc_boot_sql(group: str, n_boot: int, source: str = "scored", w: str = "1", base: str = "price_at_snapshot", new: str = "p_model_a", extra=None, views=("scored",)) -> str:
+    sums = f"""SELECT {group}, which, score, sum(w * outcome)::DOUBLE AS pos, sum(w * (1 - outcome))::DOUBLE AS neg FROM (
+        SELECT {group}, {w} AS w, outcome, 'base' AS which, {base} AS score FROM {source} UNION ALL
+        SELECT {group}, {w}, outcome, 'new', {new} FROM {source}) GROUP BY ALL"""
     resampled = f"""SELECT b, which, score, sum(pos) AS pos, sum(neg) AS neg
         FROM draws JOIN groups USING (idx) JOIN sums USING ({group}) GROUP BY ALL"""
 
@@ -206,8 +206,8 @@ def auc_boot_sql(group: str, n_boot: int) -> str:
         f"""SELECT {r('quantile_cont(diff, 0.025)', 6)} AS ci_lo, {r('quantile_cont(diff, 0.975)', 6)} AS ci_hi,
                    avg(CASE WHEN diff <= 0 THEN 1 ELSE 0 END) AS p_value, count(*) AS replicates,
                    {r('(SELECT max(diff) FROM point)', 6)} AS point
-            FROM reps WHERE diff IS NOT NULL""", "scored",
-        extra={"groups": groups_sql("scored", group), "draws": draws_sql("groups", n_boot, 42), "sums": sums,
+            FROM reps WHERE diff IS NOT NULL""", *views,
+        extra={**(extra or {}), "groups": groups_sql(source, group), "draws": draws_sql("groups", n_boot, 42), "sums": sums,
                "resampled": resampled, "whole": whole, "reps": aucs("resampled", "b"), "point": aucs("whole", "k")})
 
 
@@ -223,6 +223,16 @@ def h_bootstrap_auc_rows(spark, d):
     return rnd(out, "ci_lo", "ci_hi", "point")
 
 
+ONCE_SQL = "SELECT *, (SELECT count(*)::DOUBLE / count(DISTINCT market_id) FROM scored) / count(*) OVER (PARTITION BY market_id) AS w FROM scored"
+
+
+@query("s_each_market_once_auc", auc_boot_sql("market_id", AUC_BOOTS, "once", "w", extra={"once": ONCE_SQL}))
+def s_each_market_once_auc(spark, d):
+    """Difference in AUC with every market counted once, with its interval."""
+    weighted = M.market_weights(V.scored(spark, d))
+    return rnd(BS.bootstrap_auc_diff(weighted, "price_at_snapshot", "p_model_a", "market_id", AUC_BOOTS, weight="weight"), "ci_lo", "ci_hi", "point")
+
+
 def ratio_boot_sql(per_group: str, ratios: dict[str, tuple[str, str]], n_boot: int, *views: str, extra=None) -> str:
     cols = sorted({c for pair in ratios.values() for c in pair})
     sums = ", ".join(f"sum({c}) AS {c}" for c in cols)
@@ -261,6 +271,15 @@ ROLLUP_SQL = """SELECT model, market_id, min_by(outcome, (snapshot_timestamp, ro
     FROM long_scores GROUP BY model, market_id"""
 
 
+@query("s_each_market_once_losses", ratio_boot_sql(
+    f"""SELECT market_id, sum(w * ({loss_sql('p_model_a')} - {loss_sql('price_at_snapshot')})) AS d_log_loss,
+        sum(w * ((p_model_a - outcome) ** 2 - (price_at_snapshot - outcome) ** 2)) AS d_brier, sum(w) AS weight_sum FROM once GROUP BY market_id""",
+    {"log_loss": ("d_log_loss", "weight_sum"), "brier": ("d_brier", "weight_sum")}, LOSS_BOOTS, "scored", extra={"once": ONCE_SQL}))
+def s_each_market_once_losses(spark, d):
+    out = BS.bootstrap_loss_diff(M.market_weights(V.scored(spark, d)), "price_at_snapshot", "p_model_a", "market_id", LOSS_BOOTS, weight="weight")
+    return rnd(out, "ci_lo", "ci_hi", "point")
+
+
 def market_level(spark, d) -> DataFrame:
     return M.market_rollup(long_scores(spark, d, "snapshot_timestamp", "row_key"), ["model"], tie="row_key")
 

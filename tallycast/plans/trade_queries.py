@@ -78,7 +78,7 @@ GRID_SQL = "SELECT * FROM strategies, (SELECT unnest([0.02, 0.05, 0.1])::DOUBLE
                extra={"strategies": STRATEGY_SQL, "grid": GRID_SQL, "trades": trade_sql("tau", "cost", "grid")}),
 )
 def t_tau_cost_sweep(spark, d):
-    return tidy(B.sweep(strategy_rows(spark, d), ["strategy"], [0.02, 0.05, 0.1], [0.0, 0.01, 0.02]))
+    return tidy(B.sweep(strategy_rows(spark, d), ["strategy"], TAUS, COSTS))
 
 
 @query(
@@ -91,6 +91,23 @@ def t_roi_interval(spark, d):
     return rnd(B.roi_interval(t, LOSS_BOOTS), "ci_lo", "ci_hi", "point")
 
 
+TAUS, COSTS = [0.02, 0.05, 0.1], [0.0, 0.01, 0.02]
+SWEEP_CELLS = [(m, t) for m in MODELS for t in TAUS] + [("always_no", None), ("always_yes", None)]
+SWEEP_MARKETS = "SELECT market_id, " + ", ".join(
+    f"""coalesce(sum({v}) FILTER (strategy = '{m}' AND tau = {t or TAUS[0]}::DOUBLE), 0.0::DOUBLE) AS {n}_{k}_{j}"""
+    for k, (m, t) in enumerate(SWEEP_CELLS) for j, c in enumerate(COSTS) for n, v in (("p", f"profit - {c}::DOUBLE"), ("c", f"capital + {c}::DOUBLE"))) + " FROM firsts GROUP BY market_id"
+SWEEP_NAMES = ", ".join(f"('{k}_{j}', '{m}', {f'{t}::DOUBLE' if t else 'NULL::DOUBLE'}, {c}::DOUBLE)" for k, (m, t) in enumerate(SWEEP_CELLS) for j, c in enumerate(COSTS))
+SWEEP_SQL = ratio_boot_sql(SWEEP_MARKETS, {f"{k}_{j}": (f"p_{k}_{j}", f"c_{k}_{j}") for k in range(len(SWEEP_CELLS)) for j in range(len(COSTS))}, LOSS_BOOTS, "scored", extra={
+    "strategies": STRATEGY_SQL, "grid": "SELECT * FROM strategies, (SELECT unnest([0.02, 0.05, 0.1])::DOUBLE AS tau)", "trades": trade_sql("tau", "0.0", "grid"),
+    "firsts": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY strategy, tau, market_id ORDER BY snapshot_timestamp, row_key) AS rn FROM trades) WHERE rn = 1"})
+
+
+@query("t_first_trade_sweep", f"SELECT strategy, tau, cost, point AS roi, ci_lo, ci_hi FROM ({SWEEP_SQL}) JOIN (VALUES {SWEEP_NAMES}) n(measure, strategy, tau, cost) USING (measure)")
+def t_first_trade_sweep(spark, d):
+    out = B.first_trade_sweep(V.scored(spark, d), MODELS, ["snapshot_timestamp", "row_key"], TAUS, COSTS, LOSS_BOOTS)
+    return rnd(out, "roi", "ci_lo", "ci_hi")
+
+
 HORIZONS = list(range(7, 91))
 NEAR_SQL = """SELECT * FROM (SELECT s.*, h.horizon, abs(duration_days - days_before_close - h.horizon) AS distance,
       row_number() OVER (PARTITION BY market_id, h.horizon ORDER BY abs(duration_days - days_before_close - h.horizon), snapshot_timestamp, row_key) AS rn
