@@ -207,3 +207,29 @@ def r_resolution_stream(spark, d):
         F.col("c_custkey").alias("market_id"), F.when(F.col("c_acctbal") >= 5000, 0.99).otherwise(0.5).alias("yes_price"))
     stream = event_stream(spark, d).select(F.col("event_id").alias("lookup_id"), F.col("user_id").alias("market_id"))
     return R.run_to_table(R.resolve(stream, closed), spark).select("lookup_id", "market_id", "status")
+
+
+@query("r_first_lookups_in_runs", """SELECT source, market_id, lookup_id FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'sample' ELSE 'search' END AS source, user_id AS market_id, event_id AS lookup_id,
+    row_number() OVER (PARTITION BY event_id % 2, user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
+def r_first_lookups_in_runs(spark, d):
+    """Three files arrive, two before a first run and one before a second run of the same checkpoint."""
+    source = F.when(F.col("event_id") % 2 == 0, "sample").otherwise("search")
+    rows = V.table(spark, d, "events").select(source.alias("source"), F.col("user_id").alias("market_id"), F.col("event_id").alias("lookup_id"), "ts", F.lit("r1").alias("release"))
+    landing, state = scratch_path(spark, "landing"), scratch_path(spark, "first")
+    out = None
+    for arrivals in ((0, 1), (2,)):
+        for k in arrivals:
+            rows.filter(F.col("lookup_id") % 3 == k).write.mode("append").parquet(landing)
+        out = R.keep_first(spark.readStream.schema(rows.schema).parquet(landing), spark, state)
+    return out.select("source", "market_id", "lookup_id")
+
+
+@query("r_resolution_later", """SELECT event_id AS lookup_id, user_id AS market_id, CASE WHEN bal IS NULL THEN 'open' WHEN bal >= 5000 THEN 'resolved' ELSE 'ambiguous' END AS status
+    FROM events LEFT JOIN (SELECT c_custkey, c_acctbal AS bal FROM customer WHERE c_custkey % 8 <> 0) ON c_custkey = user_id""")
+def r_resolution_later(spark, d):
+    """Open lookups of a first run are looked up again when the catalogue has closed more markets."""
+    price = F.when(F.col("c_acctbal") >= 5000, 0.99).otherwise(0.5).alias("yes_price")
+    closed = V.table(spark, d, "customer").filter("c_custkey % 8 <> 0").select(F.col("c_custkey").alias("market_id"), price)
+    stream = event_stream(spark, d).select(F.col("event_id").alias("lookup_id"), F.col("user_id").alias("market_id"))
+    known = R.run_to_table(R.resolve(stream, closed.filter("market_id % 4 <> 0")), spark)
+    return R.resolve_later(known, closed).select("lookup_id", "market_id", "status")

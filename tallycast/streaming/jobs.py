@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,38 @@ def append_log(stream: DataFrame, spark: SparkSession, path: str | None = None)
 
 def first_of_log(log: DataFrame) -> DataFrame:
     return first_lookups(log.drop("batch"))
+
+
+def keep_first(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """First lookup per key over all runs of one checkpoint, as a table that every batch replaces: a batch reads the
+    version before it and writes its own, so a replayed batch gives the same version. Only the newest two stay
+    needed; the log need not be read again."""
+    def versions() -> list[int]:
+        return sorted(r.v for r in spark.read.option("basePath", f"{path}/state").parquet(f"{path}/state").select("v").distinct().collect()) if begun(path, spark) else []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        before = [v for v in versions() if v < batch_id]
+        rows = batch
+        if before:
+            rows = spark.read.parquet(f"{path}/state/v={before[-1]}").unionByName(batch)
+        first_lookups(rows).select(batch.columns).write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
+
+    q = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/state/v={versions()[-1]}")
+
+
+def begun(path: str, spark: SparkSession) -> bool:
+    """Whether a version of the state table is there."""
+    try:
+        return not spark.read.parquet(f"{path}/state").limit(1).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
+def resolve_later(lookups: DataFrame, closed: DataFrame) -> DataFrame:
+    """Looks open lookups up again in a newer catalogue; decided ones stay as they are."""
+    still = resolve(lookups.filter("status = 'open'").drop("status", "outcome"), closed)
+    return lookups.filter("status <> 'open'").unionByName(still.select(lookups.columns))
