@@ -6,7 +6,7 @@ unit vector>. Every row is indexed, in blocks of at most `BLOCK` rows; nothing i
 Search. For a rotated query q, |x| <code, q> / a estimates <q, x>, and with `SURE` standard errors
 |x| |q| SURE sqrt((1 - a^2) / a^2 / (D - 1)) bounds its error. Of a block, the TOP best estimates are scored exactly;
 all others whose upper bound reaches the worst of these follow, so that a miss needs an error beyond the bound.
-Exact scores are sums in double precision in the order of the components.
+Final scores are sums in double precision in the order of the components.
 
 The queries are a stated set (ids divisible by `EVERY`) and meet all blocks, in groups of about `GROUP`. Query groups
 are broadcast up to `BROADCAST_BYTES`, else joined by a shuffle. Each pair of a group and a block gives TOP rows a
@@ -28,6 +28,8 @@ from tallycast.llm.common import written
 TOP, EVERY = 20, 20
 BLOCK, GROUP, BROADCAST_BYTES = 4096, 1024, 32 << 20
 SURE, SEED = 2.2, 23
+#: Share of |q| |x| by which a matrix product may differ from the sum in order.
+SLACK = 1e-12
 
 
 def rotation(width: int) -> np.ndarray:
@@ -53,20 +55,27 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     width = x.shape[1]
     signs = (np.unpackbits(codes, axis=1, count=width).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(width))
     estimate = ((q @ turn).astype(np.float32) @ signs.T) * (norm / a).astype(np.float32)
-    error = np.linalg.norm(q, axis=1)[:, None] * (norm * sure * np.sqrt(np.maximum(1 - a * a, 0) / (a * a) / max(width - 1, 1)))[None, :]
-    own = q_ids[:, None] == ids[None, :]
-    estimate[own] = -np.inf
+    length = np.linalg.norm(q, axis=1)
+    error = norm * sure * np.sqrt(np.maximum(1 - a * a, 0) / (a * a) / max(width - 1, 1))
+    at = {v: i for i, v in enumerate(ids.tolist())}
+    own = [(i, at[v]) for i, v in enumerate(q_ids.tolist()) if v in at]
+    for i, j in own:
+        estimate[i, j] = -np.inf
+    products = q @ x.T  # all at once costs less than picking; only what the bound lets through is looked at
     if len(ids) > top:
-        first = np.argpartition(-estimate, top - 1, axis=1)[:, :top]
-        rows = np.repeat(np.arange(len(q)), top)
-        known = exact(q[rows], x[first.ravel()]).reshape(-1, top)
-        known[own[rows, first.ravel()].reshape(-1, top)] = -np.inf
-        take = estimate + error >= known.min(axis=1)[:, None]
-        np.put_along_axis(take, first, True, axis=1)
+        first = np.argpartition(estimate, len(ids) - top, axis=1)[:, -top:]
+        known = np.take_along_axis(products, first, axis=1)
+        known[np.isneginf(np.take_along_axis(estimate, first, axis=1))] = -np.inf
+        estimate += length.astype(np.float32)[:, None] * error.astype(np.float32)[None, :]
+        products[estimate < (known.min(axis=1) - SLACK * length * norm.max()).astype(np.float32)[:, None]] = -np.inf
+    for i, j in own:
+        products[i, j] = -np.inf
+    if len(ids) > top:
+        least = np.partition(products, len(ids) - top, axis=1)[:, len(ids) - top] - SLACK * length * norm.max()
+        rows, cols = np.nonzero((products >= least[:, None]) & (products > -np.inf))
     else:
-        take = np.ones(own.shape, bool)
-    rows, cols = np.nonzero(take & ~own)
-    score = np.concatenate([exact(q[rows[i:i + BLOCK * 16]], x[cols[i:i + BLOCK * 16]]) for i in range(0, len(rows), BLOCK * 16)] or [np.empty(0)])
+        rows, cols = np.nonzero(products > -np.inf)
+    score = np.concatenate([exact(q[rows[i:i + BLOCK]], x[cols[i:i + BLOCK]]) for i in range(0, len(rows), BLOCK)] or [np.empty(0)])
     order = np.lexsort((ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
