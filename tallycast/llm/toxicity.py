@@ -3,7 +3,8 @@
 Learning, on at most about `FIT_ROWS` labelled documents (`common.labelled_sample`):
 1. Units of a word (the word, its first five and first four letters) are counted by class. A unit's log-odds have an
    informative Dirichlet prior of `PRIOR` of all counts, spread as the units are in both classes; units whose
-   log-odds exceed `SIGNIFICANT` standard errors are kept, at most `UNITS`. A word scores its highest kept unit; any
+   log-odds exceed `SIGNIFICANT` standard errors are kept, at most `UNITS`. Kept units are counted again by
+   different neighbours, so that copies of a document make no evidence, and must still exceed it. A word scores its highest kept unit; any
    other word scores the log-odds of not being one, which is below zero.
 2. lambda solves E[exp(lambda s)] = 1 over words of clean documents; K is fitted to the segments found there. A
    segment of score s in n words is expected K n exp(-lambda s) times by chance.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -167,6 +169,23 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "y").mapInPandas(run, "unit string, y int, n long")
 
 
+def distinct_contexts(sample: DataFrame, kept: set[str]) -> DataFrame:
+    """(unit, c1, c0): in how many different pairs of neighbouring words each kept unit stands, by class. Copies of
+    a document repeat the neighbours too, so they count once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = set()
+            for text, y in zip(batch["text"], batch["y"]):
+                words = ["", *WORD.findall(text.lower()), ""]
+                for before, word, after in zip(words, words[1:], words[2:]):
+                    found.update((u, y, zlib.crc32(f"{before} {after}".encode())) for u in units(word) if u in kept)
+            yield pd.DataFrame({"unit": pd.Series([u for u, _, _ in found], dtype=object), "y": [y for _, y, _ in found], "around": [c for _, _, c in found]})
+
+    each = sample.select("text", "y").mapInPandas(run, "unit string, y int, around long").distinct()
+    return each.groupBy("unit").agg(F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"))
+
+
 def log_odds(sample: DataFrame) -> tuple[dict[str, float], float]:
     """Kept units with their log-odds, and the drift of all other words."""
     kind = F.substring("unit", 1, 1)
@@ -182,10 +201,18 @@ def log_odds(sample: DataFrame) -> tuple[dict[str, float], float]:
     error = F.sqrt(1 / (F.col("c1") + a) + 1 / (F.col("c0") + a))
     kept = counts.withColumn("odds", odds).withColumn("z", odds / error).where((F.col("z") >= SIGNIFICANT) & (F.col("c1") > F.col("c0")))
     rows = kept.orderBy(F.desc("z"), "unit").limit(UNITS).collect()
+    weigh = {k: (float(t.n1), float(t.n0)) for k, t in totals.items()}
+    odds = {}
+    for r in distinct_contexts(sample, {x.unit for x in rows}).collect():
+        n1, n0 = weigh[r.unit[0]]
+        a, a0 = PRIOR * (r.c1 + r.c0), PRIOR * (n1 + n0)
+        value = math.log((r.c1 + a) / (n1 + a0 - r.c1 - a)) - math.log((r.c0 + a) / (n0 + a0 - r.c0 - a))
+        if value >= SIGNIFICANT * math.sqrt(1 / (r.c1 + a) + 1 / (r.c0 + a)) and r.c1 > r.c0:
+            odds[r.unit] = value
     r = totals["="]
-    share1, share0 = (sum(x[c] for x in rows if x.kind == "=") / n for c, n in (("c1", r.n1), ("c0", r.n0)))
+    share1, share0 = (sum(x[c] for x in rows if x.kind == "=" and x.unit in odds) / n for c, n in (("c1", r.n1), ("c0", r.n0)))
     drift = max(0.005, -math.log((1 - share1) / (1 - share0)) if share1 < 1 else 1.0)
-    return {x.unit: float(x.odds) for x in rows}, drift
+    return odds, drift
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model:
