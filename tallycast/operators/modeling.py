@@ -135,7 +135,7 @@ def fit_logistic(numeric: list[str]) -> Fitter:
     return fit
 
 
-def fit_boosted(numeric: list[str], rounds: int = 1000, patience: int = 50, first: int = 100) -> Fitter:
+def fit_boosted(numeric: list[str], rounds: int = 1000, patience: int = 50, first: int = 64) -> Fitter:
     """Boosting whose number of rounds is the best one on the rows with `is_holdout`.
 
     Spark cannot go on with a fitted ensemble, so fits double in length until the best round lies more than
