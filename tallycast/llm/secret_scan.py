@@ -2,8 +2,8 @@
 
 1. One pass over the texts gives, for each document, its base spans (assign, access, hex) and the candidates: runs
    of credential characters that hold a digit and do not overlap a base span.
-2. The values of base spans are labelled credentials. From at most `LEARN` distinct values a kind, chosen by
-   digest, a prefix tree is built whose states are merged where their outgoing frequencies agree (Hoeffding's bound
+2. The values of base spans are labelled credentials. From about `LEARN` distinct values a kind at most, chosen
+   by digest, a prefix tree is built whose states are merged where their outgoing frequencies agree (Hoeffding's bound
    at `ALPHA`, checked down the whole subtree), red states first: a deterministic probabilistic automaton a kind.
 3. All candidates are scored: the log-likelihood under the best automaton against evenly drawn credential
    characters, in bits. A candidate that gains `PER_CHAR` a character and `TOTAL` in all becomes a span `format`.
@@ -19,7 +19,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,12 +197,16 @@ def _spans(docs: DataFrame, text: str) -> DataFrame:
 
 
 def learn(spans: DataFrame) -> dict[str, Automaton]:
-    """An automaton for each kind with labelled credentials, from LEARN distinct values of at most LONGEST
-    characters (the bound on what the models are fitted on)."""
-    values = (spans.select(F.explode("spans").alias("s")).select("s.kind", "s.value")
-              .where(F.col("kind").isin(BASE) & (F.length("value") <= LONGEST)).distinct())
-    first = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    chosen = values.withColumn("n", first).where(F.col("n") <= LEARN).collect()
+    """An automaton for each kind with labelled credentials, from about LEARN distinct values at most, of at most
+    LONGEST characters each (the bound on what the models are fitted on)."""
+    values = written(spans.select(F.explode("spans").alias("s")).select("s.kind", "s.value")
+                     .where(F.col("kind").isin(BASE) & (F.length("value") <= LONGEST)).distinct(), "credentials")
+    slots = 1 << 30
+    share = {r.kind: min(slots, LEARN * slots // r["count"]) for r in values.groupBy("kind").count().collect()}
+    if not share:
+        return {}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("kind"))
+    chosen = values.where(F.pmod(F.xxhash64("value"), F.lit(slots)) < limit).collect()
     by_kind = defaultdict(list)
     for row in chosen:
         by_kind[row.kind].append(row.value)
