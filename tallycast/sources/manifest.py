@@ -61,10 +61,7 @@ def integrity(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return listing.join(m, "file", "full_outer").select("file", state.alias("state"))
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """Report text of a small result table; larger ones belong in a table sink."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows: write a table instead of a report")
+def markdown_table(df: DataFrame) -> str:
+    """Report text of a result table of any length, fetched part by part in its order."""
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("—" if v is None else str(v) for v in row) + " |" for row in rows])
+    return "\n".join(lines + ["| " + " | ".join("—" if v is None else str(v) for v in row) + " |" for row in df.toLocalIterator()])
