@@ -4,8 +4,9 @@ Index. Each vector x is divided by its length, rotated by a random orthogonal ma
 the signs of its coordinates (one bit each), with two correction scalars: the length |x| and a = <code, rotated
 unit vector>. Every row is indexed, in blocks of at most `BLOCK` rows; nothing is sampled.
 Search. For a rotated query q, |x| <code, q> / a estimates <q, x>, and with `SURE` standard errors
-|x| |q| SURE sqrt((1 - a^2) / a^2 / (D - 1)) bounds its error. Of a block, the TOP best estimates are scored exactly;
-all others whose upper bound reaches the worst of these follow, so that a miss needs an error beyond the bound.
+|x| |q| SURE sqrt((1 - a^2) / a^2 / (D - 1)) bounds its error. Of a block, the TOP best estimates (and their ties) are scored
+exactly; all others whose upper bound reaches the worst of these follow, so that a miss needs an error beyond the bound.
+The exact products of all pairs come from one matrix product, and only those that the bound lets through are used.
 Final scores are sums in double precision in the order of the components.
 
 The queries are a stated set (ids divisible by `EVERY`) and meet all blocks, in groups of about `GROUP`. Query groups
@@ -30,6 +31,8 @@ BLOCK, GROUP, BROADCAST_BYTES = 4096, 1024, 32 << 20
 SURE, SEED = 2.2, 23
 #: Share of |q| |x| by which a matrix product may differ from the sum in order.
 SLACK = 1e-12
+#: Share of |q| |x| / a by which estimates of one vector may differ in single precision.
+TIED = 1e-5
 
 
 def rotation(width: int) -> np.ndarray:
@@ -66,8 +69,12 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
         first = np.argpartition(estimate, len(ids) - top, axis=1)[:, -top:]
         known = np.take_along_axis(products, first, axis=1)
         known[np.isneginf(np.take_along_axis(estimate, first, axis=1))] = -np.inf
+        # the TOP best estimates stay whatever their error, and so do those that tie with them, such as copies
+        least = np.take_along_axis(estimate, first, axis=1).min(axis=1) - (TIED * length * (norm / a).max()).astype(np.float32)
+        ruled_out = estimate < least[:, None]
         estimate += length.astype(np.float32)[:, None] * error.astype(np.float32)[None, :]
-        products[estimate < (known.min(axis=1) - SLACK * length * norm.max()).astype(np.float32)[:, None]] = -np.inf
+        ruled_out &= estimate < (known.min(axis=1) - SLACK * length * norm.max()).astype(np.float32)[:, None]
+        products[ruled_out] = -np.inf
     for i, j in own:
         products[i, j] = -np.inf
     if len(ids) > top:
