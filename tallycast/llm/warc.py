@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import scratch, whole_text
+from tallycast.llm.common import scratch, whole_text, written
 
 REVISIT_LEAST = 100
 ROLL, CHUNK = 32 << 20, 1 << 20
@@ -34,6 +34,8 @@ SALTS = 16
 ROWS = 64
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HEADER = 1 << 16
+CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 RECORD = ("path string, gap string, start long, length long, record_id string, record_type string, target_uri string, refers_to string,"
@@ -151,13 +153,24 @@ class Window:
         return self.base + found
 
 
+def header_end(window: Window, at: int) -> int:
+    """The end of the header at `at`, of any length. Beyond `HEADER` bytes it is sought only as long as what was read
+    can be a header (text, a colon in each line), so that damaged bytes are not read to the end of the file."""
+    seen, n = 0, HEADER
+    while True:
+        data = window.have(at, n)
+        if (end := data.find(b"\r\n\r\n", max(0, seen - 3))) >= 0:
+            return at + end
+        if len(data) < n or CONTROL.search(data, seen) or any(b":" not in line for line in data[10:].split(b"\r\n")[:-1]):
+            raise Damaged("header without end")
+        seen, n = n, 2 * n
+
+
 def parse(window: Window, at: int) -> tuple[dict, int]:
     """The plain record at `at` and the place after it."""
     if not VERSION.fullmatch(window.have(at, 10)):
         raise Damaged("no version line")
-    end = window.find(b"\r\n\r\n", at)
-    if end < 0 or end - at > 1 << 16:
-        raise Damaged("header without end")
+    end = header_end(window, at)
     fields = {}
     for line in window.have(at, end - at).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
@@ -292,8 +305,12 @@ def report(pages: DataFrame) -> DataFrame:
     write(pages, folder).write.parquet(listed)
     files = spark.read.schema("path string, records long, bytes long").parquet(listed)
     page = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).try_cast("long")
-    return read(files).where("gap IS NULL").select(
-        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    pages_read = written(read(files).where("gap IS NULL").select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")), "pages")
+    stored, found = files.agg(F.sum("records")).first()[0] or 0, pages_read.count()
+    if found != stored:
+        raise ValueError(f"{stored} records were written and {found} could be read")
+    return pages_read
 
 
 SQL = """
