@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import bpe, decontaminate, neighbours, pii, quality, secret_scan, simhash, token_counts, toxicity, warc
+from tallycast.llm import alignment, bpe, decontaminate, licenses, neighbours, pii, quality, secret_scan, simhash, spelling, token_counts, toxicity, warc
 from tallycast.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,19 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_spelling")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_licenses", licenses.SQL)
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
