@@ -120,3 +120,10 @@ def test_long_groups_are_not_spread_out(pair):
     assert a_group.max() == b_group.max() == 0
     text, key, times = alignment.id_links(np.zeros(1, np.int64), np.full(200_000, 5), a_group, np.full(200_001, 6), b_group)
     assert (text.tolist(), key.tolist(), times.tolist()) == ([0], [5 * alignment.SIDE + 6], [200_000 * 200_001])
+
+
+def test_both_encoders_of_plain_texts_agree(pair):
+    rng = random.Random(1)
+    letters = [chr(c) for c in (9, 10, *range(32, 127), *range(0xA1, 0x100))]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 50))) for _ in range(5000)]
+    assert pair.quick and pair.encode_a(texts) == [x.ids for x in pair.a.encode_batch_fast(texts, add_special_tokens=False)]
