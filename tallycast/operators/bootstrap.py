@@ -1,12 +1,14 @@
-"""Cluster bootstrap with replicable draws.
+"""Cluster bootstrap with replicable draws, split down a tree of groups.
 
-Slot j of replicate b draws the group numbered `md5(seed:b:j) mod G`, so a replicate is exactly G
-draws of G groups with replacement, whatever the partitioning. Draws are generated next to the
-groups and meet per-group sums by number; equal load follows from the uniform digest.
+A replicate is exactly G draws of G groups with replacement. Groups are numbered in the order of their digest, and a
+leaf is `LEAF` numbers in a row. At the root every slot of a replicate is sent to a leaf by arithmetic on (seed,
+replicate, slot), and only totals per (leaf, replicate) are kept, summed before they are shuffled. A leaf then makes
+the draws of its own groups from its totals, next to their values. No draw is ever a shuffled row, and the result
+does not depend on partitions.
 
 For AUC, rows are summed per (group, score) and dealt by coarse score level; a row meets the draw counts of its
-group for all replicates at once, and every level gives three numbers a replicate. So no row is copied per
-replicate, and only levels x replicates are shuffled after that.
+group for all replicates at once, rows of one task with equal scores are added up before they are dealt, so a score
+that many groups share brings a few rows a task, and every level gives three numbers a replicate.
 """
 
 from __future__ import annotations
@@ -15,31 +17,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallycast.functions.running import hash_rank
 from tallycast.operators.metrics import clipped, log_loss_of
+from tallycast.session import cut
 
 BOOT_LEVELS = 1024
 #: Draw counts of two bytes that are broadcast at most.
 WEIGHT_CELLS = 8_000_000
+#: Groups of a leaf.
+LEAF = 1024
+#: Rows with one score in a batch from which they are added up.
+ALIKE = 16
+# An invertible mixing of 31-bit numbers; the SQL texts spell it out too.
+MASK, FIRST, SECOND = (1 << 31) - 1, 0x7FEB352D, 0x046CA68B
+
+
+def mixed(x):
+    """A number of 31 bits, or an array of them, mixed."""
+    x = (x * FIRST) & MASK
+    x = x ^ (x >> 15)
+    x = (x * SECOND) & MASK
+    return x ^ (x >> 13)
+
+
+def mixed_column(x: Column) -> Column:
+    x = (x * FIRST).bitwiseAND(MASK)
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    x = (x * SECOND).bitwiseAND(MASK)
+    return x.bitwiseXOR(F.shiftright(x, 13))
 
 
 def numbered_groups(df: DataFrame, group: str) -> DataFrame:
-    """(group, idx from 0, n_groups)."""
-    ranked = hash_rank(df.select(group).distinct(), group, "pos")
-    return ranked.select(group, (F.col("pos") - 1).alias("idx"), F.col("tot_pos").alias("n_groups"))
+    """The rows of `df`, one a group, with idx from 0; NULL is a group too."""
+    ranked = hash_rank(df, group, "pos")
+    return ranked.withColumn("idx", F.col("pos") - 1).select(*df.columns, "idx")
 
 
-def draws(groups: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(b, idx): one row per replicate and slot."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("idx").cast("string"))
-    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return groups.select("idx", "n_groups", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select(
-        "b", (number % F.col("n_groups")).alias("idx")
-    )
+def leaf_totals(spark: SparkSession, n_groups: int, n_boot: int, seed: int) -> DataFrame:
+    """(leaf, totals): the draws of each leaf in each replicate that gives it any, as structs (b, c)."""
+    slots = spark.range(n_groups).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("b"))
+    keyed = slots.withColumn("key", mixed_column(F.col("b") + (seed * 7919 + 1) % MASK))
+    high = keyed.withColumn("high", mixed_column(F.col("key").bitwiseXOR(F.col("id").bitwiseAND(MASK))))
+    low = high.withColumn("low", mixed_column((F.col("high") + F.col("key")).bitwiseAND(MASK)))
+    number = (F.col("high") * (MASK + 1) + F.col("low")) % n_groups
+    # never NULL, so that no filter on it repeats the arithmetic below the sums
+    leaf = F.coalesce(F.floor(number / LEAF), F.lit(0).cast("long")).alias("leaf")
+    each = low.select("b", leaf).groupBy("leaf", "b").agg(F.count(F.lit(1)).alias("c"))
+    return each.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("b", "c"))).alias("totals"))
+
+
+def leaf_draws(leaf: int, n_groups: int, totals: list[dict], n_boot: int, seed: int, width: int) -> np.ndarray:
+    """Draw counts (replicates x groups) of one leaf of `width` groups, or what is left of them."""
+    size = min(width, n_groups - leaf * width)
+    b, c = (np.array([t[k] for t in totals], np.int64) for k in "bc")
+    slot = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    key = mixed(mixed((b + (seed * 7919 + 1) % MASK) & MASK) ^ (leaf + 1))
+    drawn = mixed(np.repeat(key, c) ^ (slot & MASK)) % size
+    return np.bincount(np.repeat(b, c) * size + drawn, minlength=n_boot * size).reshape(n_boot, size)
+
+
+def draw_vectors(spark: SparkSession, n_groups: int, n_boot: int, seed: int) -> DataFrame:
+    """(idx, drawn): how often each replicate draws a group, as 16-bit numbers; groups never drawn may be absent."""
+    width = LEAF  # as set here, not as imported by a worker
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                counts = leaf_draws(r["leaf"], n_groups, r["totals"], n_boot, seed, width).T.astype(np.uint16)
+                for at in range(0, len(counts), 128):
+                    part = np.ascontiguousarray(counts[at:at + 128])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(r["leaf"] * width + at + np.arange(len(part)), pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["idx", "drawn"])
+
+    return leaf_totals(spark, n_groups, n_boot, seed).mapInArrow(run, "idx long, drawn binary")
 
 
 def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -51,6 +106,34 @@ def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
     ).select(*keys, F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "p_value", "replicates")
 
 
+def _weights(part: pd.DataFrame, n_boot: int, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted positives and negatives of rows, for each replicate; place 0 has weight one everywhere."""
+    if weights is not None:
+        w = weights[part["idx"].to_numpy(np.int64)].astype(float)
+    else:
+        none = bytes(2 * n_boot)
+        raw = b"".join(none if x is None else x for x in part["drawn"])
+        w = np.concatenate([np.ones((len(part), 1)), np.frombuffer(raw, np.uint16).reshape(len(part), n_boot)], 1)
+    pos, neg = (w * part[c].to_numpy(float)[:, None] for c in ("pos", "neg"))
+    if weights is None and "pos_sums" in part:
+        for i in np.flatnonzero(part["pos_sums"].notna().to_numpy()):
+            pos[i], neg[i] = (np.frombuffer(part[c].iloc[i], float) for c in ("pos_sums", "neg_sums"))
+    return pos, neg
+
+
+def _add_up_alike(batches: Iterator[pd.DataFrame], n_boot: int) -> Iterator[pd.DataFrame]:
+    """Rows of a batch with one (which, score), if many, become one row that holds their sums."""
+    for batch in batches:
+        alike = batch.groupby(["which", "score"])["idx"].transform("size").to_numpy() >= ALIKE
+        single = batch[~alike].drop(columns="idx").assign(pos_sums=None, neg_sums=None)
+        sums = []
+        for (which, score), rows in batch[alike].groupby(["which", "score"]):
+            parts = [_weights(rows.iloc[i:i + 1024], n_boot, None) for i in range(0, len(rows), 1024)]
+            pos, neg = (sum(p[side].sum(0) for p in parts) for side in (0, 1))
+            sums.append((which, score, 0.0, 0.0, rows["lvl"].iloc[0], None, pos.tobytes(), neg.tobytes()))
+        yield pd.concat([single, pd.DataFrame(sums, columns=single.columns)]) if sums else single
+
+
 def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int, weights: np.ndarray | None) -> Iterator[pd.DataFrame]:
     """Rows sorted by (which, lvl, score) into one row per (which, lvl): weighted positives and negatives, and
     pairs within the level, for each replicate; place 0 has weight one everywhere. The state is one level."""
@@ -70,15 +153,10 @@ def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int, weights: np.ndarra
     for batch in batches:
         for first in range(0, len(batch), 1024):
             part = batch.iloc[first:first + 1024]
-            if weights is None:
-                w = np.stack([np.bincount(np.asarray(b, np.int64) + 1, minlength=n_boot + 1) for b in part["drawn"]]).astype(float)
-            else:
-                w = weights[part["idx"].to_numpy(np.int64)].astype(float)
-            w[:, 0] = 1
+            all_pos, all_neg = _weights(part, n_boot, weights)
             which, lvl, scores = part["which"].to_numpy(), part["lvl"].to_numpy(), part["score"].to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (lvl[1:] != lvl[:-1]) | (scores[1:] != scores[:-1]))))
-            pos = np.add.reduceat(w * part["pos"].to_numpy(float)[:, None], cuts)
-            neg = np.add.reduceat(w * part["neg"].to_numpy(float)[:, None], cuts)
+            pos, neg = np.add.reduceat(all_pos, cuts), np.add.reduceat(all_neg, cuts)
             for k, i in enumerate(cuts):
                 here = (which[i], lvl[i])
                 if here != at:
@@ -97,9 +175,11 @@ def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int, weights: np.ndarra
 
 
 def _draw_counts(drawn: DataFrame, n_groups: int, n_boot: int) -> np.ndarray:
+    """Draw counts of all groups, place 0 one; at most `WEIGHT_CELLS` of them."""
     out = np.zeros((n_groups, n_boot + 1), np.uint16)
+    out[:, 0] = 1
     for r in drawn.toLocalIterator():
-        out[r["idx"]] = np.bincount(np.asarray(r["drawn"]) + 1, minlength=n_boot + 1)
+        out[r["idx"], 1:] = np.frombuffer(r["drawn"], np.uint16)
     return out
 
 
@@ -123,16 +203,19 @@ def bootstrap_auc_diff(
         .agg(F.sum("wp").cast("double").alias("pos"), F.sum("wn").cast("double").alias("neg"))
     )
     spark = df.sparkSession
-    groups = numbered_groups(df, group)
-    n_groups = df.select(group).distinct().count()
+    groups = cut(numbered_groups(df.select(group).distinct(), group))
+    n_groups = groups.count()
     rows = sums.join(groups.select(F.col(group).alias("__group"), "idx"), F.col(group).eqNullSafe(F.col("__group")))
     rows = rows.select("idx", "which", "score", "pos", "neg", F.floor(F.col("score") * BOOT_LEVELS).alias("lvl"))
-    drawn = draws(groups, n_boot, seed).groupBy("idx").agg(F.collect_list(F.col("b").cast("int")).alias("drawn"))
+    drawn = draw_vectors(spark, n_groups, n_boot, seed)
     shared = None
     if n_groups * (n_boot + 1) <= WEIGHT_CELLS:
         shared = spark.sparkContext.broadcast(_draw_counts(drawn, n_groups, n_boot))
     else:
-        rows = rows.join(drawn, "idx", "left").withColumn("drawn", F.coalesce("drawn", F.array().cast("array<int>")))
+        joined = rows.join(drawn, "idx", "left").select("idx", "which", "score", "pos", "neg", "lvl", "drawn")
+        rows = joined.mapInPandas(
+            lambda batches: _add_up_alike(batches, n_boot),
+            "which string, score double, pos double, neg double, lvl long, drawn binary, pos_sums binary, neg_sums binary")
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "which", "lvl").sortWithinPartitions("which", "lvl", "score")
     levels = dealt.mapInPandas(
         lambda batches: _level_sums(batches, n_boot, shared.value if shared else None),
@@ -156,20 +239,36 @@ def bootstrap_ratio(
 ) -> DataFrame:
     """Intervals of sum(numerator) / sum(denominator) over resampled groups, one row per ratio.
 
-    `per_group` has one row per group, so each replicate is a plain sum over its draws.
+    `per_group` has one row per group, so a leaf's share of each replicate is a product of its draw counts and its
+    groups' values. Missing values count as nothing.
     """
-    groups = numbered_groups(per_group, group)
     needed = sorted({c for pair in ratios.values() for c in pair})
-    members = per_group.join(groups.select(group, "idx"), group).select("idx", *needed)
+    numbered = cut(numbered_groups(per_group.select(group, *needed), group).drop(group))
+    n_groups, spark = numbered.count(), per_group.sparkSession
+    width, leaf = LEAF, F.floor(F.col("idx") / LEAF).alias("leaf")
+    members = numbered.select(leaf, F.struct("idx", *[F.col(c).cast("double").alias(c) for c in needed]).alias("m")).groupBy("leaf").agg(F.sort_array(F.collect_list("m")).alias("members"))
+
+    def leaf_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                counts = leaf_draws(r["leaf"], n_groups, r["totals"], n_boot, seed, width)
+                values = np.array([[m[c] if m[c] is not None else 0.0 for c in needed] for m in r["members"]], float)
+                sound = np.isfinite(values).all(1)
+                out = counts[:, sound] @ values[sound]
+                for i in np.flatnonzero(~sound):  # counts only where it is drawn
+                    out[counts[:, i] > 0] += values[i]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *(pa.array(c) for c in out.T)], names=["b", *needed])
+
     sums = [F.sum(c).alias(c) for c in needed]
-    resampled = draws(groups, n_boot, seed).join(members, "idx").groupBy("b").agg(*sums)
+    drawn = leaf_totals(spark, n_groups, n_boot, seed).join(members, "leaf")
+    resampled = drawn.mapInArrow(leaf_sums, ", ".join(["b long", *(f"`{c}` double" for c in needed)])).groupBy("b").agg(*sums)
 
     def long(t: DataFrame, keep: list[str]) -> DataFrame:
         rows = [F.struct(F.lit(n).alias("measure"), F.try_divide(F.col(a), F.col(b)).alias("value"))
                 for n, (a, b) in ratios.items()]
         return t.select(*keep, F.inline(F.array(*rows)))
 
-    point = long(per_group.agg(*sums), []).select("measure", F.col("value").alias("point"))
+    point = long(numbered.agg(*sums), []).select("measure", F.col("value").alias("point"))
     return interval(long(resampled, ["b"]), ["measure"], "value").join(point, "measure")
 
 

@@ -52,10 +52,22 @@ def slice_sql(source: str, keys: list[str], min_rows: int = 0) -> str:
         JOIN {auc_sql(source, keys)} a ON {on}"""
 
 
+def mixed_sql(x: str) -> str:
+    y = f"((({x}) * 2146121005) & 2147483647)"
+    z = f"((xor({y}, {y} >> 15) * 74229387) & 2147483647)"
+    return f"xor({z}, {z} >> 13)"
+
+
 def draws_sql(groups: str, n_boot: int, seed: int) -> str:
-    """Draw table (b, idx) over the numbered groups view."""
-    return f"""SELECT b, CAST(('0x' || substr(md5('{seed}:' || b || ':' || idx), 1, 15)) AS BIGINT) % n_groups AS idx
-        FROM {groups}, (SELECT unnest(range({n_boot})) AS b)"""
+    """Draw table (b, idx) over the numbered groups view: slots of a replicate count for leaves of 1,024 groups, and
+    each leaf draws among its own groups as often."""
+    return f"""SELECT b, leaf * 1024 + {mixed_sql('xor(k, j)')} % least(1024, n - leaf * 1024) AS idx FROM (
+        SELECT b, leaf, n, {mixed_sql('xor(key, leaf + 1)')} AS k, unnest(range(c)) AS j FROM (
+          SELECT b, key, n, (high * 2147483648 + low) % n // 1024 AS leaf, count(*) AS c FROM (
+            SELECT *, {mixed_sql('(high + key) & 2147483647')} AS low FROM (
+              SELECT *, {mixed_sql('xor(key, idx & 2147483647)')} AS high FROM (
+                SELECT idx, n_groups AS n, b, {mixed_sql(f'b + {(seed * 7919 + 1) % 2147483647}')} AS key FROM {groups}, (SELECT unnest(range({n_boot})) AS b))))
+          GROUP BY ALL))"""
 
 
 def groups_sql(source: str, group: str) -> str:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import exact_percentiles, half_up, half_up_sql
 from tallycast.functions.running import running_rank
+from test_scores import drawn as drawn_groups
+
 from tallycast.operators import bootstrap as BS
 from tallycast.operators import explore as X
 from tallycast.operators import leakage, slices
@@ -59,15 +61,14 @@ def test_split_refuses_markets_without_time(spark, t0):
         leakage.time_split(frame([*good, (99, None, None)])).collect()
 
 
-@pytest.mark.parametrize("cells", [0, 8_000_000])
-def test_auc_bootstrap_equals_brute_force(rows, monkeypatch, cells):
-    """With draw counts broadcast and joined, each replicate is the AUC of the drawn groups' rows."""
-    import hashlib
-
+@pytest.mark.parametrize("cells, alike", [(0, 16), (0, 2), (8_000_000, 16)])
+def test_auc_bootstrap_equals_brute_force(rows, monkeypatch, cells, alike):
+    """With draw counts broadcast, joined, and added up for equal scores, each replicate is the AUC of the drawn groups' rows."""
     monkeypatch.setattr(BS, "WEIGHT_CELLS", cells)
+    monkeypatch.setattr(BS, "ALIKE", alike)
     df = rows.withColumn("g", F.col("market_id") % 10).withColumn("q", F.round(F.col("p") * 0.5 + F.col("outcome") * 0.1, 2))
     got = BS.bootstrap_auc_diff(df, "p", "q", "g", 30).first()
-    data, order = df.collect(), sorted(range(10), key=lambda g: hashlib.md5(str(g).encode()).hexdigest())
+    data = df.collect()
 
     def auc(drawn, c):
         pos = [(r[c], w) for r in data if r.outcome == 1 for w in [drawn.count(r.g)] if w]
@@ -78,8 +79,8 @@ def test_auc_bootstrap_equals_brute_force(rows, monkeypatch, cells):
 
     diffs = []
     for b in range(30):
-        drawn = [order[int(hashlib.md5(f"42:{b}:{j}".encode()).hexdigest()[:15], 16) % 10] for j in range(10)]
-        new, old = auc(drawn, "q"), auc(drawn, "p")
+        groups = drawn_groups(range(10), b)
+        new, old = auc(groups, "q"), auc(groups, "p")
         diffs += [new - old] if new is not None else []
     assert got.replicates == len(diffs)
     assert got.p_value == pytest.approx(sum(d <= 0 for d in diffs) / len(diffs))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+from collections import Counter
 import math
 import random
 
@@ -95,11 +96,23 @@ def test_market_weights_count_each_market_once(table):
 
 
 def drawn(groups, b, seed=42):
+    """The groups of one replicate: slots choose leaves, leaves choose among their own groups."""
+    def mix(x):
+        x = x * 2146121005 % 2**31
+        x = (x ^ x >> 15) * 74229387 % 2**31
+        return x ^ x >> 13
+
     order = sorted(groups, key=lambda g: (hashlib.md5(str(g).encode()).hexdigest(), g))
-    return [order[int(hashlib.md5(f"{seed}:{b}:{j}".encode()).hexdigest()[:15], 16) % len(order)] for j in range(len(order))]
+    n, key, leaves = len(order), mix((b + seed * 7919 + 1) % 2**31), Counter()
+    for slot in range(n):
+        high = mix(key ^ slot)
+        leaves[(high * 2**31 + mix((high + key) % 2**31)) % n // BS.LEAF] += 1
+    return [order[leaf * BS.LEAF + mix(mix(key ^ (leaf + 1)) ^ j) % min(BS.LEAF, n - leaf * BS.LEAF)] for leaf, c in leaves.items() for j in range(c)]
 
 
-def test_bootstrap_auc_equals_explicit_resampling(table, sample):
+@pytest.mark.parametrize("leaf", [3, 1024])
+def test_bootstrap_auc_equals_explicit_resampling(table, sample, leaf, monkeypatch):
+    monkeypatch.setattr(BS, "LEAF", leaf)
     diffs = []
     for b in range(12):
         rows = [r for g in drawn({s[1] for s in sample}, b) for r in sample if r[1] == g]
@@ -112,6 +125,33 @@ def test_bootstrap_auc_equals_explicit_resampling(table, sample):
     assert r.replicates == len(diffs) and r.p_value == pytest.approx(np.mean(np.array(diffs) <= 0))
 
 
+@pytest.mark.parametrize("leaf", [3, 1024])
+def test_loss_bootstrap_equals_explicit_resampling(spark, leaf, monkeypatch):
+    """A NULL group is drawn like others, missing values count as nothing, infinite ones only where drawn."""
+    monkeypatch.setattr(BS, "LEAF", leaf)
+    values = {g: (float(g % 5) - 2, 1.0 + g % 3) for g in range(17)}
+    values[3], values[5] = (None, 2.0), (float("inf"), 1.0)
+    rows = spark.createDataFrame([(g, *v) for g, v in values.items()], "g long, a double, n double")
+    got = BS.bootstrap_ratio(rows, "g", {"r": ("a", "n")}, 40).first()
+    picked = [drawn(values, b) for b in range(40)]
+    assert all(len(p) == 17 for p in picked)
+    want = [sum(values[g][0] or 0.0 for g in p) / sum(values[g][1] for g in p) for p in picked]
+    assert got.replicates == 40 and got.p_value == pytest.approx(np.mean(np.array(want) <= 0))
+    assert got.ci_lo == pytest.approx(np.percentile(want, 2.5))
+    with_null = rows.union(spark.createDataFrame([(None, 1000.0, 1.0)], rows.schema))
+    assert BS.bootstrap_ratio(with_null.where("g is null or g <> 5"), "g", {"r": ("a", "n")}, 40).first().ci_hi > 20
+
+
+def test_draws_are_spread_evenly(spark):
+    """Means and deviations of draw counts are those of a multinomial with equal shares."""
+    n, boots = 2500, 200
+    vectors = {r.idx: np.frombuffer(r.drawn, np.uint16) for r in BS.draw_vectors(spark, n, boots, 7).collect()}
+    counts = np.stack([vectors[i] for i in range(n)]).astype(float)
+    assert (counts.sum(0) == n).all()
+    assert abs(counts.var() - (1 - 1 / n)) < 0.02 and abs((counts == 0).mean() - np.exp(-1)) < 0.003
+    assert abs(np.corrcoef(counts[:, 0], counts[:, 1])[0, 1]) < 0.08 and abs(np.corrcoef(counts[:-1].ravel(), counts[1:].ravel())[0, 1]) < 0.01
+
+
 def test_bootstrap_does_not_depend_on_partitioning(table):
     a = BS.bootstrap_loss_diff(table.repartition(1), "p", "q", "market_id", 10).orderBy("measure").collect()
     b = BS.bootstrap_loss_diff(table.repartition(7), "p", "q", "market_id", 10).orderBy("measure").collect()
