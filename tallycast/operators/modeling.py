@@ -32,6 +32,7 @@ BOOSTED_GRID = [{"learning_rate": lr, "max_depth": d, "min_child_weight": m}
 FOREST_GRID = [{"max_depth": d, "min_samples_leaf": m} for d, m in product([8, 12, 16, 20], [20, 50, 100])]
 PROB_FLOOR, PROB_CEIL = 0.001, 0.999
 RARE_SHARE = 0.02
+SMOKE_FLOOR = 0.80
 SEED = 42
 
 Params = dict[str, float]
@@ -199,8 +200,9 @@ def check_params(given: Params, expected: set[str]) -> Params:
 
 
 def scored(model: PipelineModel, df: DataFrame, name: str = "p_raw") -> DataFrame:
+    """`df` with the model's probability, written once: no later join or window plans around the model's functions."""
     out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.select(*df.columns, name)
+    return cut(out.select(*df.columns, name))
 
 
 def holdout_auc(model: PipelineModel, holdout: DataFrame) -> float:
@@ -224,7 +226,7 @@ def fit_calibrator(holdout: DataFrame, p: str = "p_raw", y: str = "outcome", ste
 
 def calibrated(model: IsotonicRegressionModel, df: DataFrame, p: str = "p_raw", name: str = "p") -> DataFrame:
     bounded = F.least(F.greatest(F.col("prediction"), F.lit(PROB_FLOOR)), F.lit(PROB_CEIL))
-    return model.transform(df).withColumn(name, bounded).drop("prediction")
+    return cut(model.transform(df).withColumn(name, bounded).drop("prediction"))
 
 
 def feature_names(model: PipelineModel, numeric: list[str]) -> list[str]:
@@ -267,7 +269,7 @@ def classify_questions(df: DataFrame, classify: Callable[[list[str]], list[str |
     return df.select(key, text).mapInPandas(run, f"{key} {key_type}, category string")
 
 
-def smoke_fit(train: DataFrame, test: DataFrame, numeric: list[str], n_train: int = 2000, floor: float = 0.5) -> float:
+def smoke_fit(train: DataFrame, test: DataFrame, numeric: list[str], n_train: int = 2000, floor: float = SMOKE_FLOOR) -> float:
     """AUC on all test rows of a logistic model fitted on a small fixed sample of `n_train` rows: a check that
     training works, not a result. Raises where the AUC does not exceed `floor`."""
     pick = [F.md5(F.concat_ws(":", F.lit(str(SEED)), "market_id", "snapshot_timestamp")), F.col("market_id")]

@@ -82,9 +82,12 @@ def m_point_model_folds(spark, d):
 
 @query("m_smoke")
 def m_smoke(spark, d):
-    """No floor here: these prices carry no signal by design."""
-    rows = stored_clean(spark, d)
-    value = ML.smoke_fit(rows.filter("split = 'train'"), rows.filter("split LIKE 'test%'"), NUMERIC, floor=-1.0)
+    """The outcomes of these tables are drawn without regard to prices, so the check learns another one: whether the
+    price lies above one half, turned round for one row in ten by digest. The floor is the published one."""
+    turned = F.conv(F.substring(F.md5(F.concat_ws(":", "market_id", "snapshot_timestamp")), 1, 4), 16, 10).cast("int") % 10 == 0
+    outcome = ((F.col("price_at_snapshot") > 0.5) != turned).cast("int")
+    rows = stored_clean(spark, d).withColumn("outcome", outcome)
+    value = ML.smoke_fit(rows.filter("split = 'train'"), rows.filter("split LIKE 'test%'"), NUMERIC)
     return spark.createDataFrame([(value,)], "auc double")
 
 
