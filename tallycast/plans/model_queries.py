@@ -194,6 +194,26 @@ def r_incremental_ingest(spark, d):
     return R.run_to_table(R.ingest(stream, "market_id", "end_date"), spark).select("market_id")
 
 
+ARRIVALS_SQL = """WITH a AS (SELECT user_id AS market_id, event_id % 3 AS run, TIMESTAMP '2024-01-01' + to_days(CAST(user_id % 100 AS INTEGER)) AS end_date FROM events
+      WHERE user_id % 4 = 0 OR (user_id % 4 = 1 AND event_id % 3 >= 1) OR (user_id % 4 = 2 AND event_id % 3 = 2) OR (user_id % 4 = 3 AND event_id % 3 = 0)),
+    seen AS (SELECT r.run, (SELECT max(end_date) FROM a WHERE a.run < r.run) - INTERVAL 30 DAY AS low FROM (SELECT DISTINCT run FROM a) r)
+    SELECT market_id, CAST(min(run) AS BIGINT) AS run FROM a JOIN seen USING (run) WHERE low IS NULL OR end_date >= low GROUP BY market_id"""
+
+
+@query("r_ingest_in_runs", ARRIVALS_SQL)
+def r_ingest_in_runs(spark, d):
+    """Three runs of one checkpoint: repeated markets, late closings within the look-back, and ones beyond it."""
+    run, cohort = F.col("event_id") % 3, F.col("user_id") % 4
+    arrives = (cohort == 0) | ((cohort == 1) & (run >= 1)) | ((cohort == 2) & (run == 2)) | ((cohort == 3) & (run == 0))
+    end = (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("user_id") % 100).cast("int"))).cast("timestamp")
+    rows = V.table(spark, d, "events").filter(arrives).select(F.col("user_id").alias("market_id"), run.cast("long").alias("run"), end.alias("end_date"))
+    landing, path, out = scratch_path(spark, "landing"), scratch_path(spark, "ingest"), None
+    for k in range(3):
+        rows.filter(F.col("run") == k).write.mode("append").parquet(landing)
+        out = R.run_to_table(R.ingest(spark.readStream.schema(rows.schema).parquet(landing), "market_id", "end_date"), spark, path)
+    return out.select("market_id", "run")
+
+
 @query("r_lookup_log", """SELECT source, market_id, lookup_id FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'sample' ELSE 'search' END AS source, user_id AS market_id, event_id AS lookup_id,
     row_number() OVER (PARTITION BY event_id % 2, user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
 def r_lookup_log(spark, d):
@@ -215,15 +235,15 @@ def r_resolution_stream(spark, d):
 @query("r_first_lookups_in_runs", """SELECT source, market_id, lookup_id FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'sample' ELSE 'search' END AS source, user_id AS market_id, event_id AS lookup_id,
     row_number() OVER (PARTITION BY event_id % 2, user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
 def r_first_lookups_in_runs(spark, d):
-    """Three files arrive, two before a first run and one before a second run of the same checkpoint."""
+    """Files arrive in three runs of one checkpoint; every second batch compacts the changes."""
     source = F.when(F.col("event_id") % 2 == 0, "sample").otherwise("search")
     rows = V.table(spark, d, "events").select(source.alias("source"), F.col("user_id").alias("market_id"), F.col("event_id").alias("lookup_id"), "ts", F.lit("r1").alias("release"))
     landing, state = scratch_path(spark, "landing"), scratch_path(spark, "first")
     out = None
-    for arrivals in ((0, 1), (2,)):
+    for arrivals in ((0, 1), (2,), (3, 4)):
         for k in arrivals:
-            rows.filter(F.col("lookup_id") % 3 == k).write.mode("append").parquet(landing)
-        out = R.keep_first(spark.readStream.schema(rows.schema).parquet(landing), spark, state)
+            rows.filter(F.col("lookup_id") % 5 == k).write.mode("append").parquet(landing)
+        out = R.keep_first(spark.readStream.schema(rows.schema).parquet(landing), spark, state, compact_every=2)
     return out.select("source", "market_id", "lookup_id")
 
 

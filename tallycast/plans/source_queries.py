@@ -32,8 +32,10 @@ def catalogue_lines(spark, d) -> DataFrame:
     def at(c, pattern):
         return F.date_format(c, pattern)
 
+    key, keyless = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(e)), 64, "0")), (e % 41 == 0) | (e % 43 == 0)
     record = F.struct(
-        F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(e)), 64, "0")).alias("conditionId"),
+        F.when(e % 41 == 0, None).when(e % 43 == 0, "").otherwise(key).alias("conditionId"),
+        F.when(keyless, key).otherwise(e.cast("string")).alias("id"),
         F.concat(F.lit("Question "), e.cast("string")).alias("question"),
         F.when(e % 6 == 0, " ").when(e % 6 == 1, "Legacy").when(e % 6 == 2, " Crypto ").otherwise(
             F.element_at(F.array(*[F.lit(c) for c in C.CATEGORIES]), (e % 9 + 1).cast("int"))).alias("category"),
@@ -402,3 +404,15 @@ def a_sql_over_files(spark, d):
     V.snapshots(spark, d).createOrReplaceTempView("tallycast_snapshots")
     return spark.sql("""SELECT category, count(*) AS snapshots, floor(avg(outcome) * 1000000D + 0.500001D) / 1000000D AS yes_rate
                         FROM tallycast_snapshots GROUP BY category""")
+
+
+@query("a_append_builds", """SELECT o_custkey AS market_id, min(o_orderkey % 3) AS build, count(*) FILTER (o_orderkey % 3 = first) AS n_rows
+    FROM (SELECT *, min(o_orderkey % 3) OVER (PARTITION BY o_custkey) AS first FROM orders) GROUP BY o_custkey""")
+def a_append_builds(spark, d):
+    """Three builds append the markets that no build before them has; the second breaks off and runs again."""
+    orders = V.table(spark, d, "orders").select(F.col("o_custkey").alias("market_id"), "o_orderkey", (F.col("o_orderkey") % 3).alias("arrives"))
+    path = TB.scratch_path(spark, "builds")
+    for build, share in ((0, 1), (1, 2), (1, 1), (2, 1)):
+        rows = orders.filter(F.col("arrives") == build)
+        TB.append_build(rows.filter(F.col("market_id") % share == 0).drop("arrives"), path, build)
+    return spark.read.parquet(path).groupBy("market_id").agg(F.min("build").cast("long").alias("build"), F.count(F.lit(1)).alias("n_rows"))

@@ -21,6 +21,7 @@ MIN_DURATION_DAYS = 30
 # List fields are read as text: a real JSON list arrives as its own text, a quoted one as it is.
 CATALOGUE_SCHEMA = T.StructType([
     T.StructField("conditionId", T.StringType()),
+    T.StructField("id", T.StringType()),
     T.StructField("question", T.StringType()),
     T.StructField("category", T.StringType()),
     T.StructField("slug", T.StringType()),
@@ -61,7 +62,7 @@ def first_number(c: Column) -> Column:
 def parse_catalogue(raw: DataFrame) -> DataFrame:
     prices, tokens = text_list("outcomePrices"), text_list("clobTokenIds")
     return raw.select(
-        F.col("conditionId").alias("market_id"), "question", "category", "slug",
+        F.coalesce(F.nullif("conditionId", F.lit("")), "id").alias("market_id"), "question", "category", "slug",
         F.get(F.col("events"), 0)["slug"].alias("event_slug"),
         F.size(text_list("outcomes")).alias("n_outcomes"),
         F.size(prices).alias("n_prices_listed"),

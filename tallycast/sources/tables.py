@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.session import shared_folder
+from tallycast.session import cut, shared_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +51,27 @@ def not_yet_built(wanted: DataFrame, *done: DataFrame, key: str = "market_id") -
     return out
 
 
+def append_build(rows: DataFrame, path: str, build: int, key: str = "market_id", full: bool = False) -> None:
+    """Append the rows of keys that no other build holds, as the partition `build` of the table.
+
+    A build that is run again replaces its own partition and no other, so a run after a failure leaves the same
+    table. With `full`, nothing built before counts or stays."""
+    spark = rows.sparkSession
+    if not full and built(spark, path):
+        rows = not_yet_built(rows, cut(spark.read.parquet(path).where(F.col("build") != build).select(key).distinct()), key=key)
+    mode = "static" if full else "dynamic"
+    rows.withColumn("build", F.lit(build)).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("build").parquet(path)
+
+
+def built(spark: SparkSession, path: str) -> bool:
+    try:
+        return "build" in spark.read.parquet(path).columns
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
 def replace_markets(old: DataFrame, new: DataFrame, key: str = "market_id") -> DataFrame:
     """Old rows of markets that the new build contains give way to the new rows."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -16,7 +16,10 @@ LOOK_BACK = "30 days"
 
 
 def ingest(stream: DataFrame, key: str, event_time: str, look_back: str = LOOK_BACK) -> DataFrame:
-    """Rows of a growing folder, each key once within the look-back; state older than that expires."""
+    """Rows of a growing folder, each key once within the look-back; state older than that expires.
+
+    Drained by `run_to_table` under one path, the checkpoint keeps keys and watermark over runs: a later run takes
+    keys that closed late, down to `look_back` before the latest end date of the runs before it, and no key twice."""
     return stream.withWatermark(event_time, look_back).dropDuplicatesWithinWatermark([key])
 
 
@@ -57,29 +60,59 @@ def first_of_log(log: DataFrame) -> DataFrame:
     return first_lookups(log.drop("batch"))
 
 
-def keep_first(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """First lookup per key over all runs of one checkpoint, as a table that every batch replaces: a batch reads the
-    version before it and writes its own, so a replayed batch gives the same version. Only the newest two stay
-    needed; the log need not be read again."""
-    def versions() -> list[int]:
-        return sorted(r.v for r in spark.read.option("basePath", f"{path}/state").parquet(f"{path}/state").select("v").distinct().collect()) if begun(path, spark) else []
+def versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(r.v for r in spark.read.parquet(path).select("v").distinct().collect()) if begun(path, spark) else []
+
+
+def drop_versions(spark: SparkSession, path: str, up_to: int) -> None:
+    for v in versions(spark, path):
+        if v <= up_to:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def first_so_far(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Rows that hold the first lookup per key after the batches below `before`: the newest compacted table and the
+    changes since then; a key may have several rows, of which its first lookup is one."""
+    bases = [v for v in versions(spark, f"{path}/base") if v < before]
+    changes = [v for v in versions(spark, f"{path}/changes") if v < before and v > (bases[-1] if bases else -1)]
+    parts = [f"{path}/base/v={v}" for v in bases[-1:]] + [f"{path}/changes/v={v}" for v in changes]
+    return spark.read.parquet(*parts) if parts else None
+
+
+def keep_first(stream: DataFrame, spark: SparkSession, path: str, compact_every: int = 16) -> DataFrame:
+    """First lookup per (source, market) over all runs of one checkpoint.
 
+    A batch writes its changes only: keys that it saw first, or earlier than known. After every `compact_every`
+    batches the changes are merged into one table, and what the table before it had merged is deleted; the table
+    before stays, so a batch that is replayed finds what it read the first time and writes the same rows again."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in versions() if v < batch_id]
-        rows = batch
-        if before:
-            rows = spark.read.parquet(f"{path}/state/v={before[-1]}").unionByName(batch)
-        first_lookups(rows).select(batch.columns).write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
+        fresh, known = first_lookups(batch).select(batch.columns), first_so_far(spark, path, batch_id)
+        if known is not None:
+            key = F.struct("source", "market_id").alias("__key")  # null-safe
+            keyed = fresh.select("*", key)
+            rivals = known.select(*batch.columns, key).join(keyed.select("__key"), "__key", "left_semi")
+            rivals = rivals.groupBy("__key").agg(F.min(F.struct("ts", "lookup_id")).alias("__known"))
+            better = F.col("__known").isNull() | (F.struct("ts", "lookup_id") < F.col("__known"))
+            fresh = keyed.join(rivals, "__key", "left").where(better).select(batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/changes/v={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            before = [v for v in versions(spark, f"{path}/base") if v < batch_id]
+            first_lookups(first_so_far(spark, path, batch_id + 1)).select(batch.columns).write.mode("overwrite").parquet(f"{path}/base/v={batch_id}")
+            if before:
+                drop_versions(spark, f"{path}/changes", before[-1])
+                drop_versions(spark, f"{path}/base", before[-1] - 1)
 
     q = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/state/v={versions()[-1]}")
+    known = first_so_far(spark, path, 1 << 62)
+    return first_lookups(known).select(known.columns) if known is not None else first_lookups(spark.createDataFrame([], stream.schema))
 
 
 def begun(path: str, spark: SparkSession) -> bool:
-    """Whether a version of the state table is there."""
+    """Whether versions of a table are there."""
     try:
-        return not spark.read.parquet(f"{path}/state").limit(1).isEmpty()
+        return "v" in spark.read.parquet(path).columns
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return False
