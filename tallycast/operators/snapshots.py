@@ -201,7 +201,3 @@ def finish_counts(df: DataFrame, window_days=WINDOW_DAYS) -> DataFrame:
         F.count_if((price < 0) | (price > 1)).alias("clipped"),
         *[F.count_if(F.col(f"price_mean_{d}d").isNull()).alias(f"filled_{d}d") for d in window_days],
     )
-
-
-def days_to_close(df: DataFrame, at: str, end: str) -> DataFrame:
-    return df.withColumn("days_before_close", half_up(days_between(at, end), 2))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tallycast.operators.live import first_lookups, outcome_of
 from tallycast.session import shared_folder
 
-LOOK_BACK = "30 days"
+#: Rows exactly thirty days back still count; Spark takes a row at the watermark for late.
+LOOK_BACK = "30 days 1 millisecond"
 
 
 def ingest(stream: DataFrame, key: str, event_time: str, look_back: str = LOOK_BACK) -> DataFrame:

@@ -51,11 +51,11 @@ def test_ingestion_goes_on_over_runs(spark, tmp_path):
     """A repeated key, a late one within thirty days, one beyond; the same in the checkpoint's second and third run."""
     landing, path = str(tmp_path / "landing"), str(tmp_path / "ingest")
     day = lambda n: dt.datetime(2024, 5, 1) + dt.timedelta(days=n)
-    schema, runs = "market_id long, end_date timestamp, run int", [[(1, 0), (2, 60)], [(1, 0), (2, 60), (3, 31), (4, 29)], [(3, 31), (5, 90), (6, 45)], [(7, 59), (8, 61)]]
+    schema, runs = "market_id long, end_date timestamp, run int", [[(1, 0), (2, 60)], [(1, 0), (2, 60), (3, 31), (4, 29), (9, 30)], [(3, 31), (5, 90), (6, 45)], [(7, 59), (8, 61)]]
     for k, rows in enumerate(runs):
         spark.createDataFrame([(m, day(n), k) for m, n in rows], schema).coalesce(1).write.mode("append").parquet(landing)
         out = R.run_to_table(R.ingest(spark.readStream.schema(schema).parquet(landing), "market_id", "end_date"), spark, path)
-    assert sorted((r.market_id, r.run) for r in out.collect()) == [(1, 0), (2, 0), (3, 1), (5, 2), (6, 2), (8, 3)]
+    assert sorted((r.market_id, r.run) for r in out.collect()) == [(1, 0), (2, 0), (3, 1), (5, 2), (6, 2), (8, 3), (9, 1)]
 
 
 def test_builds_append_and_can_be_run_again(spark, tmp_path):
