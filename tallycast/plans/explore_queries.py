@@ -96,7 +96,9 @@ def d_split_overlap(spark, d):
     return X.split_overlap(rows)
 
 
-CORR = ["price_at_snapshot", "p_model_a", "p_model_b", "days_before_close"]
+INPUTS = ["price_at_snapshot", "days_before_close", "pct_lifetime_elapsed", "duration_days", *rolling_columns()]
+CORR = ["price_at_snapshot", "p_model_a", "p_model_b", "duration_days", "days_before_close", "pct_lifetime_elapsed", "total_volume", "outcome"]
+TARGET_CORR = [*INPUTS, "price_deviation_from_half", "total_volume", "log_volume"]
 
 
 @query("d_correlations", with_views(
@@ -105,9 +107,6 @@ def d_correlations(spark, d):
     return rnd(X.correlations(V.scored(spark, d), CORR), "r")
 
 
-INPUTS = ["price_at_snapshot", "days_before_close", "pct_lifetime_elapsed", "duration_days", *rolling_columns()]
-
-
 @query("d_high_correlations", with_views(
     f"SELECT * FROM ({' UNION ALL '.join(f'''SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 6)} AS r FROM snapshots''' for i, a in enumerate(INPUTS) for b in INPUTS[i + 1:])}) WHERE abs(r) > 0.85", "snapshots"))
 def d_high_correlations(spark, d):
@@ -116,9 +115,9 @@ def d_high_correlations(spark, d):
 
 
 @query("d_target_correlations", with_views(
-    " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'corr({c}, outcome)', 6)} AS r FROM scored" for c in CORR), "scored"))
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'corr({c}, outcome)', 6)} AS r FROM snapshots" for c in TARGET_CORR), "snapshots"))
 def d_target_correlations(spark, d):
-    return rnd(X.target_correlations(V.scored(spark, d), CORR, "outcome"), "r").orderBy(F.abs("r").desc())
+    return rnd(X.target_correlations(V.snapshots(spark, d), TARGET_CORR, "outcome"), "r").orderBy(F.abs("r").desc())
 
 
 @query("d_markets_per_month", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n FROM orders GROUP BY 1")

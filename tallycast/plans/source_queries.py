@@ -273,6 +273,16 @@ def d_dedupe_first(spark, d):
     return line.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("copies"), F.min("l_shipdate").alias("first_ship"))
 
 
+FIRST_ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
+
+
+@query("d_keep_first_rows", f"""SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(FIRST_ORDER)}) AS place
+    FROM lineitem) WHERE place = 1""")
+def d_keep_first_rows(spark, d):
+    """Duplicate keys lose all rows but the first, with all its columns."""
+    return TB.first_wins(V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], FIRST_ORDER)
+
+
 @query("a_upsert", """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)
     UNION ALL SELECT l_orderkey, 'X', max(l_extendedprice) FROM lineitem WHERE l_linenumber = 7 GROUP BY l_orderkey""")
 def a_upsert(spark, d):

@@ -77,6 +77,14 @@ def replace_markets(old: DataFrame, new: DataFrame, key: str = "market_id") -> D
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The whole first row per key in `order`, as a mergeable minimum; NULL keys are a key, and of rows that `order`
+    does not tell apart one stays, so it should end in a unique column."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return first.select(*keys, "__first.*").select(df.columns)
+
+
 def newest_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key in `order`, as a mergeable maximum."""
     rest = [c for c in df.columns if c not in keys]
