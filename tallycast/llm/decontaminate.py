@@ -73,18 +73,18 @@ def positions(docs: DataFrame, lengths: list[int], shingle: int = SHINGLE) -> Da
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and `h`, for each different (doc_id, text) of
-    `docs`; other columns are ignored.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and `h`, a row for each row of `docs`; other
+    columns are ignored.
 
     Null texts have no words; a null doc_id is an id of its own; null item ids do not count as items, but their
-    windows hit. Repeated rows give one row; with an empty benchmark nothing is hit."""
+    windows hit. Repeated rows give equal rows; with an empty benchmark nothing is hit."""
     wins = written(windows(benchmark, window), "windows")
     shingles = written(window_shingles(wins.dropDuplicates(["win"]).select("win", "n", "words")), "shingles")
     lengths = sorted((r.k for r in shingles.select("k").distinct().collect()), reverse=True) or [SHINGLE]
     looked_for = shingles.select("shingle").union(docs.sparkSession.range(1).select(F.lit("").alias("shingle"))).distinct()
     n_shingles = looked_for.count()
     found = written(positions(docs, lengths).join(sized(looked_for, n_shingles), "shingle"), "positions")
-    hits = found.where("shingle <> ''").withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).drop("doc_id")
+    hits = found.where("shingle <> ''").withColumn("id", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))).drop("doc_id")
 
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("freq"))
     prefix = shingles.join(rarity, "shingle", "left").groupBy("win", "n").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "shingle", "off")).alias("rare"))
@@ -106,7 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hit = seen.select("id", "h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy("id", "h").agg(F.count("*").alias("n_hit"))
     named = seen.select("id", "h", "win").distinct().join(wins.where(F.col("item_id").isNotNull()).select("win", F.col("item_id").cast("string").alias("item")), "win")
     items = named.select("id", "h", "item").distinct().groupBy("id", "h").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
-    every = found.where("shingle = ''").select("doc_id", "h", "n_words", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")).distinct()
+    every = found.where("shingle = ''").select("doc_id", "h", "n_words", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("id"))
     out = every.join(hit, ["id", "h"], "left").join(items, ["id", "h"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
