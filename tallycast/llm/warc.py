@@ -9,7 +9,8 @@ are never read.
 Reading. A file is read through a window, not as a whole. At each place stands a gzip member or a plain version
 line; a record must have a sound header, its whole block, the closing line ends, and a block digest that agrees. If
 any check fails, the reader searches for the next member that begins with a version line, or the next plain version
-line, goes on there, and logs the bytes between as a gap with the reason.
+line, goes on there, and logs the bytes between as a gap with the reason. Inside a member of several records the
+search goes on in its unpacked stream, and records are given out as they are read, not when the member ends.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ HEADER = 1 << 16
 CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+START, START_BYTES = re.compile(rb"\x1f\x8b\x08|WARC/1\."), 7
 RECORD = ("path string, gap string, start long, length long, record_id string, record_type string, target_uri string, refers_to string,"
           " payload_digest string, payload_bytes long, payload binary")
 
@@ -143,14 +145,14 @@ class Window:
             pass
         return self.data[at - self.base:at - self.base + n]
 
-    def find(self, what: bytes, at: int) -> int:
-        """The next place of `what`, or -1."""
-        start = at - self.base
-        while (found := self.data.find(what, start)) < 0:
-            start = max(at - self.base, len(self.data) - len(what) + 1)
+    def find(self, at: int) -> int | None:
+        """The next place from `at` where a gzip member or a version line may begin. What was searched is given up."""
+        while not (found := START.search(self.data, at - self.base)):
+            at = max(at, self.base + len(self.data) - START_BYTES + 1)
+            self.drop(at)
             if not self.more():
-                return -1
-        return self.base + found
+                return None
+        return self.base + found.start()
 
 
 def header_end(window: Window, at: int) -> int:
@@ -187,7 +189,8 @@ def parse(window: Window, at: int) -> tuple[dict, int]:
         raise Damaged("block without end")
     block = tail[:n]
     kind, _, digest = fields.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest:
+    sound = kind == "sha256"
+    if sound and hashlib.sha256(block).hexdigest() != digest:
         raise Damaged("block digest differs")
     payload, length = block, n
     if fields.get("content-type", "").startswith("application/http"):
@@ -199,48 +202,110 @@ def parse(window: Window, at: int) -> tuple[dict, int]:
         length, own = len(payload), hashlib.sha256(payload).hexdigest()
         if len(named) == 64 and named != own:
             raise Damaged("payload digest differs")
+        sound |= len(named) == 64
         named = own
     return {
         "record_id": fields.get("warc-record-id", "").strip("<>"), "record_type": fields["warc-type"],
         "target_uri": unquote(fields.get("warc-target-uri", "")), "refers_to": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
-        "payload_digest": named, "payload_bytes": length, "payload": payload,
+        "payload_digest": named, "payload_bytes": length, "payload": payload, "sound": sound,
     }, end + 4 + n + 4
 
 
 class Packed:
-    """A stream of what one gzip member holds."""
+    """A stream of what one gzip member holds. It ends where the member does, or where it cannot be unpacked further;
+    then `broken` says why."""
 
     def __init__(self, window: Window, at: int):
-        self.window, self.at, self.unpacker = window, at, zlib.decompressobj(31)
+        self.window, self.at, self.unpacker, self.broken = window, at, zlib.decompressobj(31), None
+        self.given, self.marks = 0, []
 
     def read(self, n: int) -> bytes:
-        out = b""
-        while not out and not self.unpacker.eof:
-            packed = self.unpacker.unconsumed_tail or self.window.have(self.at, CHUNK)
-            if not self.unpacker.unconsumed_tail:
-                if not packed:
-                    raise Damaged("member cut short")
+        out, before = b"", self.at - len(self.unpacker.unconsumed_tail)
+        while not out and not self.unpacker.eof and not self.broken:
+            packed = self.unpacker.unconsumed_tail
+            if not packed:
+                packed = self.window.have(self.at, CHUNK)
                 self.at += len(packed)
-            try:
-                out = self.unpacker.decompress(packed, n)
-            except zlib.error as e:
-                raise Damaged("member damaged") from e
+                if not packed:
+                    self.broken = "member cut short"
+                    break
+            out = self._unpack(packed, n)
             self.at -= len(self.unpacker.unused_data)
+        self.given += len(out)
+        self.marks.append((self.given, before))
         return out
 
-
-def records_at(window: Window, at: int) -> tuple[list[dict], int]:
-    """The records of the gzip member, or the plain record, at `at`, and the place after."""
-    if window.have(at, 3) != MAGIC:
-        one, end = parse(window, at)
-        return [one], end
+    def _unpack(self, packed: bytes, n: int) -> bytes:
+        """The next n bytes at most; as many as there are in front of a damaged place."""
+        while n:
+            spare = self.unpacker.copy()
+            try:
+                return self.unpacker.decompress(packed, n)
+            except zlib.error:
+                self.unpacker, n = spare, n // 2
+        self.broken = "member damaged"
+        return b""
+
+    def before(self, place: int) -> int:
+        """The place in the file up to which packed bytes were used before the piece with the byte in front of
+        `place` was read. Places are asked for in order."""
+        while self.marks[0][0] < place:
+            self.marks.pop(0)
+        return self.marks[0][1]
+
+
+def packed_rows(window: Window, at: int) -> Iterator[dict]:
+    """The records and gaps of the gzip member at `at`, in order; the last row, `next`, has the place after it.
+
+    After a failed check the unpacked stream is searched for the next version line. A record is given out as soon as
+    another one begins; one without a sound digest of its own, and all after it, wait for the checksum of the member.
+    Where a member breaks off, what has a sound digest stays, but for the record at the break. Each row's range is
+    that of the packed bytes read since the row before (none, if it stood in the same piece)."""
     packed = Packed(window, at)
-    inner, place, found = Window(packed), 0, []
+    inner, place, begun, waiting = Window(packed), 0, at, []
+
+    def dealt(rows: list[dict], end: int) -> Iterator[dict]:
+        nonlocal begun
+        for row in rows:
+            yield {"start": begun, "length": end - begun} | {k: v for k, v in row.items() if k != "sound"}
+            begun = end
+
     while inner.have(place, 1):
-        one, place = parse(inner, place)
+        if all(row["sound"] for row in waiting):
+            yield from dealt(waiting, packed.before(place))
+            waiting = []
+            window.drop(begun)
+        try:
+            row, place = parse(inner, place)
+        except Damaged as e:
+            row, place = {"gap": str(e), "sound": True}, next_version(inner, place + 1)
         inner.drop(place)
-        found.append(one)
-    return found, packed.at
+        waiting.append(row)
+    if packed.broken:
+        yield from dealt([row for row in waiting[:-1] if row["sound"]], begun)
+        yield from skip(window, begun, at, packed.broken)
+        return
+    yield from dealt(waiting or [{"gap": "empty member"}], packed.at)
+    yield {"next": packed.at}
+
+
+def next_version(inner: Window, at: int) -> int:
+    """The next place of a plain version line, or the end."""
+    while (found := inner.find(at)) is not None:
+        if VERSION.fullmatch(inner.have(found, 10)):
+            return found
+        at = found + 1
+    return inner.base + len(inner.data)
+
+
+def skip(window: Window, start: int, failed: int, reason: str) -> Iterator[dict]:
+    """A gap from `start` to the next place behind `failed` where something readable begins."""
+    at = max(start, failed + 1)
+    while (found := window.find(at)) is not None and not begins(window, found):
+        at = found + 1
+    end = window.base + len(window.data) if found is None else found
+    yield {"gap": reason, "start": start, "length": end - start}
+    yield {"next": end}
 
 
 def begins(window: Window, at: int) -> bool:
@@ -253,26 +318,27 @@ def begins(window: Window, at: int) -> bool:
     return bool(VERSION.fullmatch(window.have(at, 10)))
 
 
+def plain_row(window: Window, at: int) -> Iterator[dict]:
+    """The plain record at `at`, or a gap, and the place after it."""
+    try:
+        row, end = parse(window, at)
+    except Damaged as e:
+        yield from skip(window, at, at, str(e))
+        return
+    yield {"start": at, "length": end - at} | {k: v for k, v in row.items() if k != "sound"}
+    yield {"next": end}
+
+
 def salvage(stream, chunk: int = CHUNK) -> Iterator[dict]:
     """Records, and gaps with their reason, of one archive in order."""
     window, at = Window(stream, chunk), 0
     while window.have(at, 1):
         window.drop(at)
-        try:
-            found, end = records_at(window, at)
-        except Damaged as e:
-            start, reason = at, str(e)
-            while True:
-                packed, plain = window.find(MAGIC, at + 1), window.find(b"WARC/1.", at + 1)
-                ahead = [x for x in (packed, plain) if x >= 0]
-                at = min(ahead) if ahead else window.base + len(window.data)
-                if not ahead or begins(window, at):
-                    break
-            yield {"gap": reason, "start": start, "length": at - start}
-            continue
-        for one in found:
-            yield {"start": at, "length": end - at} | one
-        at = end
+        for row in packed_rows(window, at) if window.have(at, 3) == MAGIC else plain_row(window, at):
+            if "next" in row:
+                at = row["next"]
+            else:
+                yield row
 
 
 def read(files: DataFrame) -> DataFrame:
