@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallycast.session import shared_folder
 
@@ -30,6 +36,35 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+class Taken:
+    """Spans (start, end) of a text, asked for an overlap in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [s for s, _ in ordered]
+        self.reach = list(accumulate((e for _, e in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
+
+
+def map_texts(docs: DataFrame, text: str, function: Callable[[str | None], Any], field: T.StructField, kind: pa.DataType, keep_text: bool = True) -> DataFrame:
+    """`docs` with function(text) as `field`, in the place of a column of that name or last, without the text if so
+    wished. The other columns stay in Arrow, so that no number goes through a float where a null stands beside it."""
+    fields = [field if f.name == field.name else f for f in docs.schema.fields if keep_text or f.name != text]
+    if field not in fields:
+        fields.append(field)
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([function(x) for x in batch.column(text).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([made if n == field.name else batch.column(n) for n in names], names)
+
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
 def digest_id(column: Column) -> Column:
     """CRC-32 of an id written as text; null for a null id."""
     return F.crc32(column.cast("string"))

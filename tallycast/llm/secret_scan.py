@@ -1,14 +1,15 @@
 """Secrets: base patterns, and formats learnt from the credentials that the patterns label.
 
-1. One pass over the texts gives, for each document, its base spans (assign, access, hex) and the candidates: runs
-   of credential characters that hold a digit and do not overlap a base span.
-2. The values of base spans are labelled credentials. From about `LEARN` distinct values a kind at most, chosen
-   by digest, a prefix tree is built whose states are merged where their outgoing frequencies agree (Hoeffding's bound
-   at `ALPHA`, checked down the whole subtree), red states first: a deterministic probabilistic automaton a kind.
-3. All candidates are scored: the log-likelihood under the best automaton against evenly drawn credential
-   characters, in bits. A candidate that gains `PER_CHAR` a character and `TOTAL` in all becomes a span `format`.
-
-Only step 1 reads texts; its small result is written once. Automata are bounded by LEARN x length of a value.
+1. A first pass over the texts gives the credentials of the base spans (assign, access, hex): labelled values. From about
+   `LEARN` distinct values a kind at most, chosen by digest, a prefix tree is built whose states are merged where
+   their outgoing frequencies agree (Hoeffding's bound at `ALPHA`, checked down the whole subtree), red states first: a
+   deterministic probabilistic automaton a kind.
+2. A second pass scores every candidate, that is every run of credential characters that does not overlap a base span
+   (only runs of one or two characters, which cannot reach `TOTAL`, are left out): the log-likelihood under the best automaton against evenly
+   drawn credential characters, in bits. A candidate that gains `PER_CHAR` a character and `TOTAL` in all becomes a
+   span `format`. A likelihood only falls with each character, so a run is given up as soon as it cannot reach that.
+
+Texts are read twice and never shuffled. Automata are bounded by LEARN x length of a value.
 """
 
 from __future__ import annotations
@@ -17,28 +18,32 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallycast.llm.common import written
+from tallycast.llm.common import Taken, map_texts, written
 
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "format"]
 LEARN, LONGEST, ALPHA = 1_000, 128, 0.05
-PER_CHAR, TOTAL, SHORTEST = 1.0, 20.0, 16
+PER_CHAR, TOTAL = 1.0, 20.0
+#: Distinct candidates whose verdict a task remembers, and the longest of them.
+KNOWN, KNOWN_LENGTH = 1 << 16, 64
 
 CREDENTIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 NAMES = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX_RUN, HEX_LEAST = bytes(0x68 if c in b"0123456789abcdef" else 0x2E for c in range(256)), 24
-NUMBER, RUN = re.compile(rb"[0-9]+"), re.compile(rb"[A-Za-z0-9+/_.=-]*")
-CREDENTIAL_SET = frozenset(CREDENTIAL)
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Bits of a character, or an end, that a state has never seen, and of one character drawn evenly.
 UNSEEN, EVEN = -14.0, math.log2(1 / (len(CREDENTIAL) + 1))
+#: No shorter run can gain TOTAL, as a likelihood is one at most.
+LEAST = math.ceil(-TOTAL / EVEN) - 1
 
 
 def base_spans(text: str, latin: bytes, lower: str) -> list[tuple[str, int, int, str]]:
@@ -59,27 +64,23 @@ def base_spans(text: str, latin: bytes, lower: str) -> list[tuple[str, int, int,
     return sorted(found, key=lambda x: (x[1], BASE.index(x[0])))
 
 
-def candidates(latin: bytes, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out, done = [], 0
-    for m in NUMBER.finditer(latin):
-        if m.start() < done:
-            continue
-        start = m.start()
-        while start > done and latin[start - 1] in CREDENTIAL_SET:
-            start -= 1
-        done = RUN.match(latin, m.end()).end()
-        if done - start >= SHORTEST and not any(s < done and start < e for s, e in taken):
-            out.append((start, done))
-    return out
+def candidates(text: str, base: list[tuple[str, int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Start, end and value of each run of at least `LEAST` credential characters outside the base spans."""
+    taken = Taken((s, e) for _, s, e, _ in base)
+    for m in RUN.finditer(text):
+        if m.end() - m.start() >= LEAST and not taken.meets(m.start(), m.end()):
+            yield m.start(), m.end(), m[0]
 
 
-def parts(text: str | None) -> list[tuple[str, int, int, str]]:
-    """Base spans and candidates (kind `format`) of a text."""
+def parts(text: str | None, formats: Formats | None = None) -> list[tuple[str, int, int, str]]:
+    """All spans of a text by start, then kind as listed; base spans only without `formats`."""
     if not text:
         return []
-    latin = text.encode("latin-1", "replace")
-    base = base_spans(text, latin, text.lower())
-    return base + [("format", s, e, text[s:e]) for s, e in candidates(latin, [(s, e) for _, s, e, _ in base])]
+    base = base_spans(text, text.encode("latin-1", "replace"), text.lower())
+    if formats is None or not formats.automata:
+        return base
+    likely = [("format", s, e, v) for s, e, v in candidates(text, base) if formats.likely(v)]
+    return sorted(base + likely, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 class Automaton:
@@ -165,38 +166,55 @@ class Automaton:
             n = self.total[r]
             self.log[r] = {c: math.log2(k / n) for c, k in self.count[r].items()} | ({"": math.log2(self.ends[r] / n)} if self.ends[r] else {})
 
-    def bits(self, value: str) -> float:
-        """Log-likelihood; unseen characters cost `UNSEEN` and leave the state."""
-        state, out = 0, 0.0
+    def bits(self, value: str, floor: float = -math.inf) -> float:
+        """Log-likelihood; unseen characters cost `UNSEEN` and leave the state. Minus infinity once below `floor`."""
+        state, out, log, follow = 0, 0.0, self.log, self.next
         for c in value:
-            out += self.log[state].get(c, UNSEEN)
-            state = self.next[state].get(c, state)
-        return out + self.log[state].get("", UNSEEN)
+            out += log[state].get(c, UNSEEN)
+            if out < floor:
+                return -math.inf
+            state = follow[state].get(c, state)
+        return out + log[state].get("", UNSEEN)
 
 
 def gain(automata: list[Automaton], value: str) -> float:
     return max((a.bits(value) for a in automata), default=-math.inf) - (len(value) + 1) * EVEN
 
 
+class Formats:
+    """The automata together."""
+
+    def __init__(self, automata: list[Automaton]):
+        self.automata = automata
+
+    def _likely(self, value: str) -> bool:
+        needed = max(TOTAL, PER_CHAR * len(value)) + (len(value) + 1) * EVEN
+        return any(a.bits(value, needed) >= needed for a in self.automata)
+
+    def likely(self, value: str) -> bool:
+        """Whether a value is like a credential; verdicts on short values are remembered."""
+        return _remembered(self)(value) if len(value) <= KNOWN_LENGTH else self._likely(value)
+
+
+@lru_cache(maxsize=1)
+def _remembered(formats: Formats) -> Callable[[str], bool]:
+    return lru_cache(maxsize=KNOWN)(formats._likely)
+
+
 SPAN = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType()),
 ]))
 
 
-def _spans(docs: DataFrame, text: str) -> DataFrame:
-    keep = [c for c in docs.columns if c != text]
+ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            out["spans"] = [[dict(zip(("kind", "start", "end", "value"), s)) for s in parts(x)] for x in batch[text]]
-            yield out
 
-    return docs.mapInPandas(run, T.StructType([*docs.drop(text).schema.fields, T.StructField("spans", SPAN)]))
+def _spans(docs: DataFrame, text: str, formats: Formats | None = None) -> DataFrame:
+    return map_texts(docs, text, lambda x: parts(x, formats), T.StructField("spans", SPAN), ARROW_SPAN, keep_text=False)
 
 
-def learn(spans: DataFrame) -> dict[str, Automaton]:
+def learn(spans: DataFrame) -> Formats:
     """An automaton for each kind with labelled credentials, from about LEARN distinct values at most, of at most
     LONGEST characters each (the bound on what the models are fitted on)."""
     values = written(spans.select(F.explode("spans").alias("s")).select("s.kind", "s.value")
@@ -204,35 +222,21 @@ def learn(spans: DataFrame) -> dict[str, Automaton]:
     slots = 1 << 30
     share = {r.kind: min(slots, LEARN * slots // r["count"]) for r in values.groupBy("kind").count().collect()}
     if not share:
-        return {}
+        return Formats([])
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("kind"))
     chosen = values.where(F.pmod(F.xxhash64("value"), F.lit(slots)) < limit).collect()
     by_kind = defaultdict(list)
     for row in chosen:
         by_kind[row.kind].append(row.value)
-    return {kind: Automaton(by_kind[kind]) for kind in BASE if by_kind[kind]}
+    return Formats([Automaton(by_kind[kind]) for kind in BASE if by_kind[kind]])
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without the text and with `spans`, an array<struct<kind,start,end,value>> by start, then kind: base
     spans, and candidates of a learnt format. A column already named `spans` is replaced. One row for each row; a
     null or empty text has none, and without labelled credentials there are base spans only (none)."""
-    found = written(_spans(docs.drop(*[c for c in docs.columns if c.lower() == "spans"]), text), "secrets")
-    automata = list(learn(found).values())
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def gains(values: pd.Series) -> pd.Series:
-        return values.map(lambda xs: [gain(automata, x) for x in xs])
-
-    likely = F.filter("spans", lambda s: s.kind == "format")
-    scored = found.withColumn("gains", F.when(F.size(likely) > 0, gains(F.transform(likely, lambda s: s.value))).otherwise(F.array().cast("array<double>")))
-    kept = F.transform(F.filter(F.arrays_zip(likely.alias("s"), F.col("gains").alias("g")),
-                                lambda x: (x.g >= TOTAL) & (x.g >= PER_CHAR * F.length(x.s.value))), lambda x: x.s)
-    order = F.array(*[F.lit(k) for k in KINDS])
-    every = F.concat(F.filter("spans", lambda s: s.kind != "format"), kept)
-    keyed = F.array_sort(F.transform(every, lambda s: F.struct(s.start.alias("start"), F.array_position(order, s.kind).alias("k"), s.end.alias("end"), s.value.alias("value"))))
-    out = F.transform(keyed, lambda s: F.struct(F.element_at(order, s.k.cast("int")).alias("kind"), s.start.alias("start"), s.end.alias("end"), s.value.alias("value")))
-    return scored.withColumn("spans", out).drop("gains")
+    slim = docs.drop(*[c for c in docs.columns if c.lower() == "spans"])
+    return _spans(slim, text, learn(_spans(slim.select(text), text)))
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:
