@@ -6,7 +6,8 @@ of its kind within `NEAR` characters, and loses as much where a word of another
 stands there. A further span that overlaps a base span is dropped. Offsets are code points, ends exclusive.
 
 All searches take time linear in the text, also on long runs of digits, dots or address characters: each run is
-read once, and what stands in it is counted off instead of being matched again from every start.
+read once, and what stands in it is counted off instead of being matched again from every start; overlaps are looked
+up by halving.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallycast.llm.common import Taken, map_texts
+
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "short_card", "local_phone", "national_id"]
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
@@ -46,6 +49,7 @@ SPAN = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()),
 ]))
+ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
 def luhn(digits: str) -> bool:
@@ -127,13 +131,13 @@ def scan(text: str | None) -> list[Span]:
             add("card", start, end, True)
     for start, end in phones(text):
         add("phone", start, end, False)
-    taken = [(s, e) for _, s, e, _ in found]
+    taken = Taken((s, e) for _, s, e, _ in found)
     further = [("short_card", s, e, True) for s, e, n, valid in cards if n < 16 and valid]
     further += [("iban", m.start(), m.end(), True) for m in IBAN.finditer(text) if mod97(m[0])]
     further += [("local_phone", m.start(), m.end(), False) for m in LOCAL_PHONE.finditer(text)]
     further += [("national_id", m.start(), m.end(), False) for m in NATIONAL_ID.finditer(text)]
     for kind, start, end, checked in further:
-        if not any(s < end and start < e for s, e in taken):
+        if not taken.meets(start, end):
             add(kind, start, end, checked)
     return sorted(found, key=lambda x: (ORDER[x[0]], x[1]))
 
@@ -154,26 +158,12 @@ def find(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
     """Every column but the text, and the spans of the whole text as array<struct<kind,start,end,score>>. A column
     already named like `spans` is replaced. One row for each row, whatever repeats; null texts have no spans."""
     slim = docs.drop(*[c for c in docs.columns if c.lower() == spans.lower()])
-    keep = [c for c in slim.columns if c != text]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            out[spans] = [[dict(zip(("kind", "start", "end", "score"), s)) for s in scan(x)] for x in batch[text]]
-            yield out
-
-    return slim.mapInPandas(run, T.StructType([*slim.drop(text).schema.fields, T.StructField(spans, SPAN)]))
+    return map_texts(slim, text, scan, T.StructField(spans, SPAN), ARROW_SPAN, keep_text=False)
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the spans of each text masked; same columns and rows. Null texts stay null."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[text] = [masked(x, scan(x)) for x in batch[text]]
-            yield batch
-
-    return docs.mapInPandas(run, docs.schema)
+    """`docs` with the spans of each text masked; same columns and rows, repeated ones too. Null texts stay null."""
+    return map_texts(docs, text, lambda x: masked(x, scan(x)), docs.schema[text], pa.string())
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:
