@@ -127,11 +127,12 @@ class Automaton:
                     todo.append((self.next[a][c], self.next[b][c]))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the tree below b to a."""
-        todo = [(a, b)]
+    def _fold(self, a: int, b: int) -> list[int]:
+        """Adds the tree below b to a; gives the states that took part of it."""
+        todo, changed = [(a, b)], []
         while todo:
             a, b = todo.pop()
+            changed.append(a)
             self.ends[a] += self.ends[b]
             self.total[a] += self.total[b]
             for c, n in self.count[b].items():
@@ -141,6 +142,7 @@ class Automaton:
                     todo.append((self.next[a][c], to))
                 else:
                     self.next[a][c] = to
+        return changed
 
     def _merge_states(self) -> None:
         red = [0]
@@ -153,8 +155,7 @@ class Automaton:
             for r in red:
                 if self._compatible(r, state):
                     self.next[parent][c] = r
-                    self._fold(r, state)
-                    grown = [r]
+                    grown = [x for x in dict.fromkeys(self._fold(r, state)) if x in red]
                     break
             else:
                 red.append(state)
