@@ -12,6 +12,7 @@ from tallycast.plans.feature_queries import clean, newest_event, stored_clean
 from tallycast.plans.metric_queries import long_scores
 from tallycast.plans.oracle_views import r, with_views
 from tallycast.plans.registry import query
+from tallycast.session import cut
 from tallycast.sources import catalogue as C
 from tallycast.sources import manifest as MF
 from tallycast.sources import tables as TB
@@ -367,6 +368,35 @@ def a_prediction_scan(spark, d):
     return TB.usable_predictions(predictions(spark, d), ["market", "model_a", "model_b", "model_c"], "v2")
 
 
+@query("a_prediction_sources", with_views(
+    f"""SELECT w.model, CASE WHEN skipped IS NULL THEN source END AS source, CASE WHEN skipped IS NULL THEN col END AS prob_column, skipped, n, mean_prob
+       FROM (SELECT 'market' AS model, 'later' AS source, 'pred_prob' AS col, NULL::VARCHAR AS skipped
+             UNION ALL SELECT 'model_a', 'later', 'prob', NULL
+             UNION ALL SELECT 'model_b', 'rows_b', 'pred_prob', CASE WHEN EXISTS (SELECT 1 FROM pred WHERE model = 'model_b' AND dataset_version <> 'v2')
+                 THEN 'rows_b was not trained on dataset v2' END
+             UNION ALL SELECT 'model_c', NULL, NULL, 'no prediction file found') w
+       LEFT JOIN (SELECT model, count(*) AS n, {r('avg(pred_prob)', 6)} AS mean_prob FROM pred GROUP BY 1) p ON p.model = w.model AND skipped IS NULL""",
+    "long_scores", extra={"pred": PREDICTION_SQL}))
+def a_prediction_sources(spark, d):
+    """Folders with different columns: the first usable one of each model counts."""
+    base = TB.scratch_path(spark, "sources")
+    p = cut(predictions(spark, d))
+    market, a, b = (p.filter(F.col("model") == m) for m in ("market", "model_a", "model_b"))
+    market.write.parquet(f"{base}/market/later")
+    a.drop("snapshot_timestamp").withColumnRenamed("pred_prob", "prob").write.parquet(f"{base}/a/undated")
+    a.withColumnRenamed("pred_prob", "prob").write.parquet(f"{base}/a/later")
+    b.drop("pred_prob").write.parquet(f"{base}/b/no_scores")
+    b.write.parquet(f"{base}/b/rows_b")
+    at = lambda path, *names: TB.Source(f"{base}/{path}", names)
+    rows, report = TB.predictions_in_order(spark, {
+        "market": [at("market/missing", "pred_prob"), at("market/later", "score", "pred_prob")],
+        "model_a": [at("a/undated", "prob"), at("a/later", "pred_prob", "prob")],
+        "model_b": [at("b/no_scores", "pred_prob"), at("b/rows_b", "pred_prob")],
+        "model_c": [at("c/missing", "pred_prob")]}, ["row_key", "snapshot_timestamp"], "v2")
+    totals = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("pred_prob"), 6).alias("mean_prob"))
+    return report.join(totals, "model", "left")
+
+
 @query("c_same_rows", with_views(
     """SELECT row_key, max(pred_prob) FILTER (model = 'market') AS market, max(pred_prob) FILTER (model = 'model_a') AS model_a,
          max(pred_prob) FILTER (model = 'model_b') AS model_b FROM pred GROUP BY row_key HAVING count(DISTINCT model) = 3""", "long_scores", extra={"pred": PREDICTION_SQL}))

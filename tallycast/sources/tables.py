@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -188,6 +190,58 @@ def usable_predictions(predictions: DataFrame, wanted: list[str], version: str)
     return names.join(stats, "model", "left").select("model", "rows", reason.alias("skipped"))
 
 
+@dataclass(frozen=True)
+class Source:
+    """A folder that may hold a model's predictions, and the names its probability column may have, best first."""
+
+    path: str
+    candidates: tuple[str, ...]
+
+    @property
+    def name(self) -> str:
+        return self.path.rstrip("/").rpartition("/")[2]
+
+
+def usable_source(spark: SparkSession, sources: list[Source], version: str) -> tuple[Source | None, str | None, str | None]:
+    """The first source that exists, has a candidate column and snapshot times, and holds rows of `version` only; its
+    column; or why the last one tried is of no use. Columns come from the file footers, only versions are read."""
+    reason = "no prediction file found"
+    for source in sources:
+        try:
+            columns = spark.read.parquet(source.path).columns
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        column = next((c for c in source.candidates if c in columns), None)
+        if column is None:
+            reason = f"no probability column in {source.name}"
+        elif "snapshot_timestamp" not in columns:
+            reason = f"{source.name} has no snapshot_timestamp column"
+        elif "dataset_version" not in columns or not _holds_only(spark.read.parquet(source.path), version):
+            reason = f"{source.name} was not trained on dataset {version}"
+        else:
+            return source, column, None
+    return None, None, reason
+
+
+def _holds_only(rows: DataFrame, version: str) -> bool:
+    same = F.coalesce(F.col("dataset_version").cast("string"), F.lit("unknown")) == version
+    return bool(rows.agg(F.bool_and(same)).first()[0])
+
+
+def predictions_in_order(spark: SparkSession, wanted: dict[str, list[Source]], keys: list[str], version: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (keys, model, pred_prob) of each wanted model from its first usable source, and a report with one row a
+    model: source, prob_column, skipped (why there is none). Without any usable source there are no rows (None)."""
+    rows, report = [], []
+    for model, sources in wanted.items():
+        source, column, reason = usable_source(spark, sources, version)
+        report.append((model, source and source.name, column, reason))
+        if source:
+            rows.append(spark.read.parquet(source.path).select(*keys, F.lit(model).alias("model"), F.col(column).cast("double").alias("pred_prob")))
+    return (reduce(DataFrame.unionByName, rows) if rows else None), spark.createDataFrame(report, "model string, source string, prob_column string, skipped string")
+
+
 def common_rows(predictions: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
     """Rows that every model scored, one column per model: a single grouped pivot, not a chain of joins."""
     wide = predictions.filter(F.col("model").isin(*models)).groupBy(*keys).agg(
