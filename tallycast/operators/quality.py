@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.functions.timing import DAY, HOUR, SECOND, days, micros, whole_days
+from tallycast.functions.numeric import half_up
+from tallycast.functions.timing import DAY, HOUR, SECOND, days, div, micros, whole_days
 from tallycast.operators.leakage import is_settled, split_cutoff
 from tallycast.operators.live import SETTLED_HIGH, SETTLED_LOW, outcome_of
 from pyspark.sql import Window as W
@@ -239,6 +240,32 @@ def parity(stored: DataFrame, recomputed: DataFrame, keys: list[str], features:
         F.count_if(F.col("diff") > tolerance).alias("off"), F.max("diff").alias("max_diff"))
 
 
+RECOMPUTED = ("mean", "min", "max", "range", "change")
+
+
+def recompute_windows(snapshots: DataFrame, prices: DataFrame, window_days: tuple[int, ...] = (7, 14)) -> DataFrame:
+    """Window features of each snapshot straight from the raw prices, a second path next to the slot sums of the build.
+
+    A snapshot looks up (market, day) for each day that its longest window touches, so a market with a third of all prices
+    spreads over its days; sums are combined before they are shuffled. Work is snapshots x prices in a window, so a
+    large table is checked on a sample of its snapshots. Snapshots without a price in the longest window have no row."""
+    longest = max(window_days)
+    at = snapshots.select("market_id", "snapshot_timestamp", micros("snapshot_timestamp").alias("until_us"))
+    day = div(F.col("until_us"), DAY)
+    asked = at.withColumn("day", F.explode(F.sequence(day - longest, day)))
+    seen = prices.select("market_id", micros("ts").alias("at_us"), "event_id", "price").withColumn("day", div(F.col("at_us"), DAY))
+    met = asked.join(seen, ["market_id", "day"]).filter("at_us <= until_us").filter(F.col("at_us") >= F.col("until_us") - longest * DAY)
+    when, sums = F.struct("at_us", "event_id"), []
+    for d in window_days:
+        inside = F.col("at_us") >= F.col("until_us") - d * DAY
+        price = F.when(inside, F.col("price"))
+        sums += [F.count(price).alias(f"n_{d}"), F.avg(price).alias(f"mean_{d}"), F.min(price).alias(f"min_{d}"), F.max(price).alias(f"max_{d}"),
+                 (F.max_by(price, F.when(inside, when)) - F.min_by(price, F.when(inside, when))).alias(f"change_{d}")]
+    rows = met.groupBy("market_id", "snapshot_timestamp").agg(*sums).withColumns({f"range_{d}": F.col(f"max_{d}") - F.col(f"min_{d}") for d in window_days})
+    return rows.select("market_id", "snapshot_timestamp", *[
+        F.when(F.col(f"n_{d}") >= 2, half_up(F.col(f"{s}_{d}"), 4)).alias(f"price_{s}_{d}d") for d in window_days for s in RECOMPUTED])
+
+
 def refresh_report(before: DataFrame, after: DataFrame, fields: list[str] = SOURCE_FIELDS) -> DataFrame:
     """Changed markets per field, flipped outcomes, dropped markets."""
     new = after.select("market_id", *[F.col(c).alias(f"new_{c}") for c in fields], F.lit(True).alias("kept"))

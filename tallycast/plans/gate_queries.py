@@ -286,6 +286,33 @@ def q_feature_parity(spark, d):
     return rnd(Q.parity(stored, again, BY_ROW, COMPARED, 1e-6), "max_diff")
 
 
+RECOMPUTED = [f"price_{s}_{d}d" for d in (7, 14) for s in Q.RECOMPUTED]
+
+
+def recomputed_sql(d: int) -> str:
+    inside = f"FILTER (epoch_us(p.ts) >= epoch_us(s.snapshot_timestamp) - {d} * 86400000000)"
+    of = {"mean": f"avg(p.price) {inside}", "min": f"min(p.price) {inside}", "max": f"max(p.price) {inside}", "range": f"max(p.price) {inside} - min(p.price) {inside}",
+          "change": f"arg_max(p.price, (p.ts, p.event_id)) {inside} - arg_min(p.price, (p.ts, p.event_id)) {inside}"}
+    return ", ".join(f"CASE WHEN count(*) {inside} >= 2 THEN {r(e, 4)} END AS price_{s}_{d}d" for s, e in of.items())
+
+
+@query("q_recomputed_features", with_views(
+    "SELECT feature, count(*) AS n, count(*) FILTER (diff IS NULL) AS absent, count(*) FILTER (diff > 1e-6::DOUBLE) AS off, " + r("max(diff)", 6) + " AS max_diff FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(s.{c} - a.{c}) AS diff FROM raw_snapshots s LEFT JOIN a USING (market_id, snapshot_timestamp)" for c in RECOMPUTED)
+    + ") GROUP BY feature", "raw_snapshots", "prices", extra={
+        "p": """SELECT market_id, event_id, ts, CASE WHEN market_id % 5 = 0 AND event_id % 3 = 0 THEN price / 2 ELSE price END AS price
+                FROM prices WHERE NOT (market_id % 9 = 0 AND event_id % 2 = 0)""",
+        "a": f"""SELECT s.market_id, s.snapshot_timestamp, {recomputed_sql(7)}, {recomputed_sql(14)} FROM raw_snapshots s
+                JOIN p ON p.market_id = s.market_id AND p.ts <= s.snapshot_timestamp AND epoch_us(p.ts) >= epoch_us(s.snapshot_timestamp) - 14 * 86400000000
+                GROUP BY ALL"""}))
+def q_recomputed_features(spark, d):
+    """The stored table against features made anew from prices in which some are halved and some are missing."""
+    stored = cut(V.raw_snapshots(spark, d).select(*BY_ROW, *RECOMPUTED))
+    halved = (F.col("market_id") % 5 == 0) & (F.col("event_id") % 3 == 0)
+    faulty = V.prices(spark, d).filter("NOT (market_id % 9 = 0 AND event_id % 2 = 0)").withColumn("price", F.when(halved, F.col("price") / 2).otherwise(F.col("price")))
+    return rnd(Q.parity(stored, Q.recompute_windows(stored, faulty), BY_ROW, RECOMPUTED, 1e-6), "max_diff")
+
+
 @query("c_reproduce_scores", with_views(
     f"""SELECT 'p' AS feature, count(*) AS n, count(*) FILTER (market_id % 100 = 7) AS absent, count(*) FILTER (market_id % 100 = 8) AS off,
          {r("max(CASE WHEN market_id % 100 = 8 THEN 0.001::DOUBLE ELSE 0 END)", 6)} AS max_diff FROM scored""", "scored"))
