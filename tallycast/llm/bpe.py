@@ -4,8 +4,10 @@ Encoding. Each match of the pre-token pattern is encoded by itself. A pre-token
 `LEAF` bytes, leaves are merged directly by rank, and two neighbours A, B are joined: the bytes of a window, at
 first the last token of A and the first of B, are encoded anew. An encoding is the right one exactly if every two
 adjacent tokens, encoded together, give themselves again. Inside A, B and the window this holds already, so only
-the two seams of the window are tested; where a seam fails, the window doubles on that side. A pre-token that is a
-token as a whole is that token.
+the two seams of the window are tested. Where the left seam fails, the window doubles to the left; where the right
+one fails, it grows by the next token of B, and what the left seam has proved stable leaves it. So a window stays
+short where a shift runs through all of B, as in long runs of one character, and a join is linear in what changes.
+A pre-token that is a token as a whole is that token.
 
 Decoding concatenates the bytes of ids in a balanced tree.
 
@@ -16,18 +18,22 @@ Arrow batch of texts and a cache of `CACHE` distinct pre-tokens.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallycast.llm.common import add_columns
+
 LEAF = 16
+#: Bytes up to which a scan for the lowest rank is quicker than a heap.
+SHORT = 256
 CACHE = 300_000
 #: Ids that one leaf of the decoding tree concatenates.
 DECODE_LEAF = 1024
@@ -50,10 +56,12 @@ class ByteBpe:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(white_space(pattern)).findall
         self.cached: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.met: dict[tuple[bytes, bytes], tuple[bytes, ...]] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
-        """Tokens of a short byte string: the adjacent pair of lowest rank, leftmost first, until none has a rank."""
+        """Tokens of a byte string: the adjacent pair of lowest rank, leftmost first, until none has a rank."""
+        if len(data) > SHORT:
+            return self.merge_long(data)
         ranks, none = self.ranks, 1 << 40
         parts = [data[i:i + 1] for i in range(len(data))]
         pairs = [ranks.get(data[i:i + 2], none) for i in range(len(data) - 1)]
@@ -67,37 +75,73 @@ class ByteBpe:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return parts
 
-    def seam(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens stay as they are next to each other."""
+    def merge_long(self, data: bytes) -> list[bytes]:
+        """The same by a heap of pairs over linked parts, in n log n."""
+        ranks, n = self.ranks, len(data)
+        end = list(range(1, n + 1))  # of the part that starts here; 0 where none does
+        before = list(range(-1, n - 1))  # start of the part before
+        heap = [(ranks[data[i:i + 2]], i, i + 1, i + 2) for i in range(n - 1) if data[i:i + 2] in ranks]
+        heapify(heap)
+        while heap:
+            _, i, middle, stop = heappop(heap)
+            if end[i] != middle or end[middle] != stop:
+                continue  # one of the parts has changed since
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                rank = ranks.get(data[i:end[stop]])
+                if rank is not None:
+                    heappush(heap, (rank, i, stop, end[stop]))
+            if i:
+                rank = ranks.get(data[before[i]:stop])
+                if rank is not None:
+                    heappush(heap, (rank, before[i], i, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(data[i:end[i]])
+            i = end[i]
+        return out
+
+    def together(self, left: bytes, right: bytes) -> tuple[bytes, ...]:
+        """Tokens of two neighbouring strings; they are the strings themselves where the seam is stable."""
         key = (left, right)
-        if key not in self.fits:
-            if len(self.fits) >= self.limit:
-                self.fits.clear()
-            self.fits[key] = self.merge(left + right) == [left, right]
-        return self.fits[key]
+        found = self.met.get(key)
+        if found is None:
+            found = tuple(self.merge(left + right))
+            if len(left) + len(right) <= SHORT:
+                if len(self.met) >= self.limit // 4:
+                    self.met.clear()
+                self.met[key] = found
+        return found
 
     def join(self, a: list[bytes], b: list[bytes]) -> list[bytes]:
-        if not a or not b:
-            return a or b
-        i = j = 1
-        while True:
-            window = self.merge(b"".join(a[-i:] + b[:j]))
-            left = i >= len(a) or self.seam(a[-i - 1], window[0])
-            right = j >= len(b) or self.seam(window[-1], b[j])
-            if left and right:
-                return a[:-i] + window + b[j:]
-            i, j = (i if left else min(len(a), 2 * i)), (j if right else min(len(b), 2 * j))
+        """Both encodings as one; `a` is extended in place."""
+        for j, token in enumerate(b):
+            if a and (window := self.together(a[-1], token)) != (a[-1], token):
+                a.pop()
+                reach = 1
+                while a and self.together(a[-1], window[0]) != (a[-1], window[0]):
+                    window = self.together(b"".join(a[-reach:]), b"".join(window))
+                    del a[-reach:]
+                    reach *= 2
+                a.extend(window)
+            else:
+                a.extend(b[j:])
+                break
+        return a
 
     def tree(self, data: bytes) -> list[bytes]:
         if len(data) <= LEAF:
-            return self.merge(data)
+            return list(self.together(data, b""))
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(self.ranks[t] for t in self.tree(data))
+        if whole is not None:
+            return (whole,)
+        return tuple(self.ranks[t] for t in (self.merge(data) if len(data) <= LEAF else self.tree(data)))
 
     def encode(self, text: str) -> np.ndarray:
         cached, found = self.cached, []
@@ -133,10 +177,6 @@ def encoder(key: int, ranks: Broadcast, pattern: str) -> ByteBpe:
     return ENCODERS[key, pattern]
 
 
-def extended(df: DataFrame, **kinds: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in [n.lower() for n in names]])
 
@@ -146,43 +186,35 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     an empty array); with `decoded`, also the bytes decoded from these ids, in the same pass. Other columns pass
     through; one named like a new column is replaced. One row out for each row in, so repeated rows stay and an
     empty table stays empty."""
-    keep = without(df, text, ids, decoded or ids)
-    names, slim = keep.columns, df.select(*keep.columns, text)
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     key = hash((ranks_path, len(ranks.value)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe = encoder(key, ranks, pattern)
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                some = batch.iloc[at:at + ROWS]
-                out = some[names].copy()
-                found = [bpe.encode(x or "") for x in some[text]]
-                out[ids] = found
-                if decoded:
-                    out[decoded] = [bpe.decode(x) for x in found]
-                yield out
 
-    kinds = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
-    return slim.mapInPandas(run, extended(keep, **kinds))
+        def made(texts: list[str | None]) -> list[pa.Array]:
+            found = [bpe.encode(x or "") for x in texts]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            return [lists, *([pa.array([bpe.decode(x) for x in found], pa.binary())] if decoded else [])]
+
+        return made
+
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
+    return add_columns(without(df, ids, decoded or ids), text, start, new, rows=ROWS)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """`df` with the bytes of its ids as `decoded` (binary); null ids give no bytes. An id outside the vocabulary is
     an error, since nothing can stand for it."""
-    slim = without(df, decoded)
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    key, none = hash((ranks_path, len(ranks.value))), np.empty(0, np.int32)
+    key = hash((ranks_path, len(ranks.value)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe = encoder(key, ranks, "")
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                out = batch.iloc[at:at + ROWS].copy()
-                out[decoded] = [bpe.decode(none if x is None else x) for x in out[ids]]
-                yield out
+        return lambda found: [pa.array([bpe.decode(np.array(x or [], np.int32)) for x in found], pa.binary())]
 
-    return slim.mapInPandas(run, extended(slim, **{decoded: T.BinaryType()}))
+    return add_columns(without(df, decoded), ids, start, [T.StructField(decoded, T.BinaryType())], rows=ROWS, keep=True)
 
 
 def joined_digest(ids: str) -> Column:

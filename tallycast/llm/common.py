@@ -65,6 +65,25 @@ def map_texts(docs: DataFrame, text: str, function: Callable[[str | None], Any],
     return docs.mapInArrow(run, T.StructType(fields))
 
 
+def add_columns(
+    df: DataFrame, source: str, start: Callable[[], Callable[[list], list[pa.Array]]], new: list[T.StructField], rows: int = 1 << 30, keep: bool = False
+) -> DataFrame:
+    """`df` with the columns `new`, made from those of column `source`: a task calls `start` once for a function that
+    gives an Arrow array a column for the values of up to `rows` rows. `source` goes unless `keep`. Other columns stay
+    in Arrow, so that no number goes through a float where a null stands beside it; none may be named as a new one."""
+    fields = [f for f in df.schema.fields if keep or f.name != source]
+    names, all_names = [f.name for f in fields], [f.name for f in fields + new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in names), *function(some.column(source).to_pylist())], all_names)
+
+    return df.mapInArrow(run, T.StructType(fields + new))
+
+
 def digest_id(column: Column) -> Column:
     """CRC-32 of an id written as text; null for a null id."""
     return F.crc32(column.cast("string"))
@@ -73,7 +92,8 @@ def digest_id(column: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, bound: int) -> DataFrame:
     """(doc_id, text, y) of about `bound` labelled documents at most, chosen by a digest of the id, so that the
     choice depends neither on partitions nor on order. `usable` is a condition on `doc_id`; rows with a null id,
-    null label or a label other than 0 and 1 take no part; of rows with one id the largest label counts.
+    null label or a label other than 0 and 1 take no part; of rows with one id the largest label and the first text in
+    order count.
 
     `bound` limits what a model is fitted on, never what is scored. The chosen ids are at most about `bound` rows
     of 20 bytes, so they are broadcast to the scan of the documents."""
@@ -84,4 +104,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     share = min(1.0, bound / n) if n else 1.0
     slots = 1 << 30
     chosen = usable_rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots)) < int(slots * share))
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).sortWithinPartitions("doc_id").select("doc_id", "text", "y")

@@ -26,12 +26,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallycast.llm.common import written
+from tallycast.llm.common import add_columns, written
 from tallycast.llm.components import components
 
 SHINGLE, DISTANCE, BITS, SEED = 4, 4, 64, 42
@@ -67,14 +68,10 @@ def signed(x: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; a row for each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[["doc_id"]].copy()
-            out["fp"] = [signed(fingerprint(x, shingle)) for x in batch["text"]]
-            yield out
+    def start():
+        return lambda texts: [pa.array([signed(fingerprint(x, shingle)) for x in texts], pa.int64())]
 
-    slim = docs.select("doc_id", "text")
-    return slim.mapInPandas(run, T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return add_columns(docs.select("doc_id", "text"), "text", start, [T.StructField("fp", T.LongType())])
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:

@@ -14,14 +14,14 @@ A trie holds at most about `NODES` nodes, then a new one begins; results do not
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallycast.llm.bpe import extended, load_ranks, white_space, without
+from tallycast.llm.bpe import load_ranks, white_space, without
+from tallycast.llm.common import add_columns
 
 OFFSET, NODES = 3, 600_000
 
@@ -85,20 +85,19 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
     """`docs` without the text and with n_tokens and n_pretokens (long) of the whole text; null and empty texts have
     none. Every byte must be a token, so that any text can be cut. Columns named like the new ones are replaced; a
     row for each row."""
-    keep = without(docs, text, "n_tokens", "n_pretokens")
-    names, slim = keep.columns, docs.select(*keep.columns, text)
     known = load_ranks(ranks_path)
     if any(bytes([b]) not in known for b in range(256)):
         raise ValueError("the vocabulary lacks single bytes")
     shared = docs.sparkSession.sparkContext.broadcast(scores(known))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         trie, split = Trie(shared.value), regex.compile(white_space(pattern)).findall
-        for batch in batches:
-            pieces = (split(x or "") for x in batch[text])
-            counted = [(trie.total(p), len(p)) for p in pieces]
-            out = batch[names].copy()
-            out["n_tokens"], out["n_pretokens"] = [n for n, _ in counted], [n for _, n in counted]
-            yield out
-
-    return slim.mapInPandas(run, extended(keep, n_tokens=T.LongType(), n_pretokens=T.LongType()))
+
+        def made(texts: list[str | None]) -> list[pa.Array]:
+            counted = [(trie.total(p), len(p)) for p in (split(x or "") for x in texts)]
+            return [pa.array([n for n, _ in counted], pa.int64()), pa.array([n for _, n in counted], pa.int64())]
+
+        return made
+
+    new = [T.StructField(name, T.LongType()) for name in ("n_tokens", "n_pretokens")]
+    return add_columns(without(docs, "n_tokens", "n_pretokens"), text, start, new)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -50,6 +51,24 @@ def test_every_cut_of_a_string_joins_to_the_same_tokens(ranks):
         assert own.tree(data * 9) == own.merge(data * 9)
 
 
+def test_heap_and_scan_merge_alike(ranks):
+    own, rng = bpe.ByteBpe(ranks, public_tokenizers.PATTERN), random.Random(4)
+    for _ in range(300):
+        pool = rng.choice(["=", "ab", "the ", "0123456789", "-=", "\u65e5\u672c"])
+        data = "".join(rng.choice(pool) for _ in range(rng.randint(1, 80))).encode()[: bpe.SHORT]
+        assert own.merge_long(data) == own.merge(data)
+
+
+@pytest.mark.parametrize("unit", ["=", "-", "_", "0", "a", "ab", "\u200b"])
+def test_a_million_repeated_characters(ranks, library, unit):
+    own, text = bpe.ByteBpe(ranks, public_tokenizers.PATTERN), unit * (1_000_003 // len(unit))
+    begin = time.time()
+    ids = own.encode(text)
+    assert time.time() - begin < 10 and own.decode(ids) == text.encode()
+    part = unit * 50_001
+    assert own.encode(part).tolist() == library.encode_ordinary(part)
+
+
 def test_operator_on_nulls_repeats_and_clashing_names(spark, library):
     rows = [(1, None, 5), (2, "", 6), (2, "", 6), (None, "the word " * 40, 7), (3, "x" * 20000, 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, token_ids int")
