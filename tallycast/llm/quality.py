@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallycast.llm.common import digest_id, labelled_sample, written
+from tallycast.llm.common import add_columns, digest_id, labelled_sample, written
 
 FIT_ROWS, FIT_TASKS = 20_000, 16
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 14, 48, 6, 2
@@ -65,7 +67,7 @@ class Words:
         for run in RUNS.findall(text):
             pair = cached.get(run)
             if pair is None:
-                pair = (bucket(run.lower()[:64]), bucket(shape(run)))
+                pair = (bucket(run.lower()), bucket(shape(run)))
                 if len(run) <= 64:
                     if len(cached) >= CACHE:
                         cached.clear()
@@ -210,16 +212,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFram
     vectors, network = model
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         words = Words()
-        for batch in batches:
-            x = np.array([pooled(words.of(t or ""), shared.value) for t in batch["text"]]).reshape(-1, N_FEATURES)
-            out = batch[["doc_id"]].copy()
-            out["score"] = network.score(x) if network else np.full(len(x), 0.5)
-            yield out
 
-    slim = docs.select("doc_id", "text")
-    return slim.mapInPandas(run, slim.select("doc_id", F.lit(0.0).alias("score")).schema)
+        def made(texts: list[str | None]) -> list[pa.Array]:
+            x = np.array([pooled(words.of(t or ""), shared.value) for t in texts]).reshape(-1, N_FEATURES)
+            return [pa.array(network.score(x) if network else np.full(len(x), 0.5), pa.float64())]
+
+        return made
+
+    return add_columns(docs.select("doc_id", "text"), "text", start, [T.StructField("score", T.DoubleType())])
 
 
 def kept(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFrame:
@@ -229,15 +231,15 @@ def kept(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFrame
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                some = batch.iloc[at:at + ROWS]
-                x = np.array([pooled(words.of(t or ""), shared.value) for t in some["text"]]).reshape(-1, N_FEATURES)
-                yield some[network.score(x) >= THRESHOLD]
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                x = np.array([pooled(words.of(t or ""), shared.value) for t in some.column("text").to_pylist()]).reshape(-1, N_FEATURES)
+                yield some.filter(pa.array(network.score(x) >= THRESHOLD))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Learning, on at most about `FIT_ROWS` labelled documents (`common.labelled_sample`):
 1. Units of a word (the word, its first five and first four letters) are counted by class. A unit's log-odds have an
    informative Dirichlet prior of `PRIOR` of all counts, spread as the units are in both classes; units whose
-   log-odds exceed `SIGNIFICANT` standard errors are kept, at most `UNITS`. Kept units are counted again by
+   log-odds exceed `SIGNIFICANT` standard errors are kept. Kept units are counted again by
    different neighbours, so that copies of a document make no evidence, and must still exceed it. A word scores its highest kept unit; any
    other word scores the log-odds of not being one, which is below zero.
 2. lambda solves E[exp(lambda s)] = 1 over words of clean documents; K is fitted to the segments found there. A
@@ -12,7 +12,7 @@ Learning, on at most about `FIT_ROWS` labelled documents (`common.labelled_sampl
 
 Scoring, every whole text: a linear-time scan gives all maximal segments (each as high as can be, none overlapping);
 those expected less than `CHANCE` times are its toxic passages, and their summed, length-corrected scores give the
-document's score. The model is at most UNITS units, so it goes to the tasks.
+document's score. The model has at most the units of the bounded sample, so it goes to the tasks.
 """
 
 from __future__ import annotations
@@ -25,21 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallycast.llm.common import digest_id, labelled_sample, written
+from tallycast.llm.common import add_columns, digest_id, labelled_sample, written
 
-FIT_ROWS, UNITS = 20_000, 20_000
+FIT_ROWS = 20_000
 PRIOR, SIGNIFICANT, CHANCE = 0.01, 3.0, 0.05
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 CACHE, FLUSH = 300_000, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 PASSAGES = "array<struct<start:int,end:int,score:double>>"
+PASSAGE_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
 def units(word: str) -> list[str]:
-    return ["=" + word[:64], *(f"{k}{word[:k]}" for k in (5, 4) if len(word) > k)]
+    return ["=" + word, *(f"{k}{word[:k]}" for k in (5, 4) if len(word) > k)]
 
 
 def maximal_segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -200,7 +203,8 @@ def log_odds(sample: DataFrame) -> tuple[dict[str, float], float]:
     odds = F.log((F.col("c1") + a) / (n1 + a0 - F.col("c1") - a)) - F.log((F.col("c0") + a) / (n0 + a0 - F.col("c0") - a))
     error = F.sqrt(1 / (F.col("c1") + a) + 1 / (F.col("c0") + a))
     kept = counts.withColumn("odds", odds).withColumn("z", odds / error).where((F.col("z") >= SIGNIFICANT) & (F.col("c1") > F.col("c0")))
-    rows = kept.orderBy(F.desc("z"), "unit").limit(UNITS).collect()
+    # all significant units of a sample of at most FIT_ROWS documents
+    rows = sorted(kept.collect(), key=lambda r: (-r.z, r.unit))
     weigh = {k: (float(t.n1), float(t.n0)) for k, t in totals.items()}
     odds = {}
     for r in distinct_contexts(sample, {x.unit for x in rows}).collect():
@@ -249,17 +253,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no passage and the score of a statistic of zero."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            judged = [m.judged(t or "") for t in batch["text"]]
-            out = batch[["doc_id"]].copy()
-            out["score"] = m.probability(np.array([s for s, _ in judged], float))
-            out["passages"] = [[{"start": a, "end": b + 1, "score": s} for a, b, s in found] for _, found in judged]
-            yield out
-
-    slim = docs.select("doc_id", "text")
-    return slim.mapInPandas(run, slim.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast(PASSAGES).alias("passages")).schema)
+    def made(texts: list[str | None]) -> list[pa.Array]:
+        judged = [shared.value.judged(t or "") for t in texts]
+        return [
+            pa.array(shared.value.probability(np.array([s for s, _ in judged], float)), pa.float64()),
+            pa.array([[{"start": a, "end": b + 1, "score": s} for a, b, s in found] for _, found in judged], PASSAGE_LIST),
+        ]
+
+    new = T.StructType.fromDDL(f"score double, passages {PASSAGES}").fields
+    return add_columns(docs.select("doc_id", "text"), "text", lambda: made, new)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
