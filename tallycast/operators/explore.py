@@ -144,18 +144,36 @@ def first_correct_cross(df: DataFrame, keys: list[str], p: str = "p", y: str = "
     return df.groupBy(*keys, "market_id").agg(F.min(F.when(right, F.col(at))).alias("first_cross"))
 
 
-def error_rates(df: DataFrame, keys: list[str], p: str = "p", y: str = "outcome", market: str = "price_at_snapshot") -> DataFrame:
+def error_counts(p: str = "p", y: str = "outcome", market: str = "price_at_snapshot") -> list[Column]:
     """Directional and over-confident errors, and how many of the latter the market price shared."""
     s, yes = F.col(p), F.col(y) == 1
     wrong = (s > 0.5) != yes
     sure = ((s > 0.8) & ~yes) | ((s < 0.2) & yes)
     market_wrong = (F.col(market) > 0.5) != yes
-    return df.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("n"), F.avg(wrong.cast("int")).alias("wrong_rate"),
         F.count_if((s > 0.8) & ~yes).alias("sure_yes_wrong"), F.count_if((s < 0.2) & yes).alias("sure_no_wrong"),
         F.avg(sure.cast("int")).alias("sure_wrong_rate"),
         F.try_divide(F.count_if(sure & market_wrong), F.count_if(sure)).alias("shared_with_market"),
-    )
+    ]
+
+
+def error_rates(df: DataFrame, keys: list[str], p: str = "p", y: str = "outcome", market: str = "price_at_snapshot") -> DataFrame:
+    return df.groupBy(*keys).agg(*error_counts(p, y, market))
+
+
+def error_report(df: DataFrame, key: str, dimensions: list[str], p: str = "p", y: str = "outcome", market: str = "price_at_snapshot") -> DataFrame:
+    """Errors of each `key` overall and by each dimension, as (key, dimension, value, ...) from one pass: the
+    grouping sets are expanded in the scan and summed before the shuffle. NULL is a value of its own."""
+    sets = [[key], *([key, d] for d in dimensions)]
+    found = df.groupingSets([[F.col(c) for c in s] for s in sets], key, *dimensions).agg(
+        *error_counts(p, y, market), *[F.grouping(d).alias(f"without_{d}") for d in dimensions])
+    dimension, value = F.lit("overall"), F.lit(None).cast("string")
+    for d in dimensions:
+        here = F.col(f"without_{d}") == 0
+        dimension, value = F.when(here, d).otherwise(dimension), F.when(here, F.col(d).cast("string")).otherwise(value)
+    return found.select(key, dimension.alias("dimension"), value.alias("value"), "n", "wrong_rate", "sure_yes_wrong", "sure_no_wrong",
+                        "sure_wrong_rate", "shared_with_market")
 
 
 def disagreements(df: DataFrame, p: str, threshold: float = 0.5, price: str = "price_at_snapshot", y: str = "outcome",

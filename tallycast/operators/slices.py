@@ -15,6 +15,18 @@ DURATION = [("<=90d", 0, 90), ("91-180d", 91, 180), ("181-365d", 181, 365), (">3
 DURATION_WIDE = [("<=90d", 0, 90), ("91-365d", 91, 365), (">365d", 366, 10**6)]
 TIME_LEFT = [("<1d", 0, 1), ("1-7d", 1, 7), ("7-14d", 7, 14), ("14-30d", 14, 30), (">=30d", 30, 10**6)]
 
+# (label, above, up to): days before close by stage, and in the wider view from a fortnight on
+STAGES_LEFT = [("near", -1e9, 30), ("mid", 30, 60), ("far", 60, 1e9)]
+DAYS_LEFT = [("14-30d", 14, 30), ("30-60d", 30, 60), ("60-90d", 60, 90), ("90-180d", 90, 180), ("180-365d", 180, 365), (">365d", 365, 9999)]
+
+
+def left_open(c: str, buckets) -> Column:
+    """Label of the bucket with lower < value <= upper."""
+    out = F.lit(None).cast("string")
+    for label, lo, hi in reversed(buckets):
+        out = F.when((F.col(c) > lo) & (F.col(c) <= hi), label).otherwise(out)
+    return out
+
 
 def half_open(c: str, buckets) -> Column:
     """Label of the bucket with lower <= value < upper."""

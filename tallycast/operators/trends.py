@@ -49,39 +49,29 @@ def asof_join(
 ) -> DataFrame:
     """For each left row the latest right row of the same key with right_ts <= left_ts; NULLs if none.
 
-    Every right row is valid until its successor. It is copied into each time bucket of that span,
-    and left rows look up (key, bucket), so no key is gathered in one task and a left row meets only
-    the right rows of its own bucket. The last row of a key is open-ended and joins by key alone.
+    Every right row is valid until its successor, the last one of a key to the end of all right rows. It is copied
+    into each time bucket of that span, and left rows look up (key, bucket) in one join, so no key is gathered in one
+    task and a left row meets only the right rows of its own bucket; rows later than all right rows look into the last
+    bucket. Where the copies fit Spark's broadcast threshold nothing of the left side is shuffled, else it is once.
     (key, right_ts) must be unique. For a right side with few rows per key and bucket, such as a weekly
     grid; `asof_join_dense` takes any.
     """
     width = bucket_days * DAY
-    spans = right.select(F.col(key), micros(right_ts).alias("from_us"), *values).withColumn(
-        "until_us", F.lead("from_us").over(W.partitionBy(key).orderBy("from_us"))
-    )
-    closed = (
-        spans.filter(F.col("until_us").isNotNull())
-        .withColumn("bucket", F.explode(F.sequence(div(F.col("from_us"), width), div(F.col("until_us") - 1, width))))
-        .select(key, "bucket", "from_us", "until_us", F.struct(*values).alias("hit"))
-    )
-    newest = spans.filter(F.col("until_us").isNull()).select(
-        key, F.col("from_us").alias("newest_us"), F.struct(*values).alias("newest")
-    )
-    rows = left.withColumn("at_us", micros(left_ts)).withColumn("bucket", div(F.col("at_us"), width))
-    r, c = rows.alias("r"), closed.alias("c")
+    rows = right.filter(F.col(right_ts).isNotNull()).select(F.col(key), micros(right_ts).alias("from_us"), F.struct(*values).alias("hit"))
+    end = rows.agg(div(F.max("from_us"), width).alias("end"))
+    spans = rows.withColumn("until_us", F.lead("from_us").over(W.partitionBy(key).orderBy("from_us")))
+    last = F.when(F.col("until_us").isNull(), end.scalar()).otherwise(div(F.col("until_us") - 1, width))
+    c = spans.withColumn("bucket", F.explode(F.sequence(div(F.col("from_us"), width), last))).alias("c")
+    r = left.withColumn("at_us", micros(left_ts)).withColumn("bucket", F.least(div(F.col("at_us"), width), end.scalar())).alias("r")
     matched = r.join(
         c,
         (F.col(f"r.{key}") == F.col(f"c.{key}"))
         & (F.col("r.bucket") == F.col("c.bucket"))
         & (F.col("c.from_us") <= F.col("r.at_us"))
-        & (F.col("r.at_us") < F.col("c.until_us")),
+        & (F.col("c.until_us").isNull() | (F.col("r.at_us") < F.col("c.until_us"))),
         "left",
-    ).select("r.*", "c.hit")
-    with_newest = matched.join(newest, key, "left")
-    best = F.when(F.col("at_us") >= F.col("newest_us"), F.col("newest")).otherwise(F.col("hit"))
-    return with_newest.withColumn("best", best).select(
-        *[F.col(c) for c in left.columns], *[F.col("best").getField(v).alias(v) for v in values]
     )
+    return matched.select(*[F.col(f"r.{c}") for c in left.columns], *[F.col("c.hit").getField(v).alias(v) for v in values])
 
 
 def asof_join_dense(

@@ -196,6 +196,20 @@ def d_error_taxonomy(spark, d):
     return rnd(X.error_rates(long_scores(spark, d, "category", "price_at_snapshot"), ["model", "category"]), *ERROR_RATES)
 
 
+QUARTER_SQL = "'q' || (least(greatest(floor(pct_lifetime_elapsed * 4), 0), 3) + 1)::INT"
+
+
+@query("d_error_report", with_views(
+    f"""SELECT model, 'overall' AS dimension, NULL::VARCHAR AS value, {ERRORS_SQL} FROM long_scores GROUP BY model
+        UNION ALL SELECT model, 'category', category, {ERRORS_SQL} FROM long_scores GROUP BY model, category
+        UNION ALL SELECT model, 'quarter', {QUARTER_SQL}, {ERRORS_SQL} FROM long_scores GROUP BY ALL""", "long_scores"))
+def d_error_report(spark, d):
+    """Errors overall, by category and by quarter of a market's lifetime."""
+    quarter = F.concat(F.lit("q"), (S.equal_width(F.col("pct_lifetime_elapsed"), F.lit(0.0), F.lit(1.0), 4) + 1).cast("string"))
+    df = long_scores(spark, d, "category", "price_at_snapshot", "pct_lifetime_elapsed").withColumn("quarter", quarter)
+    return rnd(X.error_report(df, "model", ["category", "quarter"]), *ERROR_RATES)
+
+
 @query("d_errors_by_volume", with_views(
     f"SELECT model, bin, {ERRORS_SQL} FROM cut GROUP BY ALL", "scored",
     extra={"q": quantile_sql("scored", "total_volume", 4),

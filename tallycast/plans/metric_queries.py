@@ -410,6 +410,20 @@ cut_query("s_lifecycle_elapsed", "pct_lifetime_elapsed", S.THIRDS)
 cut_query("s_time_left", "days_before_close", S.TIME_LEFT)
 
 
+def days_left_query(name: str, buckets, min_rows: int):
+    cases = " ".join(f"WHEN days_before_close > {lo} AND days_before_close <= {hi} THEN '{label}'" for label, lo, hi in buckets)
+    sql = f"""SELECT * FROM ({slice_sql('cut', ['model', 'bucket'])}) WHERE n >= {min_rows} AND bucket IS NOT NULL"""
+
+    @query(name, with_views(sql, "long_scores", extra={"cut": f"SELECT *, CASE {cases} END AS bucket FROM long_scores"}))
+    def run(spark, d):
+        df = long_scores(spark, d, "days_before_close").withColumn("bucket", S.left_open("days_before_close", buckets))
+        return rnd(S.auc_by(df.filter("bucket IS NOT NULL"), ["model", "bucket"], min_rows), "auc")
+
+
+days_left_query("s_time_left_stages", S.STAGES_LEFT, 1)
+days_left_query("s_time_left_wide", S.DAYS_LEFT, 100)
+
+
 @query(
     "s_time_left_by_duration",
     with_views(

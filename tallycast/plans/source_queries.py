@@ -268,6 +268,31 @@ def a_newest_evidence(spark, d):
     return TB.newest_wins(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
+@query("a_newest_evidence_files", """SELECT user_id AS market_id, CASE WHEN user_id % 3 = 0 THEN max(event_id) WHEN user_id % 2 = 0 THEN count(*) ELSE min(event_id) END AS evidence
+    FROM events GROUP BY user_id""")
+def a_newest_evidence_files(spark, d):
+    """Three files of evidence, written one after the other; for each key the one written last counts."""
+    per = cut(V.table(spark, d, "events").groupBy(F.col("user_id").alias("market_id")).agg(
+        F.min("event_id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")))
+    base = TB.scratch_path(spark, "evidence")
+    for name, column, share in (("c", "first", 1), ("b", "n", 2), ("a", "last", 3)):
+        per.filter(F.col("market_id") % share == 0).select("market_id", F.col(column).alias("evidence")).write.option("header", True).csv(f"{base}/{name}")
+    return TB.read_evidence(spark, f"{base}/*", "market_id long, evidence long")
+
+
+@query("a_file_versions", """SELECT 'apart' AS folder, max(n)::INT AS versions FROM (
+        SELECT count(DISTINCT o_orderstatus) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus)
+    UNION ALL SELECT 'together', count(DISTINCT o_orderstatus)::INT FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+def a_file_versions(spark, d):
+    """The most versions that a real file of each folder holds: two builds in files of their own, and both in one write."""
+    o = cut(V.table(spark, d, "orders").filter("o_orderstatus IN ('F', 'O')").select("o_orderkey", F.col("o_orderstatus").alias("dataset_version")))
+    base = TB.scratch_path(spark, "versions")
+    for status in ("F", "O"):
+        o.filter(F.col("dataset_version") == status).write.mode("append").parquet(f"{base}/apart")
+    o.write.parquet(f"{base}/together")
+    return TB.file_versions(spark, f"{base}/*").groupBy(F.element_at(F.split("file", "/"), -2).alias("folder")).agg(F.max("versions").cast("int").alias("versions"))
+
+
 @query("d_dedupe_first", "SELECT l_orderkey, l_linenumber, count(*) AS copies, min(l_shipdate) AS first_ship FROM lineitem GROUP BY ALL")
 def d_dedupe_first(spark, d):
     line = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
@@ -428,7 +453,9 @@ def d_split_summary(spark, d):
 
 @query("a_file_checksums")
 def a_file_checksums(spark, d):
-    return MF.file_checksums(spark, f"{d}/events.parquet").join(MF.file_rows(spark, f"{d}/events.parquet"), "file")
+    """Every file of every table."""
+    files = MF.file_checksums(spark, f"{d}/*.parquet")
+    return files.join(MF.file_rows(spark, f"{d}/*.parquet"), "path", "left").select("file", "bytes", "sha256", "rows")
 
 
 @query("a_integrity")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import half_up
 
+PIECE = 1 << 22
+
 
 def dataset_summary(meta: DataFrame, clean: DataFrame) -> DataFrame:
     """One row: coverage, counts, YES rate, ranges."""
@@ -39,16 +46,37 @@ def write_manifest(summary: DataFrame, splits: DataFrame, path: str, version: st
     whole.coalesce(1).write.mode("errorifexists").json(path)
 
 
+def digest_of(path: str) -> str:
+    """SHA-256 of a file of any size, read in pieces of `PIECE` bytes."""
+    local = path.startswith("file:") or "://" not in path
+    system, inside = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+    found = hashlib.sha256()
+    with system.open_input_stream(inside, compression=None) as stream:
+        while piece := stream.read(PIECE):
+            found.update(piece)
+    return found.hexdigest()
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) per file below `path`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+    """(path, file, bytes, sha256) per file below `path`. Spark lists the files and deals them to tasks by size without
+    reading them; a task reads each of its files once, in pieces, so files may be of any size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas = pa.array([digest_of(p) for p in batch.column("path").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, shas], [*batch.schema.names, "sha256"])
+
+    return files.mapInArrow(run, "path string, file string, bytes long, sha256 string")
 
 
 def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rows) per Parquet file below `path`; only footers are read, so files may differ in their columns."""
     df = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    # file_path is an encoded URI; the listing gives plain paths
+    plain = F.regexp_replace(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    return df.groupBy(plain.alias("path")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def integrity(listing: DataFrame, manifest: DataFrame) -> DataFrame:

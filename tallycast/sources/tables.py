@@ -101,6 +101,16 @@ def read_evidence(spark: SparkSession, path: str, schema, key: str = "market_id"
     return newest_wins(dated, [key], ["written_at", "file"]).drop("written_at", "file")
 
 
+def file_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(file, versions, version) of each prediction file: how many versions it holds, and which if it is one. Files
+    without the column have none."""
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    version = F.col("dataset_version") if "dataset_version" in df.columns else F.lit(None).cast("string")
+    per = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.countDistinct(version).alias("versions"), F.min(version).alias("version"))
+    return per.withColumn("version", F.when(F.col("versions") == 1, F.col("version")))
+
+
 def read_meta_csv(spark: SparkSession, path: str, columns: dict[str, str], times: list[str]) -> DataFrame:
     """CSV with declared types (ids stay text); time columns parsed from ISO text."""
     schema = ", ".join(f"{c} {'string' if c in times else t}" for c, t in columns.items())
