@@ -8,7 +8,7 @@ from itertools import product
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,8 @@ PROB_FLOOR, PROB_CEIL = 0.001, 0.999
 RARE_SHARE = 0.02
 SMOKE_FLOOR = 0.80
 SEED = 42
+#: Bins of a numeric feature in a forest; more where there are more categories.
+BINS = 32
 
 Params = dict[str, float]
 Fitter = Callable[[DataFrame, Params], PipelineModel]
@@ -171,11 +173,15 @@ def rounds_of(model: PipelineModel) -> int:
 
 
 def fit_forest(numeric: list[str], trees: int = 300) -> Fitter:
+    """Trees split on the category itself: its alphabetical code is one feature, marked as nominal in the vector's
+    metadata, so a split parts the categories in two sets. Categories that train lacks share a code of their own."""
     def fit(train: DataFrame, p: Params) -> PipelineModel:
+        index = StringIndexer(inputCol="category", outputCol="category_code", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+        vector = VectorAssembler(inputCols=[*numeric, "category_code"], outputCol="features")
         model = RandomForestClassifier(
             labelCol="outcome", weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=int(p["max_depth"]),
-            minInstancesPerNode=int(p["min_samples_leaf"]), maxMemoryInMB=512, seed=SEED)
-        return Pipeline(stages=[*encoders(numeric), model]).fit(train)
+            minInstancesPerNode=int(p["min_samples_leaf"]), maxBins=max(BINS, len(index.labels) + 1), maxMemoryInMB=512, seed=SEED)
+        return Pipeline(stages=[index, vector, model]).fit(train)
     return fit
 
 
@@ -230,6 +236,8 @@ def calibrated(model: IsotonicRegressionModel, df: DataFrame, p: str = "p_raw",
 
 
 def feature_names(model: PipelineModel, numeric: list[str]) -> list[str]:
+    if not any(isinstance(stage, OneHotEncoderModel) for stage in model.stages):
+        return [*numeric, "category"]
     labels = model.stages[0].labelsArray[0]
     return numeric + [f"category_{c}" for c in labels]
 
