@@ -2,18 +2,19 @@
 
 A replicate is exactly G draws of G groups with replacement. Groups are numbered in the order of their digest, and a
 leaf is `LEAF` numbers in a row. At the root every slot of a replicate is sent to a leaf by arithmetic on (seed,
-replicate, slot), and only totals per (leaf, replicate) are kept, summed before they are shuffled. A leaf then makes
-the draws of its own groups from its totals, next to their values. No draw is ever a shuffled row, and the result
-does not depend on partitions.
-
-For AUC, rows are summed per (group, score) and dealt by coarse score level; a row meets the draw counts of its
-group for all replicates at once, rows of one task with equal scores are added up before they are dealt, so a score
-that many groups share brings a few rows a task, and every level gives three numbers a replicate.
+replicate, slot); a task counts a few replicates at a time, so only totals per (leaf, replicate) are shuffled. A leaf
+then makes the draws of its own groups from its totals, next to their rows, which arrive sorted by leaf. No draw is
+ever a shuffled row, and the result does not depend on partitions.
+
+For sums, a task gives one row a replicate. For AUC, rows are summed per (group, scores) and a task adds up the drawn
+weights of equal scores for all replicates, for as many scores as `WEIGHT_CELLS` allows; rows of further scores are
+dealt with their draw counts, added up where a batch has `ALIKE` of one score. Coarse score levels give three numbers
+a replicate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,79 +23,140 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallycast.functions.running import hash_rank
 from tallycast.operators.metrics import clipped, log_loss_of
 from tallycast.session import cut
 
 BOOT_LEVELS = 1024
-#: Draw counts of two bytes that are broadcast at most.
+#: Sums that a task holds at most, of all its scores and replicates.
 WEIGHT_CELLS = 8_000_000
 #: Groups of a leaf.
 LEAF = 1024
 #: Rows with one score in a batch from which they are added up.
 ALIKE = 16
+#: Replicates that a task counts at a time, slots of them at a time, and rows that meet their draw counts at a time.
+TOGETHER, SLOTS, ROWS = 8, 1 << 14, 1 << 10
+#: Scores of one batch up to which their sums are one product of matrices.
+FEW = 32
 # An invertible mixing of 31-bit numbers; the SQL texts spell it out too.
 MASK, FIRST, SECOND = (1 << 31) - 1, 0x7FEB352D, 0x046CA68B
 
 
-def mixed(x):
-    """A number of 31 bits, or an array of them, mixed."""
-    x = (x * FIRST) & MASK
-    x = x ^ (x >> 15)
-    x = (x * SECOND) & MASK
-    return x ^ (x >> 13)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 31 bits, as uint32, mixed; products wrap, which leaves their low 31 bits as they are."""
+    x = x * np.uint32(FIRST)
+    x &= np.uint32(MASK)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(SECOND)
+    x &= np.uint32(MASK)
+    x ^= x >> np.uint32(13)
+    return x
 
 
-def mixed_column(x: Column) -> Column:
-    x = (x * FIRST).bitwiseAND(MASK)
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * SECOND).bitwiseAND(MASK)
-    return x.bitwiseXOR(F.shiftright(x, 13))
+def replicate_keys(b: np.ndarray, seed: int) -> np.ndarray:
+    return mixed(((b + (seed * 7919 + 1) % MASK) & MASK).astype(np.uint32))
 
 
-def numbered_groups(df: DataFrame, group: str) -> DataFrame:
-    """The rows of `df`, one a group, with idx from 0; NULL is a group too."""
-    ranked = hash_rank(df, group, "pos")
-    return ranked.withColumn("idx", F.col("pos") - 1).select(*df.columns, "idx")
+def numbered_rows(df: DataFrame, group: str, columns: list[str]) -> tuple[DataFrame, int]:
+    """(idx, columns) of the rows of `df`, and the number of groups: idx counts the groups from 0 in the order of the
+    md5 of `group`, NULL is a group too. Rows are dealt by the head of the digest and written once."""
+    digest = F.unhex(F.md5(F.col(group).cast("string"))).alias("__digest")
+    marked = df.select(digest, *columns).withColumn("__head", F.coalesce(F.substring("__digest", 1, 2), F.unhex(F.lit(""))))
+    ranked = marked.withColumn("__rank", F.dense_rank().over(W.partitionBy("__head").orderBy("__digest")).cast("long"))
+    stored = cut(ranked.select("__head", "__rank", *columns))
+    heads = stored.groupBy("__head").agg(F.max("__rank").alias("groups"))
+    before = F.coalesce(F.sum("groups").over(W.orderBy("__head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = cut(heads.select(F.col("__head").alias("__at"), "groups", before.alias("before")))
+    n_groups = places.agg(F.sum("groups")).first()[0] or 0
+    joined = stored.join(places, F.col("__head") == F.col("__at"))
+    return joined.select((F.col("before") + F.col("__rank") - 1).alias("idx"), *columns), n_groups
 
 
 def leaf_totals(spark: SparkSession, n_groups: int, n_boot: int, seed: int) -> DataFrame:
-    """(leaf, totals): the draws of each leaf in each replicate that gives it any, as structs (b, c)."""
-    slots = spark.range(n_groups).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("b"))
-    keyed = slots.withColumn("key", mixed_column(F.col("b") + (seed * 7919 + 1) % MASK))
-    high = keyed.withColumn("high", mixed_column(F.col("key").bitwiseXOR(F.col("id").bitwiseAND(MASK))))
-    low = high.withColumn("low", mixed_column((F.col("high") + F.col("key")).bitwiseAND(MASK)))
-    number = (F.col("high") * (MASK + 1) + F.col("low")) % n_groups
-    # never NULL, so that no filter on it repeats the arithmetic below the sums
-    leaf = F.coalesce(F.floor(number / LEAF), F.lit(0).cast("long")).alias("leaf")
-    each = low.select("b", leaf).groupBy("leaf", "b").agg(F.count(F.lit(1)).alias("c"))
-    return each.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("b", "c"))).alias("totals"))
-
-
-def leaf_draws(leaf: int, n_groups: int, totals: list[dict], n_boot: int, seed: int, width: int) -> np.ndarray:
-    """Draw counts (replicates x groups) of one leaf of `width` groups, or what is left of them."""
-    size = min(width, n_groups - leaf * width)
-    b, c = (np.array([t[k] for t in totals], np.int64) for k in "bc")
-    slot = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-    key = mixed(mixed((b + (seed * 7919 + 1) % MASK) & MASK) ^ (leaf + 1))
-    drawn = mixed(np.repeat(key, c) ^ (slot & MASK)) % size
-    return np.bincount(np.repeat(b, c) * size + drawn, minlength=n_boot * size).reshape(n_boot, size)
-
-
-def draw_vectors(spark: SparkSession, n_groups: int, n_boot: int, seed: int) -> DataFrame:
-    """(idx, drawn): how often each replicate draws a group, as 16-bit numbers; groups never drawn may be absent."""
-    width = LEAF  # as set here, not as imported by a worker
+    """(leaf, b, totals): the draws of each leaf in the replicates from b on, as 32-bit numbers."""
+    width, together, slots = LEAF, TOGETHER, SLOTS
+    leaves = -(-n_groups // width)
+
+    def counted(b: int) -> np.ndarray:
+        key, out = replicate_keys(np.array([b]), seed), np.zeros(leaves, np.int64)
+        for first in range(0, n_groups, slots):
+            ids = (np.arange(first, min(first + slots, n_groups)) & MASK).astype(np.uint32)
+            high = mixed(ids ^ key)
+            low = mixed((high + key) & np.uint32(MASK))
+            number = (high.astype(np.uint64) << np.uint64(31)) | low
+            number -= number // np.uint64(n_groups) * np.uint64(n_groups)
+            out += np.bincount((number // np.uint64(width)).astype(np.int64), minlength=leaves)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                counts = leaf_draws(r["leaf"], n_groups, r["totals"], n_boot, seed, width).T.astype(np.uint16)
-                for at in range(0, len(counts), 128):
-                    part = np.ascontiguousarray(counts[at:at + 128])
+            for first in batch.column(0).to_pylist():
+                some = np.array([counted(b) for b in range(first, min(first + together, n_boot))]).astype(np.uint32).T
+                for at in range(0, leaves, 4096):
+                    part = np.ascontiguousarray(some[at:at + 4096])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(r["leaf"] * width + at + np.arange(len(part)), pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["idx", "drawn"])
+                        [pa.array(at + np.arange(len(part))), pa.array(np.full(len(part), first)), pa.array([x.tobytes() for x in part], pa.binary())], names=["leaf", "b", "totals"])
+
+    parts = -(-n_boot // together)
+    return spark.range(0, n_boot, together, parts).mapInArrow(run, "leaf long, b long, totals binary")
+
+
+def leaf_draws(leaf: int, n_groups: int, totals: np.ndarray, seed: int, width: int) -> np.ndarray:
+    """Draw counts (groups x replicates) of one leaf of `width` groups, or what is left of them."""
+    size, n_boot = min(width, n_groups - leaf * width), len(totals)
+    keys = mixed(replicate_keys(np.arange(n_boot), seed) ^ np.uint32(leaf + 1 & MASK))
+    out = np.empty((size, n_boot))
+    for first in range(0, n_boot, 32):
+        c = totals[first:first + 32]
+        slot = np.arange(c.max())
+        picked = mixed((slot & MASK).astype(np.uint32) ^ keys[first:first + 32, None])
+        picked = picked & np.uint32(size - 1) if size & (size - 1) == 0 else picked % np.uint32(size)
+        cells = picked.astype(np.int64) * len(c) + np.arange(len(c))[:, None]
+        out[:, first:first + 32] = np.bincount(cells[slot < c[:, None]], minlength=size * len(c)).reshape(size, len(c))
+    return out
+
+
+Slices = Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]
+
+
+def at_leaves(rows: DataFrame, n_groups: int, n_boot: int, seed: int, use: Callable[[Slices], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `use` makes of the (draw counts of a leaf, places in it, rows) of each task. The totals of a leaf and its
+    `rows` (idx and further columns) go to one task, sorted by leaf, totals first; the state is one leaf."""
+    spark, width = rows.sparkSession, LEAF
+    names = [c for c in rows.columns if c != "idx"]
+    leaf = F.floor(F.col("idx") / width).alias("leaf")
+    totals = leaf_totals(spark, n_groups, n_boot, seed).select("leaf", "b", "totals", F.lit(None).cast("long").alias("idx"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names])
+    members = rows.select(leaf, F.lit(None).cast("long").alias("b"), F.lit(None).cast("binary").alias("totals"), "idx", *names)
+    dealt = totals.unionByName(members).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf").sortWithinPartitions("leaf", F.col("b").isNull())
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Slices:
+        at, sums, counts = None, None, None
+        for batch in batches:
+            leaves, of = batch.column("leaf").to_numpy(), batch.column("totals")
+            cuts = np.flatnonzero(np.concatenate(([True], leaves[1:] != leaves[:-1]))).tolist() if len(leaves) else []
+            for first, end in zip(cuts, [*cuts[1:], len(leaves)]):
+                if leaves[first] != at:
+                    at, sums, counts = int(leaves[first]), np.zeros(n_boot, np.int64), None
+                given = len(of.slice(first, end - first)) - of.slice(first, end - first).null_count
+                for b, x in zip(batch.column("b").slice(first, given).to_pylist(), of.slice(first, given).to_pylist()):
+                    part = np.frombuffer(x, np.uint32)
+                    sums[b:b + len(part)] = part
+                if first + given < end:
+                    if counts is None:
+                        counts = leaf_draws(at, n_groups, sums, seed, width)
+                    own = batch.slice(first + given, end - first - given)
+                    yield counts, own.column("idx").to_numpy() - at * width, own
+
+    return dealt.mapInArrow(lambda batches: use(slices(batches)), schema)
+
 
-    return leaf_totals(spark, n_groups, n_boot, seed).mapInArrow(run, "idx long, drawn binary")
+def draw_vectors(spark: SparkSession, n_groups: int, n_boot: int, seed: int) -> DataFrame:
+    """(idx, drawn): how often each replicate draws a group, as 16-bit numbers."""
+    def run(found: Slices) -> Iterator[pa.RecordBatch]:
+        for counts, place, rows in found:
+            drawn = counts[place].astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([rows.column("idx"), pa.array([x.tobytes() for x in drawn], pa.binary())], names=["idx", "drawn"])
+
+    return at_leaves(spark.range(n_groups).select(F.col("id").alias("idx")), n_groups, n_boot, seed, run, "idx long, drawn binary")
 
 
 def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -106,35 +168,99 @@ def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
     ).select(*keys, F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "p_value", "replicates")
 
 
-def _weights(part: pd.DataFrame, n_boot: int, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _sums_of_equal(counts: np.ndarray, place: np.ndarray, weight: np.ndarray, slot: np.ndarray, sums: np.ndarray) -> None:
+    """Adds the drawn weights of the rows to the row of `sums` (place 0: weight one) that `slot` names."""
+    used = np.flatnonzero(weight != 0)
+    place, weight, slot = place[used], weight[used], slot[used]
+    found, of = np.unique(slot, return_inverse=True)
+    if len(found) <= FEW:  # few scores of many rows: a product of matrices
+        parts = np.zeros((len(found), len(counts)))
+        np.add.at(parts, (of, place), weight)
+        sums[found, 1:] += parts @ counts
+    else:  # the first rows of all scores, then the second ones, and so on
+        order = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1])))
+        turn = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        for k in range(turn.max() + 1):
+            rows = order[turn == k]
+            for first in range(0, len(rows), ROWS):
+                some = rows[first:first + ROWS]
+                drawn = counts[place[some]]
+                if (weight[some] != 1).any():
+                    drawn *= weight[some][:, None]
+                sums[slot[some], 1:] += drawn
+    np.add.at(sums[:, 0], slot, weight)
+
+
+def _score_sums(found: Slices, n_boot: int, held: int, alike: int) -> Iterator[pa.RecordBatch]:
+    """(which, score, pos, neg, drawn, pos_sums, neg_sums): sums of equal scores over a task for the first `held`
+    scores; of further ones sums over a batch where `alike` rows share a score, and single rows with draw counts."""
+    slots: dict[tuple[str, float], int] = {}
+    sums = [np.zeros((0, n_boot + 1)), np.zeros((0, n_boot + 1))]
+    names = ["which", "score", "pos", "neg", "drawn", "pos_sums", "neg_sums"]
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def rows(which, score, pos=None, neg=None, drawn=None, totals=None):
+        none = [None] * len(score)
+        both = [[x.tobytes() for x in t] for t in totals] if totals else [none, none]
+        columns = [[which] * len(score) if isinstance(which, str) else which, score, none if pos is None else pos, none if neg is None else neg, none if drawn is None else drawn, *both]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    for counts, place, own in found:
+        pos, neg = own.column("pos").to_numpy(), own.column("neg").to_numpy()
+        for which in ("base", "new"):
+            score = own.column(which).to_numpy(zero_copy_only=False)
+            values, of = np.unique(score, return_inverse=True)
+            for v in values.tolist():
+                if len(slots) < held:
+                    slots.setdefault((which, v), len(slots))
+            slot = np.array([slots.get((which, v), -1) for v in values.tolist()], np.int64)
+            if len(slots) > len(sums[0]):
+                more = np.zeros((max(64, 2 * len(slots)) - len(sums[0]), n_boot + 1))
+                sums = [np.concatenate((s, more)) for s in sums]
+            known = slot[of] >= 0
+            for s, w in zip(sums, (pos, neg)):
+                _sums_of_equal(counts, place[known], w[known], slot[of][known], s)
+            sizes = np.bincount(of, minlength=len(values))
+            many = np.flatnonzero((slot < 0) & (sizes >= alike))
+            for at in range(0, len(many), ROWS):
+                some = many[at:at + ROWS]
+                here = np.full(len(values), -1)
+                here[some] = np.arange(len(some))
+                mine = here[of] >= 0
+                both = [np.zeros((len(some), n_boot + 1)) for _ in range(2)]
+                for s, w in zip(both, (pos, neg)):
+                    _sums_of_equal(counts, place[mine], w[mine], here[of][mine], s)
+                yield rows(which, values[some], totals=both)
+            few = np.flatnonzero(((slot < 0) & (sizes < alike))[of])
+            for at in range(0, len(few), ROWS):
+                some = few[at:at + ROWS]
+                vectors = counts[place[some]]
+                vectors = vectors.astype(np.uint8 if vectors.max(initial=0) < 256 else np.uint32)
+                yield rows(which, score[some], pos[some], neg[some], [x.tobytes() for x in vectors])
+    keys = list(slots)
+    for at in range(0, len(keys), 256):
+        part = keys[at:at + 256]
+        yield rows([w for w, _ in part], [v for _, v in part], totals=[s[at:at + len(part)] for s in sums])
+
+
+def _weights(part: pd.DataFrame, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
     """Weighted positives and negatives of rows, for each replicate; place 0 has weight one everywhere."""
-    if weights is not None:
-        w = weights[part["idx"].to_numpy(np.int64)].astype(float)
-    else:
-        none = bytes(2 * n_boot)
-        raw = b"".join(none if x is None else x for x in part["drawn"])
-        w = np.concatenate([np.ones((len(part), 1)), np.frombuffer(raw, np.uint16).reshape(len(part), n_boot)], 1)
-    pos, neg = (w * part[c].to_numpy(float)[:, None] for c in ("pos", "neg"))
-    if weights is None and "pos_sums" in part:
-        for i in np.flatnonzero(part["pos_sums"].notna().to_numpy()):
-            pos[i], neg[i] = (np.frombuffer(part[c].iloc[i], float) for c in ("pos_sums", "neg_sums"))
-    return pos, neg
-
-
-def _add_up_alike(batches: Iterator[pd.DataFrame], n_boot: int) -> Iterator[pd.DataFrame]:
-    """Rows of a batch with one (which, score), if many, become one row that holds their sums."""
-    for batch in batches:
-        alike = batch.groupby(["which", "score"])["idx"].transform("size").to_numpy() >= ALIKE
-        single = batch[~alike].drop(columns="idx").assign(pos_sums=None, neg_sums=None)
-        sums = []
-        for (which, score), rows in batch[alike].groupby(["which", "score"]):
-            parts = [_weights(rows.iloc[i:i + 1024], n_boot, None) for i in range(0, len(rows), 1024)]
-            pos, neg = (sum(p[side].sum(0) for p in parts) for side in (0, 1))
-            sums.append((which, score, 0.0, 0.0, rows["lvl"].iloc[0], None, pos.tobytes(), neg.tobytes()))
-        yield pd.concat([single, pd.DataFrame(sums, columns=single.columns)]) if sums else single
-
-
-def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int, weights: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    out = np.zeros((2, len(part), n_boot + 1))
+    single = part["drawn"].notna().to_numpy()
+    for i in np.flatnonzero(single):
+        raw = part["drawn"].iloc[i]
+        drawn = np.frombuffer(raw, np.uint8 if len(raw) == n_boot else np.uint32)
+        for side, c in enumerate(("pos", "neg")):
+            out[side, i, 0] = part[c].iloc[i]
+            out[side, i, 1:] = drawn * part[c].iloc[i]
+    for i in np.flatnonzero(~single):
+        for side, c in enumerate(("pos_sums", "neg_sums")):
+            out[side, i] = np.frombuffer(part[c].iloc[i], float)
+    return out[0], out[1]
+
+
+def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by (which, lvl, score) into one row per (which, lvl): weighted positives and negatives, and
     pairs within the level, for each replicate; place 0 has weight one everywhere. The state is one level."""
     def fresh():
@@ -153,7 +279,7 @@ def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int, weights: np.ndarra
     for batch in batches:
         for first in range(0, len(batch), 1024):
             part = batch.iloc[first:first + 1024]
-            all_pos, all_neg = _weights(part, n_boot, weights)
+            all_pos, all_neg = _weights(part, n_boot)
             which, lvl, scores = part["which"].to_numpy(), part["lvl"].to_numpy(), part["score"].to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (lvl[1:] != lvl[:-1]) | (scores[1:] != scores[:-1]))))
             pos, neg = np.add.reduceat(all_pos, cuts), np.add.reduceat(all_neg, cuts)
@@ -174,52 +300,27 @@ def _level_sums(batches: Iterator[pd.DataFrame], n_boot: int, weights: np.ndarra
         yield row(at, sums)
 
 
-def _draw_counts(drawn: DataFrame, n_groups: int, n_boot: int) -> np.ndarray:
-    """Draw counts of all groups, place 0 one; at most `WEIGHT_CELLS` of them."""
-    out = np.zeros((n_groups, n_boot + 1), np.uint16)
-    out[:, 0] = 1
-    for r in drawn.toLocalIterator():
-        out[r["idx"], 1:] = np.frombuffer(r["drawn"], np.uint16)
-    return out
-
-
 def bootstrap_auc_diff(
     df: DataFrame, base: str, new: str, group: str, n_boot: int = 1000, seed: int = 42, y: str = "outcome",
     weight: str | None = None,
 ) -> DataFrame:
     """AUC(new) - AUC(base): point, 95 % interval over resampled groups, share of replicates <= 0.
 
-    Replicates that hold one class only drop out. The draw counts of all groups are broadcast up to `WEIGHT_CELLS`
-    of them; beyond, they are joined to the rows of their group.
+    Replicates that hold one class only drop out.
     """
     w = F.col(weight) if weight else F.lit(1)
-    both = F.array(
-        F.struct(F.lit("base").alias("which"), clipped(base, 0.0).alias("score")),
-        F.struct(F.lit("new").alias("which"), clipped(new, 0.0).alias("score")),
-    )
-    sums = (
-        df.select(group, F.inline(both), (w * F.col(y)).alias("wp"), (w * (1 - F.col(y))).alias("wn"))
-        .groupBy(group, "which", "score")
-        .agg(F.sum("wp").cast("double").alias("pos"), F.sum("wn").cast("double").alias("neg"))
-    )
+    scores = df.select(group, clipped(base, 0.0).alias("base"), clipped(new, 0.0).alias("new"), (w * F.col(y)).alias("wp"), (w * (1 - F.col(y))).alias("wn"))
+    sums = scores.groupBy(group, "base", "new").agg(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(n) for c, n in (("wp", "pos"), ("wn", "neg"))])
     spark = df.sparkSession
-    groups = cut(numbered_groups(df.select(group).distinct(), group))
-    n_groups = groups.count()
-    rows = sums.join(groups.select(F.col(group).alias("__group"), "idx"), F.col(group).eqNullSafe(F.col("__group")))
-    rows = rows.select("idx", "which", "score", "pos", "neg", F.floor(F.col("score") * BOOT_LEVELS).alias("lvl"))
-    drawn = draw_vectors(spark, n_groups, n_boot, seed)
-    shared = None
-    if n_groups * (n_boot + 1) <= WEIGHT_CELLS:
-        shared = spark.sparkContext.broadcast(_draw_counts(drawn, n_groups, n_boot))
-    else:
-        joined = rows.join(drawn, "idx", "left").select("idx", "which", "score", "pos", "neg", "lvl", "drawn")
-        rows = joined.mapInPandas(
-            lambda batches: _add_up_alike(batches, n_boot),
-            "which string, score double, pos double, neg double, lvl long, drawn binary, pos_sums binary, neg_sums binary")
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "which", "lvl").sortWithinPartitions("which", "lvl", "score")
+    rows, n_groups = numbered_rows(sums, group, ["base", "new", "pos", "neg"])
+    held, alike = WEIGHT_CELLS // (2 * n_boot + 2), ALIKE
+    found = at_leaves(
+        rows, n_groups, n_boot, seed, lambda found: _score_sums(found, n_boot, held, alike),
+        "which string, score double, pos double, neg double, drawn binary, pos_sums binary, neg_sums binary")
+    levelled = found.withColumn("lvl", F.floor(F.col("score") * BOOT_LEVELS))
+    dealt = levelled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "which", "lvl").sortWithinPartitions("which", "lvl", "score")
     levels = dealt.mapInPandas(
-        lambda batches: _level_sums(batches, n_boot, shared.value if shared else None),
-        "which string, lvl long, pos array<double>, neg array<double>, pairs array<double>")
+        lambda batches: _level_sums(batches, n_boot), "which string, lvl long, pos array<double>, neg array<double>, pairs array<double>")
     cells = levels.select("which", "lvl", F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("b", "s")).select("which", "lvl", "b", "s.*")
     below = F.coalesce(F.sum("neg").over(W.partitionBy("which", "b").orderBy("lvl").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     each = cells.withColumn("pairs", F.col("pairs") + F.col("pos") * below).groupBy("which", "b").agg(
@@ -240,28 +341,25 @@ def bootstrap_ratio(
     """Intervals of sum(numerator) / sum(denominator) over resampled groups, one row per ratio.
 
     `per_group` has one row per group, so a leaf's share of each replicate is a product of its draw counts and its
-    groups' values. Missing values count as nothing.
+    groups' values, added up over the leaves of a task. Missing values count as nothing.
     """
     needed = sorted({c for pair in ratios.values() for c in pair})
-    numbered = cut(numbered_groups(per_group.select(group, *needed), group).drop(group))
-    n_groups, spark = numbered.count(), per_group.sparkSession
-    width, leaf = LEAF, F.floor(F.col("idx") / LEAF).alias("leaf")
-    members = numbered.select(leaf, F.struct("idx", *[F.col(c).cast("double").alias(c) for c in needed]).alias("m")).groupBy("leaf").agg(F.sort_array(F.collect_list("m")).alias("members"))
-
-    def leaf_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                counts = leaf_draws(r["leaf"], n_groups, r["totals"], n_boot, seed, width)
-                values = np.array([[m[c] if m[c] is not None else 0.0 for c in needed] for m in r["members"]], float)
-                sound = np.isfinite(values).all(1)
-                out = counts[:, sound] @ values[sound]
-                for i in np.flatnonzero(~sound):  # counts only where it is drawn
-                    out[counts[:, i] > 0] += values[i]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *(pa.array(c) for c in out.T)], names=["b", *needed])
+    doubles = per_group.select(group, *[F.col(c).cast("double").alias(c) for c in needed])
+    numbered, n_groups = numbered_rows(doubles, group, needed)
+
+    def leaf_sums(found: Slices) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((n_boot, len(needed)))
+        for counts, place, rows in found:
+            values = np.stack([rows.column(c).fill_null(0.0).to_numpy() for c in needed], 1)
+            sound = np.isfinite(values).all(1)
+            out += counts[place[sound]].T @ values[sound]
+            for i in np.flatnonzero(~sound):  # counts only where it is drawn
+                out[counts[place[i]] > 0] += values[i]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *(pa.array(c) for c in out.T)], names=["b", *needed])
 
     sums = [F.sum(c).alias(c) for c in needed]
-    drawn = leaf_totals(spark, n_groups, n_boot, seed).join(members, "leaf")
-    resampled = drawn.mapInArrow(leaf_sums, ", ".join(["b long", *(f"`{c}` double" for c in needed)])).groupBy("b").agg(*sums)
+    schema = ", ".join(["b long", *(f"`{c}` double" for c in needed)])
+    resampled = at_leaves(numbered, n_groups, n_boot, seed, leaf_sums, schema).groupBy("b").agg(*sums)
 
     def long(t: DataFrame, keep: list[str]) -> DataFrame:
         rows = [F.struct(F.lit(n).alias("measure"), F.try_divide(F.col(a), F.col(b)).alias("value"))
