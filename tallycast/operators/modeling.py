@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import product
 
@@ -18,7 +19,7 @@ from tallycast.functions.numeric import exact_percentiles
 from tallycast.operators.metrics import auc, market_weights
 from tallycast.operators.snapshots import rolling_columns
 from tallycast.operators.trends import TREND_COLUMNS
-from tallycast.session import cut
+from tallycast.session import cut, shared_folder
 
 # Model inputs, grids, bounds. The final lifetime volume is unknown at snapshot time and never an input.
 NUMERIC_FEATURES = ["price_at_snapshot", "price_deviation_from_half", "days_before_close", "pct_lifetime_elapsed",
@@ -127,6 +128,14 @@ def encoders(numeric: list[str], scale: dict[str, tuple[float, float]] | None =
     return [index, onehot, scaler, VectorAssembler(inputCols=[*(f"scaled_{c}" for c in numeric), "category_vec"], outputCol="features")]
 
 
+def stored(model: PipelineModel, df: DataFrame) -> PipelineModel:
+    """The model as written to the shared folder and read back. One from a fit holds its training summary, which holds
+    the session, and a session with job tags cannot be sent to tasks; a model that was read has no summary."""
+    path = f"{shared_folder(df.sparkSession)}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def fit_logistic(numeric: list[str]) -> Fitter:
     """The inverse strength C becomes Spark's penalty per unit of the weight it fits on."""
     def fit(train: DataFrame, p: Params) -> PipelineModel:
@@ -134,7 +143,7 @@ def fit_logistic(numeric: list[str]) -> Fitter:
         model = LogisticRegression(
             labelCol="outcome", weightCol="weight", standardization=False, maxIter=1000, tol=1e-4,
             regParam=1.0 / (p["C"] * total), elasticNetParam=1.0 if p["l1"] else 0.0)
-        return Pipeline(stages=[*encoders(numeric, standardized(train, numeric)), model]).fit(train)
+        return stored(Pipeline(stages=[*encoders(numeric, standardized(train, numeric)), model]).fit(train), train)
     return fit
 
 
@@ -181,7 +190,7 @@ def fit_forest(numeric: list[str], trees: int = 300) -> Fitter:
         model = RandomForestClassifier(
             labelCol="outcome", weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=int(p["max_depth"]),
             minInstancesPerNode=int(p["min_samples_leaf"]), maxBins=max(BINS, len(index.labels) + 1), maxMemoryInMB=512, seed=SEED)
-        return Pipeline(stages=[index, vector, model]).fit(train)
+        return stored(Pipeline(stages=[index, vector, model]).fit(train), train)
     return fit
 
 
