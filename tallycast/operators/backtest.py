@@ -140,12 +140,20 @@ def nearest_rows(
     market: str = "market_id", name: str = "horizon",
 ) -> DataFrame:
     """Per market and target the row whose `position` lies closest, earliest on equal distance. With a tolerance a row
-    is looked at for the targets within it only."""
+    is looked at for the targets within it only; without one, a market's rows are gone over once, for all targets."""
+    if tolerance is None:
+        rows = df.select(market, *keep, *[c for c in ts if c not in keep], position.alias("__position"))
+        distances = [F.abs(F.col("__position") - t) for t in targets]
+        payload = F.struct(*keep, F.col("__position").alias("position"))
+        per_market = rows.groupBy(market).agg(*[F.min_by(payload, F.struct(d, *ts)).alias(f"b{i}") for i, d in enumerate(distances)])
+        each = F.array(*[F.struct(F.lit(t).alias(name), F.col(f"b{i}").alias("b")) for i, t in enumerate(targets)])
+        found = per_market.select(market, F.inline(each)).select(market, name, "b.*")
+        return found.withColumn("distance", F.abs(F.col("position") - F.col(name)))
     every = F.array(*[F.lit(t) for t in targets])
-    near = every if tolerance is None else F.filter(every, lambda t: F.abs(position - t) <= tolerance)
+    near = F.filter(every, lambda t: F.abs(position - t) <= tolerance)
     wide = df.select(market, *keep, *[c for c in ts if c not in keep], position.alias("position"),
                      F.explode(near).alias(name))
     dist = F.abs(F.col("position") - F.col(name))
     payload = F.struct(*keep, "position", dist.alias("distance"))
     best = wide.groupBy(market, name).agg(F.min_by(payload, F.struct(dist, *ts)).alias("b")).select(market, name, "b.*")
-    return best.filter(F.col("distance") <= tolerance) if tolerance is not None else best
+    return best.filter(F.col("distance") <= tolerance)

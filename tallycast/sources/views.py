@@ -13,6 +13,8 @@ from tallycast.operators.trends import weekly_features
 
 TRAIN_FRACTION = 0.8
 SCORE_COLUMNS = {"market": "price_at_snapshot", "model_a": "p_model_a", "model_b": "p_model_b"}
+#: Scored rows of a task.
+TASK_ROWS = 500_000
 ROW_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "snapshot_timestamp"]
 
 
@@ -89,9 +91,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(
-        customer, orders.o_custkey == customer.c_custkey
-    )
+    # orders meet their customers first, so the many lines are dealt once, by the key that later steps group by, and
+    # to as many tasks as there are lines for, so what a task holds does not grow with the table
+    parts = -(-line.count() // TASK_ROWS)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        line = line.repartition(parts, "l_orderkey")
+    bought = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    rows = line.join(bought, line.l_orderkey == bought.o_orderkey)
 
     def clip(c):
         return F.least(F.greatest(c, F.lit(0.001)), F.lit(0.999))
