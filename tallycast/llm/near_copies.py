@@ -3,9 +3,11 @@
 Two texts are near copies if the sets of their five-word shingles (words as in `simhash`: A-Z lower-cased, between
 white space; all words, if fewer than five) have a Jaccard similarity of at least `SIMILAR`.
 
-1. Texts with equal sets are one node. A node has `BANDS` band keys of `ROWS` minimum hashes each; two nodes of
-   similarity 0.8 share no band with a probability of (1 - 0.8^5)^40 = 1.2e-7, more similar ones with less.
-2. Nodes that share a band are proposed to each other. What proposals connect is a cluster, so every proposed pair
+1. Texts with equal sets are one node. Its SimHash fingerprint, of five-word shingles, is linked by op8's method
+   (`simhash.plan`, `simhash.links`) to those within `simhash.DISTANCE` bits. A node also has `BANDS` band keys of
+   `ROWS` minimum hashes each, for copies whose fingerprints lie further apart; two nodes of similarity 0.8 share no
+   band with a probability of (1 - 0.8^5)^40 = 1.2e-7, more similar ones with less.
+2. Nodes with linked or equal fingerprints, or that share a band, are proposed to each other. What proposals connect is a cluster, so every proposed pair
    lies within one. Nodes outside of clusters are done; only the texts of the others are dealt, once each.
 3. In a cluster, exact similarities decide: a search from text to text gives links that connect whatever chains of
    similar texts connect. A cluster of more than about `BLOCK` shingles is dealt in blocks, and each two blocks meet
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallycast.llm import simhash
 from tallycast.llm.common import add_columns, written
 from tallycast.llm.components import components
 from tallycast.llm.simhash import signed
@@ -61,27 +64,38 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, node, n, bands) for each row: digests of text and set, size of the set, band keys."""
+    """(doc_id, h, node, n, fp, bands) for each row: digests of text and set, size of the set, fingerprint, band keys."""
 
     def made(texts: list[str | None]) -> list[pa.Array]:
         found = [shingles(x) for x in texts]
         return [
             pa.array([signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in found], pa.int64()),
             pa.array([len(x) for x in found], pa.int64()),
+            pa.array([signed(simhash.fingerprint(x, SHINGLE)) for x in texts], pa.int64()),
             pa.array([bands(x) for x in found], pa.list_(pa.int64())),
         ]
 
-    kinds = {"node": T.LongType(), "n": T.LongType(), "bands": T.ArrayType(T.LongType())}
+    kinds = {"node": T.LongType(), "n": T.LongType(), "fp": T.LongType(), "bands": T.ArrayType(T.LongType())}
     slim = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     return add_columns(slim, "text", lambda: made, [T.StructField(c, kind) for c, kind in kinds.items()])
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes that connect all whose fingerprints are equal or linked within `simhash.DISTANCE` bits."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    equal = nodes.join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = simhash.links(prints.select("fp"), simhash.plan(prints.select("fp")))
+    named = lambda x: prints.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_node"))
+    linked = found.join(named("a"), "a").join(named("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return equal.unionByName(linked)
+
+
 def clusters(nodes: DataFrame) -> DataFrame:
     """(node, cluster) of the nodes that proposals reach."""
     rows = written(nodes.select("node", F.explode("bands").alias("band")), "bands")
     shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    pairs = rows.join(shared, "band").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    return components(pairs).select("node", F.col("label").alias("cluster"))
+    pairs = rows.join(shared, "band").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return components(pairs.unionByName(fingerprint_pairs(nodes)).distinct()).select("node", F.col("label").alias("cluster"))
 
 
 def similar(found: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -137,7 +151,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     xxhash64 of the text, and the least (doc_id, h) names a component, so rows of one id with different texts stay apart.
     Null texts count as empty, and all empty texts share one component; a null doc_id names one only where it has no other."""
     prints = written(sets(docs), "sets")
-    nodes = written(prints.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(prints.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first"), F.min("h").alias("h"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     label = components(links(docs.select(F.xxhash64("text").alias("h"), "text"), nodes))
     named = nodes.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     named = written(named, "named")
