@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ FIT_ROWS, FIT_TASKS = 20_000, 16
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 14, 48, 6, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 30, 256, 3e-3, 1e-4, 17
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-CHUNK, CACHE, ROWS = 1 << 15, 300_000, 512
+CHUNK, CACHE, ROWS, SLICE = 1 << 15, 300_000, 512, 1 << 10
 RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 N_FEATURES = 2 * WIDTH + 6
 
@@ -123,11 +124,11 @@ class Network:
     def __init__(self, x: np.ndarray, y: np.ndarray, calibration: np.ndarray):
         """Rows marked in `calibration` set the temperature only (all rows, where that leaves too few)."""
         fit = ~calibration if (~calibration).sum() >= 10 and calibration.sum() >= 10 else np.ones(len(y), bool)
-        self.mean, self.scale = x[fit].mean(axis=0), x[fit].std(axis=0) + 1e-3
+        self.mean, self.scale = x[fit].mean(axis=0, dtype=np.float64), x[fit].std(axis=0, dtype=np.float64) + 1e-3
         rng = np.random.default_rng(SEED)
         self.w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN ** -0.5, HIDDEN), np.zeros(1)]
         self.temperature = 1.0
-        self._train(self._normed(x[fit]), y[fit], rng)
+        self._train(x[fit], y[fit], rng)
         self._calibrate(x[~fit] if (~fit).any() else x, y[~fit] if (~fit).any() else y)
 
     def _normed(self, x: np.ndarray) -> np.ndarray:
@@ -139,7 +140,7 @@ class Network:
             order = rng.permutation(len(y))
             for at in range(0, len(y), BATCH):
                 rows = order[at:at + BATCH]
-                a, t = x[rows], y[rows]
+                a, t = self._normed(x[rows]), y[rows]
                 h = np.tanh(a @ self.w[0] + self.w[1])
                 d = (sigmoid(h @ self.w[2] + self.w[3]) - t) / len(rows)
                 back = np.outer(d, self.w[2]) * (1 - h * h)
@@ -163,47 +164,59 @@ class Network:
         return sigmoid(self.logits(x) / self.temperature)
 
 
-def features(df: DataFrame, vectors: np.ndarray, columns: str) -> DataFrame:
-    """The named further columns of `df` (doc_id, ..., text) and `x`, the pooled features."""
+def features(df: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """(doc_id, y, part, x) of `df` (..., text) in blocks: a row has the bytes of up to `ROWS` rows' numbers and pooled features."""
     model = df.sparkSession.sparkContext.broadcast(vectors)
-    keep = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
-            out = batch[keep].copy()
-            out["x"] = [pooled(words.of(t or ""), model.value) for t in batch["text"]]
-            yield out
+            for at in range(0, len(batch), ROWS):
+                some = batch.iloc[at:at + ROWS]
+                x = np.array([pooled(words.of(t or ""), model.value) for t in some["text"]], np.float32)
+                yield pd.DataFrame({**{c: [some[c].to_numpy(np.int64).tobytes()] for c in ("doc_id", "y", "part")}, "x": [x.tobytes()]})
 
-    return df.mapInPandas(run, f"{columns}, x array<float>")
+    return df.mapInPandas(run, "doc_id binary, y binary, part binary, x binary")
 
 
 def gather(sample: DataFrame) -> np.ndarray:
-    """Context sums over the sample, added up from one matrix (3 MB) of each of FIT_TASKS tasks at most."""
+    """Context sums over the sample: FIT_TASKS tasks at most have a matrix (3 MB) each, cut in slices that are added up by slice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, index, total = Words(), index_vectors(), np.zeros((BUCKETS, WIDTH), np.float32)
         for batch in batches:
             for text in batch["text"]:
                 add_contexts(total, index, words.of(text))
-        yield pd.DataFrame({"total": [total.tobytes()]})
+        task = TaskContext.get().partitionId()
+        for at in range(0, BUCKETS, SLICE):
+            yield pd.DataFrame({"at": [at], "task": [task], "total": [total[at:at + SLICE].tobytes()]})
 
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLICE * WIDTH)
+        for one in group.sort_values("task")["total"]:
+            total += np.frombuffer(one, np.float32)
+        return pd.DataFrame({"at": group["at"].iloc[:1], "total": [total.tobytes()]})
+
+    parts = sample.select("text").coalesce(FIT_TASKS).mapInPandas(run, "at long, task int, total binary")
     total = np.zeros((BUCKETS, WIDTH))
-    for row in sample.select("text").coalesce(FIT_TASKS).mapInPandas(run, "total binary").collect():
-        total += np.frombuffer(row.total, np.float32).reshape(BUCKETS, WIDTH)
+    for row in parts.groupBy("at").applyInPandas(added, "at long, total binary").collect():
+        total[row["at"]:row["at"] + SLICE] = np.frombuffer(row.total).reshape(SLICE, WIDTH)
     return total
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> tuple[np.ndarray, Network | None]:
-    """Word vectors and network from labelled documents; no network where no row is labelled."""
+    """Word vectors and network from labelled documents; no network where no row is labelled. The driver gets the
+    features of the sample as blocks of bytes, at most about FIT_ROWS x N_FEATURES x 4 (8 MB), and no object a number."""
     sample = written(labelled_sample(docs, labels, label, usable, FIT_ROWS), "quality")
     vectors = word_vectors(gather(sample), index_vectors())
-    known = features(sample.withColumn("part", F.pmod(F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string"))), F.lit(5))).select("doc_id", "y", "part", "text"), vectors, "doc_id long, y int, part long")
-    rows = sorted(known.collect(), key=lambda r: (r.doc_id, r.y))
-    if not rows:
+    blocks = features(sample.withColumn("part", F.pmod(F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string"))), F.lit(5))).select("doc_id", "y", "part", "text"), vectors).collect()
+    if not blocks:
         return vectors, None
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
-    return vectors, Network(x, y, np.array([r.part == 0 for r in rows]))
+    doc_id, y, part = (np.frombuffer(b"".join(r[c] for r in blocks), np.int64) for c in ("doc_id", "y", "part"))
+    x = np.frombuffer(b"".join(r.x for r in blocks), np.float32).reshape(-1, N_FEATURES)
+    del blocks
+    order = np.lexsort((y, doc_id))
+    return vectors, Network(x[order], y[order].astype(float), part[order] == 0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFrame:
