@@ -43,7 +43,13 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_lines(lines: DataFrame, text: str = "record") -> DataFrame:
-    return parse_catalogue(lines.select(F.from_json(text, CATALOGUE_SCHEMA).alias("m")).select("m.*"))
+    return parse_catalogue(once(lines, F.from_json(text, CATALOGUE_SCHEMA)))
+
+
+def once(df: DataFrame, row: Column) -> DataFrame:
+    """The fields of the struct `row` as columns, made once a row. Fields of a plain projection are made anew in every
+    filter and column that names them, so a record would be read once for each."""
+    return df.select(F.inline(F.array(row)))
 
 
 def text_list(c: str) -> Column:
@@ -61,7 +67,7 @@ def first_number(c: Column) -> Column:
 
 def parse_catalogue(raw: DataFrame) -> DataFrame:
     prices, tokens = text_list("outcomePrices"), text_list("clobTokenIds")
-    return raw.select(
+    return once(raw, F.struct(
         F.coalesce(F.nullif("conditionId", F.lit("")), "id").alias("market_id"), "question", "category", "slug",
         F.get(F.col("events"), 0)["slug"].alias("event_slug"),
         F.size(text_list("outcomes")).alias("n_outcomes"),
@@ -72,7 +78,7 @@ def parse_catalogue(raw: DataFrame) -> DataFrame:
         when_text("createdAt").alias("created_at"), when_text("startDate").alias("scope_date"),
         when_text("endDate").alias("end_date"), when_text("closedTime").alias("closed_time"),
         F.col("volumeNum").alias("volume"), "closed",
-    )
+    ))
 
 
 def reject_reason(min_days: int = MIN_DURATION_DAYS) -> Column:
