@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import exact_percentiles
-from tallycast.functions.running import join_null_safe, running_rank
+from tallycast.functions.running import join_null_safe
 from tallycast.operators.metrics import auc
 
 # Fixed values: (label, lower, upper)
@@ -44,10 +45,12 @@ def closed(c: str, buckets) -> Column:
     return out
 
 
-def rank_fraction(df: DataFrame, order: list[str], level: Column, name: str = "rank_pct") -> DataFrame:
-    """(rank - 1) / rows of the market; `level` is a coarse time so a busy market is not one sort."""
-    ranked = running_rank(df.withColumn("lvl", level), ["market_id"], ["lvl"], order, "pos")
-    return ranked.withColumn(name, (F.col("pos") - 1) / F.col("tot_pos")).drop("pos", "tot_pos")
+def rank_fraction(df: DataFrame, order: list[str], name: str = "rank_pct") -> DataFrame:
+    """(rank - 1) / rows of the market. Rows that are dealt by market already, as scored ones are, stay where they are:
+    a task sorts its own rows and counts on, and what it can't hold goes to its disk."""
+    market = W.partitionBy("market_id")
+    pos = F.row_number().over(market.orderBy(*order))
+    return df.withColumn(name, (pos - 1) / F.count(F.lit(1)).over(market))
 
 
 def auc_by(df: DataFrame, keys: list[str], min_rows: int = 0, p: str = "p", y: str = "outcome") -> DataFrame:

@@ -376,7 +376,7 @@ LONG_FROM = """SELECT *, 'market' AS model, price_at_snapshot AS p FROM {t} UNIO
 
 
 def rank_scored(spark, d) -> DataFrame:
-    return S.rank_fraction(V.scored(spark, d), ["snapshot_timestamp", "row_key"], F.date_trunc("year", "snapshot_timestamp"))
+    return S.rank_fraction(V.scored(spark, d), ["snapshot_timestamp", "row_key"])
 
 
 @query("e_rank_fraction", with_views("SELECT row_key, rank_pct FROM ranked", "scored", extra={"ranked": RANKED_SQL}))
