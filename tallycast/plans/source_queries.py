@@ -369,10 +369,10 @@ PREDICTION_SQL = """SELECT row_key, snapshot_timestamp, model, p AS pred_prob, C
     FROM long_scores WHERE NOT (model = 'model_a' AND market_id % 7 = 0)"""
 
 
-def predictions(spark, d) -> DataFrame:
+def predictions(spark, d, *more: str) -> DataFrame:
     p = long_scores(spark, d, "row_key", "snapshot_timestamp").filter("NOT (model = 'model_a' AND market_id % 7 = 0)")
     old = (F.col("model") == "model_b") & (F.col("market_id") % 50 == 0)
-    return p.select("row_key", "snapshot_timestamp", "model", F.col("p").alias("pred_prob"), F.when(old, "v1").otherwise("v2").alias("dataset_version"))
+    return p.select(*more, "row_key", "snapshot_timestamp", "model", F.col("p").alias("pred_prob"), F.when(old, "v1").otherwise("v2").alias("dataset_version"))
 
 
 @query("a_prediction_sink", with_views(
@@ -426,14 +426,15 @@ def a_prediction_sources(spark, d):
     """SELECT row_key, max(pred_prob) FILTER (model = 'market') AS market, max(pred_prob) FILTER (model = 'model_a') AS model_a,
          max(pred_prob) FILTER (model = 'model_b') AS model_b FROM pred GROUP BY row_key HAVING count(DISTINCT model) = 3""", "long_scores", extra={"pred": PREDICTION_SQL}))
 def c_same_rows(spark, d):
-    return TB.common_rows(predictions(spark, d), ["market", "model_a", "model_b"], ["row_key"])
+    return TB.common_rows(predictions(spark, d, "market_id"), ["market", "model_a", "model_b"], ["market_id", "row_key"]).drop("market_id")
 
 
 @query("c_wide_models", with_views(
     """SELECT row_key, max(pred_prob) FILTER (model = 'market') AS market, max(pred_prob) FILTER (model = 'model_a') AS model_a,
          max(pred_prob) FILTER (model = 'model_b') AS model_b FROM pred GROUP BY row_key""", "long_scores", extra={"pred": PREDICTION_SQL}))
 def c_wide_models(spark, d):
-    return TB.pivot_models(predictions(spark, d), ["market", "model_a", "model_b"], ["row_key"])
+    # a row key names one market, and rows are dealt by market
+    return TB.pivot_models(predictions(spark, d, "market_id"), ["market", "model_a", "model_b"], ["market_id", "row_key"]).drop("market_id")
 
 
 @query("a_manifest", with_views(

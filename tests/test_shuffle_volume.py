@@ -26,7 +26,7 @@ def plain(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["e_rank_fraction"])
+@pytest.mark.parametrize("name", ["c_wide_models", "c_same_rows", "e_rank_fraction"])
 def test_scored_rows_are_shuffled_once(plain, name):
     assert plan_of(plain, entry.queries()[name](plain, SF)).count("Exchange hashpartitioning(l_orderkey") == 1
     # customers, orders by customer, orders by order, lines
