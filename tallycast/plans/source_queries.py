@@ -379,9 +379,8 @@ def predictions(spark, d, *more: str) -> DataFrame:
     "SELECT dataset_version, model, count(*) AS n, count(DISTINCT row_key) AS keys FROM pred GROUP BY ALL", "long_scores", extra={"pred": PREDICTION_SQL}))
 def a_prediction_sink(spark, d):
     path = TB.scratch_path(spark, "predictions")
-    TB.write_predictions(predictions(spark, d), path)
-    return spark.read.parquet(path).groupBy("dataset_version", "model").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("row_key").alias("keys"))
+    rows = TB.write_predictions(predictions(spark, d), path)
+    return TB.distinct_keys(spark.read.parquet(path), ["dataset_version", "model"], "row_key", rows)
 
 
 @query("a_prediction_scan", with_views(

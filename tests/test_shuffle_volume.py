@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tallycast.operators import slices
+from tallycast.sources import tables as TB
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,3 +44,11 @@ def test_rank_fraction_of_ties_and_null_markets(spark):
     out = slices.rank_fraction(spark.createDataFrame(rows, "market_id int, t int, k string"), ["t", "k"]).collect()
     assert {(r.market_id, r.t, r.k): r.rank_pct for r in out} == {
         (None, 1, "c"): 0.0, (None, 2, "b"): 0.5, (1, None, "z"): 0.0, (1, 1, "a"): 0.25, (1, 1, "b"): 0.5, (1, 5, "a"): 0.75, (2, 1, "a"): 0.0}
+
+
+def test_distinct_keys_count_nulls_and_repeats(plain, monkeypatch):
+    monkeypatch.setattr(TB, "KEY_ROWS", 2)
+    rows = [("v", "a", "x"), ("v", "a", "x"), ("v", "a", None), ("v", "b", None), ("w", "a", "x"), (None, "a", "y")]
+    dealt = TB.distinct_keys(plain.createDataFrame(rows, "v string, m string, k string"), ["v", "m"], "k", len(rows))
+    assert sorted((r.v or "", r.m, r.n, r["keys"]) for r in dealt.collect()) == [("", "a", 1, 1), ("v", "a", 3, 1), ("v", "b", 1, 0), ("w", "a", 1, 1)]
+    assert plan_of(plain, dealt).count("Exchange hashpartitioning(k") == 1 and plan_of(plain, dealt).count("Exchange hashpartitioning") == 2
