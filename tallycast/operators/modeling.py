@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallycast.functions.numeric import exact_percentiles
 from tallycast.operators.metrics import auc, market_weights
@@ -38,6 +39,9 @@ SEED = 42
 #: Bins of a numeric feature in a forest; more where there are more categories.
 BINS = 32
 
+#: Rows of a task of a fit or of scoring, and the least that are worth a task.
+TASK_ROWS, LEAST_ROWS = 50_000, 2_000
+
 Params = dict[str, float]
 Fitter = Callable[[DataFrame, Params], PipelineModel]
 
@@ -59,6 +63,15 @@ def training_table(df: DataFrame) -> DataFrame:
     return cut(row_weights(df))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt to tasks by their number: a fit's work a row is large, and tasks by bytes of a compressed table
+    would be few. Which rows a task has, and their order, follow from the rows alone, so samples that a fit draws do too."""
+    rows = df.count()
+    tasks = max(1, -(-rows // TASK_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, rows // LEAST_ROWS))
+    place = F.xxhash64(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])
+    return df.withColumn("__place", place).repartition(tasks, "__place").sortWithinPartitions("__place").drop("__place")
+
+
 def collapse_rare(train: DataFrame, other: DataFrame, share: float = RARE_SHARE) -> tuple[DataFrame, DataFrame]:
     """Categories below a share of the train markets, and unseen ones, become `other` in both tables."""
     per_market = train.groupBy("market_id").agg(F.min("category").alias("category"))
@@ -143,7 +156,7 @@ def fit_logistic(numeric: list[str]) -> Fitter:
         model = LogisticRegression(
             labelCol="outcome", weightCol="weight", standardization=False, maxIter=1000, tol=1e-4,
             regParam=1.0 / (p["C"] * total), elasticNetParam=1.0 if p["l1"] else 0.0)
-        return stored(Pipeline(stages=[*encoders(numeric, standardized(train, numeric)), model]).fit(train), train)
+        return stored(Pipeline(stages=[*encoders(numeric, standardized(train, numeric)), model]).fit(dealt(train)), train)
     return fit
 
 
@@ -163,9 +176,9 @@ def fit_boosted(numeric: list[str], rounds: int = 1000, patience: int = 50, firs
         held = "is_holdout" in train.columns and "n_estimators" not in p
         used = train.filter(~F.col("is_holdout")) if "is_holdout" in train.columns else train
         if not held:
-            return Pipeline(stages=[*encoders(numeric), booster(p, int(p.get("n_estimators", rounds)))]).fit(used)
+            return Pipeline(stages=[*encoders(numeric), booster(p, int(p.get("n_estimators", rounds)))]).fit(dealt(used))
         ready = Pipeline(stages=encoders(numeric)).fit(used)
-        rows, watched = cut(ready.transform(used)), cut(ready.transform(train.filter("is_holdout")))
+        rows, watched = dealt(cut(ready.transform(used))), dealt(cut(ready.transform(train.filter("is_holdout"))))
         n = min(first, rounds)
         while True:
             loss = booster(p, n).fit(rows).evaluateEachIteration(watched)
@@ -190,7 +203,7 @@ def fit_forest(numeric: list[str], trees: int = 300) -> Fitter:
         model = RandomForestClassifier(
             labelCol="outcome", weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=int(p["max_depth"]),
             minInstancesPerNode=int(p["min_samples_leaf"]), maxBins=max(BINS, len(index.labels) + 1), maxMemoryInMB=512, seed=SEED)
-        return stored(Pipeline(stages=[index, vector, model]).fit(train), train)
+        return stored(Pipeline(stages=[index, vector, model]).fit(dealt(train)), train)
     return fit
 
 
@@ -216,7 +229,7 @@ def check_params(given: Params, expected: set[str]) -> Params:
 
 def scored(model: PipelineModel, df: DataFrame, name: str = "p_raw") -> DataFrame:
     """`df` with the model's probability, written once: no later join or window plans around the model's functions."""
-    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
+    out = model.transform(dealt(df)).withColumn(name, vector_to_array("probability")[1])
     return cut(out.select(*df.columns, name))
 
 
