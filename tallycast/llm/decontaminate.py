@@ -23,15 +23,16 @@ from tallycast.llm.common import whole_text, written
 
 WINDOW, SHINGLE = 10, 3
 BROADCAST_ROWS = 500_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A character beyond ASCII that lower() might change; texts without one are lower-cased by it.
+#: What is left of a lower-cased text without its other ASCII characters. Java takes five times as long for the class that excludes those.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+#: Java applies ^ to the whole intersection, so nearly every text has a match; only op11 still asks for one.
 CASED = r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    """Words with only A-Z lower-cased."""
-    low = F.when(text.rlike(CASED), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    """Words with only A-Z lower-cased: lower() does that for texts in ASCII, and in less time than translate()."""
+    low = F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 

@@ -52,34 +52,34 @@ def template_table(spark: SparkSession, base: list[tuple[str, str]], templates:
 
 def gram_places(df: DataFrame, pairs: list[str], marked: bool) -> DataFrame:
     """A row for each gram of the word array `w`: pos, hash, said, k beside the other columns. A gram is the two
-    words of `pairs` where they stand, else `GRAM` words. With `marked`, a row at place -1 for each row of `df`."""
-    shifted = [F.col("w").alias("w0"), *(F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(1, GRAM))]
-    places = F.arrays_zip(*shifted)
-    if marked:
-        places = F.concat(F.array(F.struct(*[F.lit("").alias(f"w{i}") for i in range(GRAM)])), places)
-    parts = [F.col(f"e.w{i}") for i in range(GRAM)]
+    words of `pairs` where they stand, else `GRAM` words. With `marked`, a row at place -1 for each row of `df`, with
+    an empty gram."""
+    others = [c for c in df.columns if c != "w"]
+    firsts = F.concat(F.array(F.lit("")), "w") if marked else F.col("w")
+    at = df.select(*others, "w", F.posexplode(firsts).alias("at", "first")).withColumn("pos", F.col("at") - int(marked))
+    # further words are read from the text's array, so that no place needs a copy of them; they are null past the end
+    further = [F.get("w", F.col("pos") + i) for i in range(1, GRAM)]
     short = F.lit(False)
     for pair in pairs:
         first, second = pair.split(" ")
-        short = short | ((parts[0] == first) & (parts[1] == second))
-    at = df.select(*[c for c in df.columns if c != "w"], F.posexplode(places).alias("pos", "e"))
-    # nulls past the end are left out of hashes and joined texts
-    hashed = F.when(short, F.xxhash64(*parts[:2])).otherwise(F.xxhash64(*parts))
-    return at.select(
-        *[c for c in df.columns if c != "w"], (F.col("pos") - (1 if marked else 0)).alias("pos"), hashed.alias("hash"),
-        F.when(short, F.concat_ws(" ", *parts[:2])).otherwise(F.concat_ws(" ", *parts)).alias("said"), F.when(short, 2).otherwise(GRAM).alias("k"))
+        short = short | ((F.col("first") == first) & (further[0] == second))
+    k = F.when(F.col("pos") < 0, 1).when(short, 2).otherwise(GRAM)
+    # nulls are left out of hashes and joined texts
+    said = [F.col("first"), *(F.when(k > i, word) for i, word in enumerate(further, 1))]
+    return at.select(*others, "pos", F.xxhash64(*said).alias("hash"), F.concat_ws(" ", *said).alias("said"), k.alias("k"))
 
 
 def hits(docs: DataFrame, table: DataFrame, pairs: list[str]) -> DataFrame:
     """(doc_id, h, n_words, pos, t, off, k): a row with t = -1 for each document, and a row for each gram of a text
     that stands in a template. `h` tells the texts of one id apart."""
     grams = gram_places(table.select("t", "w", F.size("w").alias("n")), pairs, False).where(F.col("pos") + F.col("k") <= F.col("n"))
-    grams = grams.select("hash", F.col("said").alias("written_so"), "t", F.col("pos").alias("off"))
-    none = F.xxhash64(*[F.lit("")] * GRAM)
-    marker = table.sparkSession.range(1).select(none.alias("hash"), F.lit(" " * (GRAM - 1)).alias("written_so"), F.lit(-1).alias("t"), F.lit(-1).alias("off"))
+    marker = table.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("hash"), F.lit("").alias("said"), F.lit(-1).alias("t"), F.lit(-1).alias("off"))
+    grams = grams.select("hash", "said", "t", F.col("pos").alias("off")).unionByName(marker)
     texts = docs.select("doc_id", whole_text().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     places = gram_places(texts.withColumn("n_words", F.size("w").cast("long")), pairs, True)
-    found = places.join(F.broadcast(grams.unionByName(marker)), "hash").where(F.col("said") == F.col("written_so"))
+    # a join by the hash alone looks up a number a word; gram texts are made and joined for the few rows that it leaves
+    likely = places.join(F.broadcast(grams.select("hash")), "hash", "left_semi")
+    found = likely.join(F.broadcast(grams.drop("hash")), "said")
     return found.select("doc_id", "h", "n_words", F.col("pos").cast("long").alias("pos"), "t", "off", "k")
 
 

@@ -73,3 +73,30 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], schema)
     assert licenses.report(df).count() == 0
     assert licenses.report(df).schema == licenses.report(df.where(F.lit(True))).schema
+
+
+def test_places_are_joined_by_number_before_gram_texts_are_made(spark):
+    """A word costs a look-up of a hash: no copies of the word array, and texts are joined where a hash was found only."""
+    docs = spark.createDataFrame([(1, FREE)], "doc_id long, text string")
+    table = licenses.template_table(spark, licenses.BASE, licenses.TEMPLATES)
+    plan = licenses.hits(docs, table, ["cc by"])._jdf.queryExecution().executedPlan().toString()
+    assert "arrays_zip" not in plan and "slice(" not in plan
+    assert re.search(r"BroadcastHashJoin \[hash#\d+L\], \[hash#\d+L\], LeftSemi", plan)
+    assert re.search(r"BroadcastHashJoin \[said#\d+\], \[said#\d+\], Inner", plan)
+
+
+def test_gram_texts_decide_where_hashes_clash(spark, monkeypatch):
+    """With one hash for all grams, every place passes the first join and the second one alone decides."""
+    monkeypatch.setattr(licenses.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    rows = [(1, f"x {FREE} y all rights reserved"), (2, "CC by cc"), (3, ""), (4, None), (5, "rights reserved all")]
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in answer(spark, rows)} == {i: brute(t) for i, t in rows}
+
+
+def test_words_beyond_ascii_keep_their_case(spark):
+    """Every character there is, alone and between letters: the quick way to lower-case is taken for ASCII only."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[i:i + 500]) for i in range(0, len(points), 500)] + [f"A{c}B" for c in points[:0x600]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: r.w for r in df.select("i", licenses.words(F.col("text")).alias("w")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
