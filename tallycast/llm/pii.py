@@ -37,12 +37,16 @@ OTHER_USE = ["order no", "invoice", "version", "isbn", "part no"]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+#: A text without any of these has no span of any kind.
+NEEDED = "@0123456789"
+# Each pattern opens with the class of its first character, so that `re` skips to the next one of that class; what may
+# not stand before it is asked for after it.
+DOTTED = re.compile(r"[0-9][0-9]*(?:\.[0-9]+)*")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9].)[A-Z][0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+LOCAL_PHONE = re.compile(r"[(0-9](?<![0-9+].)(?:(?<=\()[0-9]{3}\)\x20?|(?<=[0-9])[0-9]{2}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
+NATIONAL_ID = re.compile(r"[0-9](?<![0-9-].)[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 Span = tuple[str, int, int, float]
 SPAN = T.ArrayType(T.StructType([
@@ -112,7 +116,7 @@ def near(text: str, kind: str, start: int, end: int) -> float:
 
 def scan(text: str | None) -> list[Span]:
     """All spans of a text by kind as listed, then start; none for a null or empty text."""
-    if not text:
+    if not text or not any(c in text for c in NEEDED):
         return []
     found: list[Span] = []
 

@@ -70,6 +70,40 @@ def test_long_runs_take_linear_time(run):
     assert time.time() - start < 5
 
 
+LOOKING_BACK_FIRST = {
+    "DOTTED": r"[0-9]+(?:\.[0-9]+)*",
+    "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "LOCAL_PHONE": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "NATIONAL_ID": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+}
+
+
+@pytest.mark.parametrize("name", LOOKING_BACK_FIRST)
+def test_patterns_find_what_they_found_with_the_look_back_first(name):
+    rng = random.Random(5)
+    wholes = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "(722) 555-8977", "(722)555.8977", "722-555-8977", "078-05-1120", "10.0.0.1", "1.2.3.4.5"]
+    between = ["", "", " ", "-", ".", "+", "(", ")", "1", "A", "a", "\n", "é", "12", "AB"]
+    matches = 0
+    for _ in range(8000):
+        text = "".join(rng.choice(between) + rng.choice(wholes)[rng.choice([0, 0, 0, 1, 3]):] + rng.choice(between) for _ in range(rng.randint(1, 4)))
+        want = [m.span() for m in re.finditer(LOOKING_BACK_FIRST[name], text)]
+        assert [m.span() for m in getattr(pii, name).finditer(text)] == want, text
+        matches += len(want)
+    assert matches > 500
+
+
+def test_texts_without_digits_and_at_signs_are_not_searched(monkeypatch):
+    class Searched:
+        def finditer(self, text):
+            raise AssertionError(text)
+
+    for name in ["DOTTED", "DIGITS", "PHONE", *list(LOOKING_BACK_FIRST)[1:]]:
+        monkeypatch.setattr(pii, name, Searched())
+    assert pii.scan("call me + (no number): ABCD WEST ٣٤٥ ①② host. name") == []
+    with pytest.raises(AssertionError):
+        pii.scan("call 1")
+
+
 def test_report_equals_brute_force_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in pii.report(docs).collect()}
