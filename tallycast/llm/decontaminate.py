@@ -4,9 +4,10 @@ A window is `WINDOW` consecutive words of an item (all words of a shorter one);
 words of a window in a row. Documents and windows are sets of positioned shingles of `SHINGLE` words (fewer, where a
 window is shorter):
 
-1. One pass over the texts keeps the positions of those shingles that some window has, and one row a document. The
-   shingles of the benchmark are broadcast if they are at most `BROADCAST_ROWS` (about 100 bytes each), else joined
-   by a shuffle. This is at most a row for each word, and in practice few; it is written once.
+1. One pass over the texts keeps the positions of shingles whose hash some window has, and one row a document. The
+   hashes of the benchmark are broadcast if they are at most `BROADCAST_ROWS`, else joined by a shuffle. This is at
+   most a row for each word, and in practice few; it is written once. All later joins are by the shingles themselves,
+   so one that shares no more than its hash with the benchmark meets nothing.
 2. These rows give the rarity of every benchmark shingle over the whole corpus. A window must be contained whole, so
    its necessary prefix is one token, its rarest shingle: only that is joined. A window with a shingle that no
    document has is never joined at all.
@@ -57,20 +58,22 @@ def window_shingles(distinct: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return at.select("win", "n", "k", "off", F.array_join(F.slice("words", F.col("off") + 1, F.col("k")), " ").alias("shingle"))
 
 
+def shingle_hash(shingle: Column) -> Column:
+    """The hash that `positions` gives the words of a shingle: an array's hash is that of its elements in turn."""
+    return F.xxhash64(F.split(shingle, " "))
+
+
 def positions(docs: DataFrame, lengths: list[int], shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, h, n_words, pos, shingle): a row with an empty shingle for each document, and its shingles of the
-    given lengths. `h` tells rows of one id with different texts apart."""
+    """(doc_id, h, n_words, pos, hash, shingle): a row with an empty shingle at place -1 for each document, and its
+    shingles of the given lengths. `h` tells rows of one id with different texts apart."""
     base = docs.select("doc_id", whole_text().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     base = base.withColumn("n_words", F.size("w").cast("long"))
-    columns = [F.col("w").alias("w0"), *(F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(1, shingle))]
-    none = F.struct(*[F.lit("").alias(f"w{i}") for i in range(shingle)])
-    at = base.select("doc_id", "h", "n_words", F.posexplode(F.concat(F.array(none), F.arrays_zip(*columns))).alias("pos", "e"))
-    keys = []
-    for k in lengths:
-        parts = [F.col(f"e.w{i}") for i in range(k)]
-        keys.append(F.when(F.col("pos") == 0, F.lit("") if k == lengths[0] else None).when(parts[-1].isNotNull(), F.concat_ws(" ", *parts)))
-    key = keys[0] if len(keys) == 1 else F.explode(F.array(*keys))
-    return at.select("doc_id", "h", "n_words", (F.col("pos") - 1).alias("pos"), key.alias("shingle")).where(F.col("shingle").isNotNull())
+    at = base.select("*", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "first")).withColumn("pos", F.col("at") - 1)
+    at = at.withColumn("k", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
+    # further words are read from the text's array, so that no place needs a copy of them; nulls are left out of hashes and joined texts
+    said = [F.col("first"), *(F.when((F.col("pos") >= 0) & (F.col("k") > i), F.get("w", F.col("pos") + i)) for i in range(1, shingle))]
+    whole = F.when(F.col("pos") < 0, F.col("k") == lengths[0]).otherwise(F.col("pos") + F.col("k") <= F.col("n_words"))
+    return at.where(whole).select("doc_id", "h", "n_words", "pos", F.xxhash64(*said).alias("hash"), F.concat_ws(" ", *said).alias("shingle"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -82,9 +85,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     wins = written(windows(benchmark, window), "windows")
     shingles = written(window_shingles(wins.dropDuplicates(["win"]).select("win", "n", "words")), "shingles")
     lengths = sorted((r.k for r in shingles.select("k").distinct().collect()), reverse=True) or [SHINGLE]
-    looked_for = shingles.select("shingle").union(docs.sparkSession.range(1).select(F.lit("").alias("shingle"))).distinct()
+    every_shingle = shingles.select("shingle").union(docs.sparkSession.range(1).select(F.lit("").alias("shingle")))
+    looked_for = every_shingle.select(shingle_hash(F.col("shingle")).alias("hash")).distinct()
     n_shingles = looked_for.count()
-    found = written(positions(docs, lengths).join(sized(looked_for, n_shingles), "shingle"), "positions")
+    found = written(positions(docs, lengths).join(sized(looked_for, n_shingles), "hash", "left_semi").drop("hash"), "positions")
     hits = found.where("shingle <> ''").withColumn("id", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))).drop("doc_id")
 
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("freq"))

@@ -77,3 +77,28 @@ def test_report_equals_sql(spark):
     want = {r[0]: r[1:] for r in con.execute(dc.SQL).fetchall()}
     got = rows_of(dc.report(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")))
     assert got == want and any(v[4] for v in got.values())
+
+
+def test_places_are_joined_by_number(spark):
+    """A word costs a look-up of a hash: no copies of the word array, and no shingle is made before its hash is found."""
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    hashes = spark.createDataFrame([("a b c",), ("",)], "shingle string").select(dc.shingle_hash(F.col("shingle")).alias("hash"))
+    found = dc.positions(docs, [3]).join(F.broadcast(hashes), "hash", "left_semi")
+    assert [(r.pos, r.shingle) for r in found.orderBy("pos").collect()] == [(-1, ""), (0, "a b c")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "arrays_zip" not in plan and "slice(" not in plan
+    assert re.search(r"BroadcastHashJoin \[hash#\d+L\], \[hash#\d+L\], LeftSemi", plan)
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_shingles_decide_where_hashes_clash(spark, monkeypatch, limit):
+    """With four hashes for all shingles, nearly every place passes the first join; the later ones alone decide."""
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", limit)
+    real = F.xxhash64
+    monkeypatch.setattr(dc.F, "xxhash64", lambda *c: real(*c) if isinstance(c[0], str) else F.pmod(real(*c), F.lit(4)))
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choices("abcdefgh", k=n))
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 4, 12, 20])]
+    docs = [(i, text(rng.randint(0, 30))) for i in range(30)] + [(50, f"x {items[3][1]} y {items[4][1]}"), (51, None), (52, items[2][1])]
+    got = rows_of(dc.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(docs, items) and got[50][2] >= 2
